@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from bookloom.llm import chat_format, quality
+from bookloom.llm import chat_format, licenses, media, quality
 
 
 def queries() -> dict:
     return {
+        "op4_licenses": licenses.op4_licenses,
+        "op5_media": media.op5_media,
         "op8_chat_format": chat_format.op8_chat_format,
         "op9_quality": quality.op9_quality,
     }
