@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bookloom.llm import chat_format, licenses, media, quality
+from bookloom.llm import chat_format, licenses, media, quality, warc
 
 
 def queries() -> dict:
@@ -11,10 +11,12 @@ def queries() -> dict:
         "op5_media": media.op5_media,
         "op8_chat_format": chat_format.op8_chat_format,
         "op9_quality": quality.op9_quality,
+        "op10_warc": warc.op10_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op8_chat_format": chat_format.OP8_SQL,
+        "op10_warc": warc.OP10_SQL,
     }
