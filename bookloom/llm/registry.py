@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from bookloom.llm import chat_format, licenses, media, quality, warc
+from bookloom.llm import chat_format, licenses, line_dedup, media, quality, warc
 
 
 def queries() -> dict:
     return {
+        "op3_line_dedup": line_dedup.op3_line_dedup,
         "op4_licenses": licenses.op4_licenses,
         "op5_media": media.op5_media,
         "op8_chat_format": chat_format.op8_chat_format,
@@ -17,6 +18,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_line_dedup": line_dedup.OP3_SQL,
         "op8_chat_format": chat_format.OP8_SQL,
         "op10_warc": warc.OP10_SQL,
     }
