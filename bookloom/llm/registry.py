@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from bookloom.llm import chat_format, licenses, line_dedup, media, quality, warc
+from bookloom.llm import chat_format, licenses, line_dedup, media, packing, quality, warc
 
 
 def queries() -> dict:
     return {
+        "op2_packing": packing.op2_packing,
         "op3_line_dedup": line_dedup.op3_line_dedup,
         "op4_licenses": licenses.op4_licenses,
         "op5_media": media.op5_media,
