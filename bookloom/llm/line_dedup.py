@@ -111,7 +111,8 @@ def settle(streamed: DataFrame, least_docs: int) -> DataFrame:
     streamed = written(streamed, "lines")
     edges = streamed.where(F.col("kind") != _DROP)
     totals = edges.groupBy("key").agg(F.sum("n").alias("docs"), F.max("doc").alias("top")).where(F.col("docs") >= least_docs)
-    settled = edges.where(F.col("kind") == _WAITS).join(totals, "key").where(F.col("doc") != F.col("top"))
+    settled = edges.where(F.col("kind") == _WAITS).join(F.broadcast(totals), "key")  # two keys a task at most
+    settled = settled.where(F.col("doc") != F.col("top"))
     return streamed.where(F.col("kind") == _DROP).select("doc", "th", "pos").unionByName(settled.select("doc", "th", "pos"))
 
 

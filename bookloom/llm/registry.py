@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bookloom.llm import chat_format, licenses, line_dedup, media, ngram_join, packing, quality, warc
+from bookloom.llm import chat_format, lang_id, licenses, line_dedup, media, ngram_join, packing, quality, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_line_dedup": line_dedup.op3_line_dedup,
         "op4_licenses": licenses.op4_licenses,
         "op5_media": media.op5_media,
+        "op6_lang_id": lang_id.op6_lang_id,
         "op7_ngram_join": ngram_join.op7_ngram_join,
         "op8_chat_format": chat_format.op8_chat_format,
         "op9_quality": quality.op9_quality,
