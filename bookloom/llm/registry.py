@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from bookloom.llm import chat_format, lang_id, licenses, line_dedup, media, ngram_join, packing, quality, warc
+from bookloom.llm import chat_format, lang_id, licenses, line_dedup, media, mixing, ngram_join, packing, quality, warc
 
 
 def queries() -> dict:
+    import corpus_pipeline
+
     return {
+        "pipeline": corpus_pipeline.run,
+        "op1_mixing": mixing.op1_mixing,
         "op2_packing": packing.op2_packing,
         "op3_line_dedup": line_dedup.op3_line_dedup,
         "op4_licenses": licenses.op4_licenses,
