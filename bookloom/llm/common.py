@@ -6,11 +6,13 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes that one vectorised step handles at once inside a task.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
 
 #: A-Z to a-z, all other bytes as they are.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -51,17 +53,16 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def text_steps(texts: list[str | None], most: int = STEP_BYTES):
-    """Cut a list of texts into runs of about so many characters: yields (start, end)."""
+def text_steps(column: pa.Array, most: int = STEP_BYTES):
+    """Cut a column of texts into runs of about so many bytes, at least one text each: yields (start, end)."""
     start = size = 0
-    for i, t in enumerate(texts):
-        n = len(t) if t else 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
         if size and size + n > most:
             yield start, i
             start, size = i, 0
         size += n + 1
-    if start < len(texts):
-        yield start, len(texts)
+    if start < len(column):
+        yield start, len(column)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

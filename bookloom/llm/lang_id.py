@@ -230,9 +230,9 @@ def predict(docs: DataFrame, net: Network | None, keep: list[str], text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(len(keep)).to_pylist()
+            texts = batch.column(len(keep))
             for a, b in text_steps(texts):
-                raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts[a:b]]
+                raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts.slice(a, b - a).to_pylist()]
                 p = pooled(net, raw) if net else np.zeros((b - a, 1))
                 best = p.argmax(axis=1)
                 lang = [net.langs[k] if t else UNKNOWN for k, t in zip(best, raw)]

@@ -56,9 +56,9 @@ def shingled(docs: DataFrame, keep: list[str], width: int, share: float, text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t.encode("utf-8", "surrogatepass") for t in batch.column(len(keep)).to_pylist()]
+            texts = batch.column(len(keep))
             for a, b in text_steps(texts):
-                sets = shingle_sets(texts[a:b], width)
+                sets = shingle_sets([t.as_buffer().to_pybytes() for t in texts.slice(a, b - a)], width)
                 n = pa.array([len(s) for s in sets], pa.int64())
                 name = pa.array([class_hash(s) for s in sets], pa.int64())
                 some = sets if limit is None else [s[: np.searchsorted(s, limit)] for s in sets]

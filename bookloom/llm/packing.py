@@ -29,7 +29,7 @@ from bookloom.llm.common import mix64, text_steps, written
 CAPACITY = 2048
 END_ID = 0
 #: Pieces of words that a worker remembers at most before it starts anew.
-MEMORY = 2_000_000
+MEMORY = 1_000_000
 TOKENIZER = "byte_bpe_50k.json"
 
 
@@ -214,9 +214,9 @@ def token_pieces(docs: DataFrame, keep: list[str], tokenizer: str | None = None,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = piece_tokenizer(path)
         for batch in batches:
-            texts = [t or "" for t in batch.column(len(keep)).to_pylist()]
+            texts = batch.column(len(keep))
             for a, b in text_steps(texts):
-                ids, counts = own.encode(texts[a:b])
+                ids, counts = own.encode([t or "" for t in texts.slice(a, b - a).to_pylist()])
                 total = counts + 1
                 whole = np.full(int(total.sum()), END_ID, np.int32)
                 mask = np.ones(len(whole), bool)
