@@ -28,8 +28,10 @@ from bookloom.llm.common import mix64, text_steps, written
 
 CAPACITY = 2048
 END_ID = 0
+#: Bytes of text that are encoded together.
+STEP_BYTES = 1 << 19
 #: Pieces of words that a worker remembers at most before it starts anew.
-MEMORY = 1_000_000
+MEMORY = 400_000
 TOKENIZER = "byte_bpe_50k.json"
 
 
@@ -202,20 +204,22 @@ def default_tokenizer() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
-def token_pieces(docs: DataFrame, keep: list[str], tokenizer: str | None = None, capacity: int = CAPACITY, text_col: str = "text") -> DataFrame:
+def token_pieces(docs: DataFrame, keep: list[str], tokenizer: str | None = None, capacity: int = CAPACITY, text_col: str = "text", digest: bool = False) -> DataFrame:
     """keep, piece, start, length, ids (array<int>): a document's ids and END_ID, cut only if longer than capacity.
 
-    The columns in keep must have other names than these. Of a longer document the first piece may be shorter.
+    The columns in keep must have other names than these. Of a longer document the first piece may be shorter. digest
+    gives ids_crc32 (over little-endian ids) in place of the ids, so that these never leave the Python worker.
     """
     path = tokenizer or default_tokenizer()
     rows = docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
-    names = [*keep, "piece", "start", "length", "ids"]
+    last, kind = ("ids_crc32", "long") if digest else ("ids", "array<int>")
+    names = [*keep, "piece", "start", "length", last]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = piece_tokenizer(path)
         for batch in batches:
             texts = batch.column(len(keep))
-            for a, b in text_steps(texts):
+            for a, b in text_steps(texts, STEP_BYTES):
                 ids, counts = own.encode([t or "" for t in texts.slice(a, b - a).to_pylist()])
                 total = counts + 1
                 whole = np.full(int(total.sum()), END_ID, np.int32)
@@ -228,13 +232,18 @@ def token_pieces(docs: DataFrame, keep: list[str], tokenizer: str | None = None,
                 short = total - (pieces - 1) * capacity  # of the first piece
                 length = np.where(piece == 0, short[doc], capacity)
                 start = np.where(piece == 0, 0, short[doc] + (piece - 1) * capacity)
-                offsets = pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32))
-                lists = pa.ListArray.from_arrays(offsets, pa.array(whole))
+                ends = np.concatenate([[0], np.cumsum(length)])
+                if digest:
+                    data = whole.astype("<u4", copy=False)
+                    made = pa.array([zlib.crc32(data[x:y]) for x, y in zip(ends[:-1], ends[1:])], pa.int64())
+                else:
+                    made = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(whole))
                 held = [batch.column(k).slice(a, b - a).take(pa.array(doc)) for k in range(len(keep))]
-                yield pa.RecordBatch.from_arrays([*held, pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), lists], names)
+                yield pa.RecordBatch.from_arrays([*held, pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), made], names)
+        own.forget()  # an idle worker keeps no words
 
     kept = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[:-1])
-    return rows.mapInArrow(run, f"{kept}, piece int, start long, length long, ids array<int>")
+    return rows.mapInArrow(run, f"{kept}, piece int, start long, length long, {last} {kind}")
 
 
 def best_fit_plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
@@ -306,24 +315,9 @@ def assign(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     )
 
 
-def with_digest(pieces: DataFrame, keep: list[str]) -> DataFrame:
-    """keep, piece, start, length, ids_crc32 (over little-endian ids) and block, in place of the ids."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(batch.num_columns - 1)
-            ends = lists.offsets.to_numpy()
-            flat = lists.values.to_numpy().astype("<u4", copy=False)
-            crc = [zlib.crc32(flat[a:b]) for a, b in zip(ends[:-1], ends[1:])]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(crc, pa.int64())], [*names, "ids_crc32"])
-
-    names = [*keep, "piece", "start", "length"]
-    kept = ", ".join(f"`{c}` {t}" for c, t in pieces.select(*names).dtypes)
-    return pieces.select(*names, "ids").mapInArrow(run, f"{kept}, ids_crc32 long").withColumn("block", F.spark_partition_id())
-
-
 def packed(docs: DataFrame, keep: list[str], tokenizer: str | None = None) -> DataFrame:
-    pieces = written(with_digest(token_pieces(docs, keep, tokenizer), keep), "pieces")
+    pieces = token_pieces(docs, keep, tokenizer, digest=True).withColumn("block", F.spark_partition_id())
+    pieces = written(pieces, "pieces")
     return assign(pieces).drop("block")
 
 

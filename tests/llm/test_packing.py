@@ -88,3 +88,10 @@ def test_query(spark, tmp_path, plain):
 
 def test_empty(spark):
     assert P.packed(spark.createDataFrame([], "doc_id long, text string"), ["doc_id"]).count() == 0
+
+
+def test_ids_and_digests_agree(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
+    key = lambda r: (r.doc_id, r.piece)
+    whole = {key(r): zlib.crc32(np.array(r.ids, "<u4").tobytes()) for r in P.token_pieces(df, ["doc_id"]).collect()}
+    assert whole == {key(r): r.ids_crc32 for r in P.token_pieces(df, ["doc_id"], digest=True).collect()}
