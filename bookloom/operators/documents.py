@@ -33,6 +33,24 @@ def html_blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html
     ).where("text <> ''")
 
 
+def fb2_blocks(texts: DataFrame) -> DataFrame:
+    """id, seq, kind (header, p, v, subtitle), text, note_refs of the main body of repaired documents (id, text).
+
+    Titles are headers; bodies of notes are left out, and links to them are listed with the block that cites them.
+    """
+    body = F.regexp_extract(F.coalesce("text", F.lit("")), r"(?s)<body(?![^>]*name=)[^>]*>(.*?)</body\s*>", 1)
+    found = F.regexp_extract_all(body, F.lit(r"(?s)(<title\b[^>]*>.*?</title\s*>|<(?:p|v|subtitle)\b[^>]*>.*?</(?:p|v|subtitle)\s*>)"), F.lit(1))
+    rows = texts.select("id", F.posexplode(found).alias("seq", "raw"))
+    tag = F.regexp_extract("raw", r"^<(title|p|v|subtitle)\b", 1)
+    return rows.select(
+        "id",
+        "seq",
+        F.when(tag == "title", "header").otherwise(tag).alias("kind"),
+        T.strip_tags(F.regexp_replace("raw", r"</?(?:b|i|strong|emphasis|a|sup|sub|style)\b[^>]*>", "")).alias("text"),
+        F.array_distinct(F.regexp_extract_all("raw", F.lit(r'(?i)<a\b[^>]*href="#([^"]+)"[^>]*type="note"'), F.lit(1))).alias("note_refs"),
+    ).where("text <> ''")
+
+
 def assign_anchors(blocks: DataFrame) -> DataFrame:
     """The first block of a document that names an anchor owns it; all others get one of their own."""
     nth = F.row_number().over(Window.partitionBy("id", "anchor").orderBy("seq"))

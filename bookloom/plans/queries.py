@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from bookloom.functions import records as R
 from bookloom.functions import text as T
 from bookloom.operators import changes, dedup, documents, evaluate, lists, resolve, search, state
 from bookloom.plans import oracle as O
@@ -487,6 +488,14 @@ def image_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.within_budget(p, 60000).select(F.col("page_id").alias("id"), F.col("id").alias("grp"), "fits")
 
 
+@query("SELECT p_partkey AS id, CASE WHEN p_size % 2 = 0 THEN p_type ELSE p_brand END AS name, replace(p_brand, '.', '-') || '/' || replace(p_partkey || '.fb2', '.', '-') || '.jpg' AS cover, left(sha256(p_name || chr(0) || '3'), 16) AS revision FROM part")
+def shown_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _read(spark, sf_dir, "part")
+    name = R.display_name(F.when(F.col("p_size") % 2 == 0, F.col("p_type")).otherwise(""), F.col("p_brand"))
+    cover = R.cover_path(F.col("p_brand"), F.concat(F.col("p_partkey").cast("string"), F.lit(".fb2")))
+    return p.select(F.col("p_partkey").alias("id"), name.alias("name"), cover.alias("cover"), R.revision_key(F.col("p_name"), F.lit(3)).alias("revision"))
+
+
 # --- keyed state ----------------------------------------------------------------------------------------------------
 
 
