@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Bytes that one vectorised step handles at once inside a task.
 STEP_BYTES = 1 << 20
+#: Bytes that an Arrow batch of texts takes at most.
+ARROW_BYTES = 8 << 20
 
 #: A-Z to a-z, all other bytes as they are.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -31,6 +33,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches of texts hold ARROW_BYTES at most, so that workers need the same memory whatever the texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 

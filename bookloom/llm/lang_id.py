@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookloom.llm.common import text_steps
+from bookloom.llm.common import small_batches, text_steps
 
 WINDOW, HIDDEN = 64, 8
 PER_LANG, WINDOWS = 256, 4
@@ -223,6 +223,7 @@ def fit(docs: DataFrame) -> Network | None:
 
 def predict(docs: DataFrame, net: Network | None, keep: list[str], text_col: str = "text", with_spans: bool = False) -> DataFrame:
     """keep, lang_pred, score, and with_spans also spans array<struct<start, stop, lang>> over the text's UTF-8 bytes."""
+    small_batches(docs.sparkSession)
     text = F.col(text_col).cast("string")
     readable = F.when(text.rlike(r"\p{L}"), text) if net else F.lit(None).cast("string")
     rows = docs.select(*keep, readable.alias("_text"))

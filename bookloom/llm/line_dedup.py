@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookloom.llm.common import ascii_lower
+from bookloom.llm.common import ascii_lower, small_batches, written
 
 LEAST_CHARS, LEAST_DOCS = 20, 3
 _STRIP = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -106,8 +106,6 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def settle(streamed: DataFrame, least_docs: int) -> DataFrame:
     """doc, th, pos of all lines to drop. streamed is read twice, so it is written once."""
-    from bookloom.llm.common import written
-
     streamed = written(streamed, "lines")
     edges = streamed.where(F.col("kind") != _DROP)
     totals = edges.groupBy("key").agg(F.sum("n").alias("docs"), F.max("doc").alias("top")).where(F.col("docs") >= least_docs)
@@ -142,6 +140,7 @@ def apply_bitmaps(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", tex
     def cut(text: pd.Series, keep: pd.Series) -> pd.Series:
         return pd.Series([None if k is None else kept_lines(t, k) for t, k in zip(text, keep)], dtype=object)
 
+    small_batches(docs.sparkSession)
     found = found.select(F.col("doc").alias("_doc"), F.col("th").alias("_th"), F.col("n_dropped").alias("_n_dropped"), F.col("keep").alias("_keep"))
     on = (_doc(id_col) == F.col("_doc")) & (F.xxhash64(_text(text_col)) == F.col("_th"))
     joined = docs.join(found, on, "left")

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bookloom.llm.common import small_batches
+
 UNIT = 192
 RATE = 8000
 FRAME, HOP = 192, 96
@@ -85,6 +87,7 @@ def fingerprint(media: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
 
 def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_bytes, media (the WAV file), one row per row."""
+    small_batches(docs.sparkSession)
     text = F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8")
     rows = docs.select(F.col(id_col), text)
 

@@ -28,7 +28,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookloom.llm.common import new_path
+from bookloom.llm.common import new_path, small_batches
 
 DEDUP_BYTES = 100
 ROLL_BYTES = 64 << 20
@@ -106,6 +106,7 @@ def shard_bounds(pages: DataFrame, shards: int) -> list[int]:
 def write_warc(pages: DataFrame, out: str, shards: int | None = None, roll_bytes: int = ROLL_BYTES) -> DataFrame:
     """Write pages (page_id, url, html) as WARC files under out; returns the manifest."""
     spark = pages.sparkSession
+    small_batches(spark)
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     body = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), body.alias("payload"))
