@@ -9,8 +9,9 @@
    in proportion to it; sets near a change of size index both numbers.
 3. Within a signature everyone is compared with one hub, the member with the smallest share of shingles of its own.
    Classes that the hubs' links leave in other components than their hub are then compared with all members of the
-   hub's bucket that sizes and own shingles still allow (joined on bands of size). No pair that could link is left
-   out, and pairs within a found component are never made.
+   hub's bucket that an upper bound still allows: joined on bands of size, and with profiles, the counts of shared
+   shingles in PROFILE hash groups, whose sums of minima bound every overlap. No pair that could link is left out, and
+   pairs within a found component are never made.
 
 Defined cases: a null or empty text, or one without words, has an empty set and no links; equal texts link; rows that
 repeat a doc_id are nodes of their own with the same id; a null doc_id never is the smallest unless there is no other;
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookloom.llm.common import mix64, text_steps, written
+from bookloom.llm.common import mix64, small_batches, text_steps, written
 from bookloom.llm.components import components
 from bookloom.llm.shingles import shingle_sets
 
@@ -35,6 +36,8 @@ RARE = 8
 #: Sets of 2**L shingles use 2**L / SPREAD hash classes.
 SPREAD = 16
 BAND = 1.02
+#: Hash groups of a profile.
+PROFILE = 64
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
@@ -50,6 +53,7 @@ def class_hash(tokens: np.ndarray) -> int:
 
 def shingled(docs: DataFrame, keep: list[str], width: int, share: float, text_col: str = "text") -> DataFrame:
     """keep, n, class, tokens: the size of the set, the hash of the set, and those of its hashes in the first share of the range."""
+    small_batches(docs.sparkSession)
     names = [*keep, "n", "class", "tokens"]
     limit = None if share >= 1 else np.uint64(int(share * 2**64))
     rows = docs.select(*keep, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
@@ -106,8 +110,14 @@ def signatures(df: np.ndarray, token: np.ndarray, n: int, percent: int) -> np.nd
     return np.unique(np.concatenate(out))
 
 
+def profile(token: np.ndarray) -> list[int]:
+    """How many of the shingles fall into each hash group."""
+    return np.bincount((mix64(token ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(PROFILE)).astype(np.int64), minlength=PROFILE).tolist()
+
+
 def _signature_rows(percent: int):
-    schema = pa.schema([("sig", pa.int64()), ("class", pa.int64()), ("n", pa.int64()), ("own", pa.int64())])
+    """Rows of signatures, and one row without a signature for each class that has its profile."""
+    schema = pa.schema([("sig", pa.int64()), ("class", pa.int64()), ("n", pa.int64()), ("own", pa.int64()), ("profile", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,13 +126,23 @@ def _signature_rows(percent: int):
             pairs = lists.values
             df, token = (pairs.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             for name, n, a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), ends[:-1], ends[1:]):
-                sig = signatures(df[a:b], token[a:b].view(np.uint64), n, percent)
+                own = token[a:b].view(np.uint64)
+                sig = signatures(df[a:b], own, n, percent)
                 if len(sig):
-                    yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), *(pa.array(np.full(len(sig), v, np.int64)) for v in (name, n, n - (b - a)))], schema=schema)
+                    columns = [pa.array([None, *sig.view(np.int64).tolist()], pa.int64())]
+                    columns += [pa.array(np.full(len(sig) + 1, v, np.int64)) for v in (name, n, n - (b - a))]
+                    columns.append(pa.array([profile(own)] + [None] * len(sig), schema.field("profile").type))
+                    yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return run
 
 
+def profiles_allow(percent: int, n1: Column, p1: Column, n2: Column, p2: Column) -> Column:
+    """Whether the overlap that two profiles allow at most is enough: an exact upper bound."""
+    most = F.aggregate(F.zip_with(p1, p2, lambda a, b: F.least(a, b)), F.lit(0), lambda x, y: x + y)
+    return 100 * most >= percent * (n1 + n2 - most)
+
+
 def can_link(percent: int, n1: Column, own1: Column, n2: Column, own2: Column) -> Column:
     """Whether sizes and shingles of one's own let two sets link: an exact upper bound."""
     most = F.least(n1 - own1, n2 - own2)
@@ -148,7 +168,9 @@ def class_links(docs: DataFrame, classes: DataFrame, id_col: str, width: int, pe
     rows = sets.select("class", "n", F.explode("tokens").alias("token"))
     often = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     shared = rows.join(often, "token").groupBy("class", "n").agg(F.collect_list(F.struct("df", "token")).alias("shared"))
-    sigs = written(shared.mapInArrow(_signature_rows(percent), "sig long, class long, n long, own long"), "signatures")
+    found = written(shared.mapInArrow(_signature_rows(percent), "sig long, class long, n long, own long, profile array<int>"), "signatures")
+    sigs = found.where("sig IS NOT NULL").drop("profile")
+    profiles = found.where("sig IS NULL").select("class", "profile")
 
     hubs = sigs.groupBy("sig").agg(F.min(F.struct((F.col("own") / F.col("n")).alias("part"), "class", "n", "own")).alias("hub"), F.count("*").alias("many")).where("many > 1")
     members = sigs.join(hubs, "sig").select(F.col("hub.class").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.own").alias("hub_own"), "class", "n", "own")
@@ -159,16 +181,17 @@ def class_links(docs: DataFrame, classes: DataFrame, id_col: str, width: int, pe
 
     labels = components(links)
     known = members.join(labels.select(F.col("node").alias("class"), "label"), "class", "left").join(labels.select(F.col("node").alias("hub"), F.col("label").alias("hub_label")), "hub", "left")
-    known = known.select("hub", "class", "n", "own", F.coalesce("label", "class").alias("label"), F.coalesce("hub_label", "hub").alias("hub_label"))
+    known = known.join(profiles, "class").select("hub", "class", "n", "own", "profile", F.coalesce("label", "class").alias("label"), F.coalesce("hub_label", "hub").alias("hub_label"))
     known = written(known, "known")
     band = lambda c: F.floor(F.log(c.cast("double")) / float(np.log(BAND))).cast("int")
     low, high = F.ceil(F.col("n") * percent / 100), F.floor(F.lit(100) * (F.col("n") - F.col("own")) / percent) - F.col("own")
     apart = known.where((F.col("label") != F.col("hub_label")) & (high >= low)).select(
-        "hub", F.col("class").alias("a"), F.col("n").alias("n1"), F.col("own").alias("own1"), F.col("label").alias("label1"), F.explode(F.sequence(band(low), band(high))).alias("band")
+        "hub", F.col("class").alias("a"), F.col("n").alias("n1"), F.col("own").alias("own1"), F.col("label").alias("label1"), F.col("profile").alias("profile1"), F.explode(F.sequence(band(low), band(high))).alias("band")
     )
-    others = known.select("hub", F.col("class").alias("b"), F.col("n").alias("n2"), F.col("own").alias("own2"), F.col("label").alias("label2"), band(F.col("n")).alias("band"))
+    others = known.select("hub", F.col("class").alias("b"), F.col("n").alias("n2"), F.col("own").alias("own2"), F.col("label").alias("label2"), F.col("profile").alias("profile2"), band(F.col("n")).alias("band"))
     on = (apart["hub"] == others["hub"]) & (apart["band"] == others["band"]) & (F.col("label1") != F.col("label2"))
-    rest = apart.join(others, on & can_link(percent, F.col("n1"), F.col("own1"), F.col("n2"), F.col("own2")))
+    near = can_link(percent, F.col("n1"), F.col("own1"), F.col("n2"), F.col("own2"))
+    rest = apart.join(others, on & near & profiles_allow(percent, F.col("n1"), F.col("profile1"), F.col("n2"), F.col("profile2")))
     rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return links.unionByName(written(verified(rest, sets, percent), "links"))
 
