@@ -2,7 +2,8 @@
 
 The automaton runs over a text's words joined by single blanks, so a phrase is found wherever its words stand
 consecutively; tags are looked up in the raw text, and the expression behind a tag goes through a shunting-yard parser
-for and / or / with. Everything is a function of one document: one pass, no shuffle.
+for and / or / with: all of it, whatever its length, up to the next tag. Everything is a function of one document: one
+pass, no shuffle.
 
 Defined cases: a null text counts as empty and has no words, labels or score; repeated rows give repeated results;
 an empty table gives no rows; other columns are ignored.
@@ -48,56 +49,57 @@ RESULT = "n_words long, places array<struct<label:string,base:boolean,word:long>
 
 
 def parse_expression(text: str) -> tuple[str, list[str]] | None:
-    """Shunting-yard: the expression in postfix order and its licence ids; None if it is not well formed."""
+    """The expression in postfix order and its licence ids; None if it is not well formed."""
+    found = longest_expression(text)
+    return found[1:] if found and found[0] == text.strip() else None
+
+
+def longest_expression(text: str) -> tuple[str, str, list[str]] | None:
+    """The longest run of tokens from the start that parses: text, postfix form, licence ids.
+
+    One shunting-yard pass up to the first token that cannot follow, or that holds a tag and so begins the next
+    expression; it goes back to the last token at which the operand was complete and no bracket was open. There the
+    stack has operators of rising rank only, three at most.
+    """
     out: list[str] = []
     stack: list[str] = []
     ids: list[str] = []
     operand = True  # whether an operand may come next
-    for token in _TOKEN.findall(text):
-        low = token.lower()
+    depth, best = 0, None
+    for m in _TOKEN.finditer(text):
+        low = m[0].lower()
         if low in _OPERATORS:
             if operand:
-                return None
+                break
             while stack and stack[-1] != "(" and _OPERATORS[stack[-1]] >= _OPERATORS[low]:
                 out.append(stack.pop())
             stack.append(low)
             operand = True
-        elif token == "(":
+        elif low == "(":
             if not operand:
-                return None
-            stack.append(token)
-        elif token == ")":
-            if operand:
-                return None
-            while stack and stack[-1] != "(":
+                break
+            stack.append(low)
+            depth += 1
+        elif low == ")":
+            if operand or not depth:
+                break
+            while stack[-1] != "(":
                 out.append(stack.pop())
-            if not stack:
-                return None
             stack.pop()
+            depth -= 1
         else:
-            if not operand:
-                return None
+            if not operand or any(tag in low for tag in TAGS):
+                break
             if not (stack and stack[-1] == "with"):
                 ids.append(low)
             out.append(low)
             operand = False
-    if operand:
+        if not operand and not depth:
+            best = m.end(), len(out), len(ids), stack[::-1]
+    if best is None:
         return None
-    while stack:
-        if stack[-1] == "(":
-            return None
-        out.append(stack.pop())
-    return " ".join(out), sorted(set(ids))
-
-
-def longest_expression(text: str) -> tuple[str, str, list[str]] | None:
-    """The longest run of tokens from the start that parses: text, postfix form, licence ids."""
-    tokens = list(_TOKEN.finditer(text))
-    for n in range(len(tokens), 0, -1):
-        part = text[: tokens[n - 1].end()].strip()
-        if found := parse_expression(part):
-            return (part, *found)
-    return None
+    end, n_out, n_ids, rest = best
+    return text[:end].strip(), " ".join(out[:n_out] + rest), sorted(set(ids[:n_ids]))
 
 
 def build_automaton() -> ahocorasick.Automaton:
@@ -130,9 +132,10 @@ def scan_text(text: str | None, phrases: ahocorasick.Automaton, tags: ahocorasic
         places.append({"label": label, "base": base, "word": word - 1})
     expressions = []
     low = raw.translate(LOWER).decode("latin-1")
-    for end, _ in tags.iter(low):
-        line = _EXPRESSION.match(raw, end + 1)
-        if line and (found := longest_expression(line[1][:1000].decode("latin-1"))):
+    ends = [end + 1 for end, _ in tags.iter(low)]
+    for end, stop in zip(ends, [*ends[1:], len(raw)]):  # up to the next tag, so that all expressions together are one pass
+        line = _EXPRESSION.match(raw, end, stop)
+        if line and (found := longest_expression(line[1].decode("latin-1"))):
             expressions.append({"text": found[0], "parsed": found[1], "licences": found[2]})
     return len(words), places, expressions
 

@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -63,3 +64,38 @@ def test_places(spark, tmp_path):
 
 def test_empty(spark):
     assert L.scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def scan(text):
+    return L.scan_text(text, L.build_automaton(), L.tag_automaton())[2]
+
+
+def test_long_expressions():
+    ids = [f"LicenseRef-{i:04d}" for i in range(600)]
+    for text in (" OR ".join(ids), f"({' AND '.join(ids)})", "(" * 3000 + " OR ".join(ids) + ")" * 3000):
+        assert len(text) > 9000
+        (found,) = scan(f"// SPDX-License-Identifier: {text} OR (MIT\nmore")
+        assert found["text"] == text and found["licences"] == [i.lower() for i in ids]
+
+
+def test_longest_prefix():
+    draw = random.Random(1)
+    for _ in range(3000):
+        tokens = [draw.choice(["(", ")", "or", "AND", "with", "mit", "X", "y"]) for _ in range(draw.randint(0, 9))]
+        parts = (" ".join(tokens[:n]) for n in range(len(tokens), 0, -1))
+        part = next((p for p in parts if valid(p.split())), None)
+        found = L.longest_expression(" ".join(tokens) + " ")
+        assert (found and found[0]) == part
+
+
+def valid(tokens):
+    # the grammar, by reduction of brackets
+    text = "".join({"(": "(", ")": ")", "or": "o", "and": "o", "with": "o"}.get(t.lower(), "x") for t in tokens)
+    while (less := re.sub(r"\(x(ox)*\)", "x", text)) != text:
+        text = less
+    return re.fullmatch(r"x(ox)*", text) is not None
+
+
+def test_tag_ends_expression():
+    assert [e["text"] for e in scan("SPDX-License-Identifier: MIT OR SPDX-License-Identifier: X AND Y")] == ["MIT", "X AND Y"]
+    assert len(scan("MIT OR SPDX-License-Identifier: MIT OR " * 20000)) == 20000
