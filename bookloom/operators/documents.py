@@ -13,24 +13,34 @@ from bookloom.functions import text as T
 #: How long a sample is, how large a portion, a lone block and a document may be.
 SAMPLE_CHARS, PORTION_BYTES, LONE_BYTES, TOTAL_BYTES = 2000, 64 << 10, 1 << 20, 96 << 20
 
+#: What follows the < of a block element's start or end tag.
+_BLOCK = (
+    r"/?(?:h[1-6]|p|li|title|address|article|aside|blockquote|body|caption|center|dd|details|dialog|dir|div|dl|dt|fieldset|figcaption|figure|footer|form"
+    r"|head|header|hgroup|hr|html|legend|main|menu|nav|ol|optgroup|option|pre|search|section|summary|table|tbody|td|tfoot|th|thead|tr|ul)(?=[\s/>]|\z)"
+)
+
 
 def text_sample(annotation: Column, body: Column) -> Column:
     return F.substring(F.btrim(F.concat_ws(" ", annotation, body)), 1, SAMPLE_CHARS)
 
 
 def html_blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """id, seq, kind (header, p, li), anchor, text: headings, paragraphs and list items in order, scripts left out."""
-    body = F.regexp_replace(F.coalesce(html_col, F.lit("")), r"(?is)<(script|style)\b.*?</\1\s*>", " ")
-    found = F.regexp_extract_all(body, F.lit(r"(?is)(<(?:h[1-6]|p|li)\b[^>]*>.*?</(?:h[1-6]|p|li)\s*>)"), F.lit(1))
-    rows = pages.select(F.col(id_col).alias("id"), F.posexplode(found).alias("seq", "raw"))
-    tag = F.lower(F.regexp_extract("raw", r"(?i)^<(h[1-6]|p|li)", 1))
-    return rows.select(
-        "id",
-        "seq",
-        F.when(F.startswith(tag, F.lit("h")), "header").otherwise(tag).alias("kind"),
-        T.clean_anchor(F.regexp_extract("raw", r'(?is)^<[^>]*\bid="([^"]*)"', 1)).alias("anchor"),
-        T.strip_tags(F.col("raw")).alias("text"),
-    ).where("text <> ''")
+    """id, seq, kind (title, header, p, li, text), anchor, text: all text of a page in order; scripts, styles and comments left out.
+
+    A block ends at the next start or end of any block element, so tags that are left open lose nothing; text that
+    follows the end of an element, or stands in one of another kind, is a block of kind text. A tag ends at its first >.
+    """
+    body = F.coalesce(html_col, F.lit(""))
+    body = F.regexp_replace(body, r"(?is)<!--(?:-?>|.*?(?:--!?>|\z))|<(script|style)(?=[\s/>])[^>]*(?:>|\z).*?(?:</\1(?=[\s/>])[^>]*(?:>|\z)|\z)", " ")
+    body = F.regexp_replace(body, rf"(?i)<(?!{_BLOCK})(?:/?[a-z]|[!?/])[^>]*(?:>|\z)", " ")
+    tag = lambda raw: F.lower(F.regexp_extract(raw, r"(?i)^<(h[1-6]|p|li|title)(?=[\s/>]|\z)", 1))
+    block = lambda raw: F.struct(
+        F.when(tag(raw) == "", "text").when(tag(raw).rlike("^h[1-6]$"), "header").otherwise(tag(raw)).alias("kind"),
+        T.clean_anchor(F.regexp_extract(raw, r'(?is)^<[^/>][^>]*\bid="([^"]*)"', 1)).alias("anchor"),
+        F.btrim(F.regexp_replace(F.regexp_replace(raw, r"(?i)^</?[a-z][^>]*(?:>|\z)", " "), r"\s+", " ")).alias("text"),
+    )
+    found = F.filter(F.transform(F.split(body, rf"(?i)(?=<{_BLOCK})"), block), lambda b: b["text"] != "")
+    return pages.select(F.col(id_col).alias("id"), F.posexplode(found).alias("seq", "block")).select("id", "seq", "block.*")
 
 
 def fb2_blocks(texts: DataFrame) -> DataFrame:

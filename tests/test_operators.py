@@ -1,4 +1,5 @@
 from datetime import datetime
+from html.parser import HTMLParser
 
 from pyspark.sql import functions as F
 
@@ -91,3 +92,70 @@ def test_small_helpers(spark):
     df = spark.createDataFrame([(1, "b"), (2, "a")], "id long, username string")
     assert [r.id for r in df.orderBy(*lists.dynamic_order("username", False)).collect()] == [2, 1]
     assert [r.id for r in df.orderBy(*lists.dynamic_order("drop table", True)).collect()] == [2, 1]
+
+
+class Blocks(HTMLParser):
+    """Blocks by an HTML parser: kind and text between the tags of block elements."""
+
+    OTHER = ["html", "head", "body", "nav", "ul", "div", "article", "footer", "table", "tr", "td", "pre", "section"]
+    KINDS = {"p": "p", "li": "li", "title": "title", **{f"h{i}": "header" for i in range(1, 7)}, **dict.fromkeys(OTHER, "text")}
+
+    def __init__(self, html):
+        super().__init__(convert_charrefs=False)
+        self.rows, self.kind, self.text, self.silent = [], "text", "", False
+        self.feed(html)
+        self.close()
+        self.flush("text")
+
+    def flush(self, kind):
+        if text := " ".join(self.text.split()):
+            self.rows.append((self.kind, text))
+        self.kind, self.text = kind, ""
+
+    def tag(self, tag, kind):
+        self.text += " "
+        if tag in self.KINDS:
+            self.flush(kind)
+
+    def handle_starttag(self, tag, attrs):
+        self.silent = tag in ("script", "style")
+        self.tag(tag, self.KINDS.get(tag))
+
+    def handle_endtag(self, tag):
+        self.silent = False
+        self.tag(tag, "text")
+
+    def handle_data(self, data):
+        self.text += "" if self.silent else data
+
+    def handle_entityref(self, name):
+        self.text += f"&{name};"
+
+    def handle_charref(self, name):
+        self.text += f"&#{name};"
+
+    def handle_comment(self, data):
+        self.text += " "
+
+
+PAGES = [
+    "<html><head><title>T &amp; t</title><style>p{}</style></head><body><h1>H</h1><p>one<p>two</p><p>three <b>bold</b><p>last</body></html>",
+    "<div>ad</div><ul><li>a<li>b<ul><li>c</ul>after</ul>tail<footer>foot</footer>",
+    "lead <i>in</i><!-- <p>no</p> --><script>var t='</p><p>x';</script><P class='x' id=\"a\">up</P>rest",
+    "<p>x < y and z > w <pre>  kept\n text</pre><param name=p>more<table><tr><td>1<td>2</table><p>cut",
+    "<div><p>open</div><section><h2>Head<p>para</section>end<script>p('<p>never closed')",
+    "",
+    None,
+]
+
+
+def test_html_blocks_equal_parser(spark):
+    rows = documents.html_blocks(spark.createDataFrame(list(enumerate(PAGES)), "page_id long, html string")).orderBy("id", "seq").collect()
+    for i, page in enumerate(PAGES):
+        assert [(r.kind, r.text) for r in rows if r.id == i] == Blocks(page or "").rows
+    assert [r.text for r in rows if r.anchor] == ["up"]
+
+
+def test_html_blocks_keep_open_paragraphs(spark):
+    rows = documents.html_blocks(spark.createDataFrame([(0, "<article><h1>H</h1><p>a<p>b</p><p>c</article><footer>f")], "page_id long, html string"))
+    assert [(r.kind, r.text) for r in rows.orderBy("seq").collect()] == [("header", "H"), ("p", "a"), ("p", "b"), ("p", "c"), ("text", "f")]
