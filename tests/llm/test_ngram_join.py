@@ -64,3 +64,31 @@ def test_null_ids_and_empty(spark):
     got = sorted(((r.doc_id, r.component_id) for r in J.near_duplicates(df).collect()), key=repr)
     assert got == sorted([(None, 4), (None, 4), (4, 4), (4, 4), (None, None)], key=repr)
     assert J.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_stage_keeps_one_row_of_each_group(spark):
+    text = lambda k, n=40: " ".join(f"w{k}x{i}" for i in range(n))
+    rows = [
+        (1, text(1), "x"),
+        (2, text(1) + " more", "x"),  # a near copy goes
+        (2, text(2), "x"),  # another text under its doc_id stays
+        (None, text(1) + " end", "x"),  # a near copy without an id goes
+        (None, text(3), "x"),
+        (None, text(3) + " more", "x"),  # one of these two stays
+        (5, text(5), "x"),
+        (5, text(5), "x"),  # alike in all columns: one stays
+        (6, text(6), "x"),
+        (6, text(6), None),  # alike in doc_id and text: one stays
+        (7, "", "x"),
+        (7, "", "x"),  # empty texts have no links
+        (8, None, "x"),
+        (9, text(9), "x"),
+    ]
+    for some in (rows, [r for r in rows if r[0] != 5], rows[:0]):
+        df = spark.createDataFrame(some, "doc_id long, text string, source string").repartition(3)
+        got = J.ngram_join_stage(spark, df, "")
+        assert got.columns == df.columns
+        got = [(r.doc_id, r.text) for r in got.collect()]
+        assert len([g for g in got if g[0] is None]) == (1 if some else 0)
+        want = [(1, text(1)), (2, text(2)), (5, text(5)), (6, text(6)), (7, ""), (7, ""), (8, None), (9, text(9))]
+        assert sorted((g for g in got if g[0] is not None), key=repr) == [w for w in want if w[0] in {r[0] for r in some}]
