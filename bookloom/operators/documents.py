@@ -44,14 +44,16 @@ def html_blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html
 
 
 def fb2_blocks(texts: DataFrame) -> DataFrame:
-    """id, seq, kind (header, p, v, subtitle), text, note_refs of the main body of repaired documents (id, text).
+    """id, seq, kind (header, p, v, subtitle, text-author, tr), text, note_refs of the main bodies of repaired documents (id, text).
 
-    Titles are headers; bodies of notes are left out, and links to them are listed with the block that cites them.
+    Titles are headers, rows of tables are blocks; bodies with a name (notes) are left out, and links to them are listed
+    with the block that cites them. A body or block that a truncated document leaves open ends with the text.
     """
-    body = F.regexp_extract(F.coalesce("text", F.lit("")), r"(?s)<body(?![^>]*name=)[^>]*>(.*?)</body\s*>", 1)
-    found = F.regexp_extract_all(body, F.lit(r"(?s)(<title\b[^>]*>.*?</title\s*>|<(?:p|v|subtitle)\b[^>]*>.*?</(?:p|v|subtitle)\s*>)"), F.lit(1))
+    whole = F.regexp_replace(F.coalesce("text", F.lit("")), r"<[^>]*\z", "")
+    body = F.array_join(F.regexp_extract_all(whole, F.lit(r"(?s)<body(?![^>]*name=)[^>]*>(.*?)(?:</body\s*>|\z)"), F.lit(1)), " ")
+    found = F.regexp_extract_all(body, F.lit(r"(?s)(<title\b[^>]*>.*?(?:</title\s*>|\z)|<tr\b[^>]*>.*?(?:</tr\s*>|\z)|<(?:p|v|subtitle|text-author)\b[^>]*>.*?(?:</(?:p|v|subtitle|text-author)\s*>|\z))"), F.lit(1))
     rows = texts.select("id", F.posexplode(found).alias("seq", "raw"))
-    tag = F.regexp_extract("raw", r"^<(title|p|v|subtitle)\b", 1)
+    tag = F.regexp_extract("raw", r"^<(title|p|v|subtitle|text-author|tr)\b", 1)
     return rows.select(
         "id",
         "seq",

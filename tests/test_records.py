@@ -36,3 +36,10 @@ def test_fb2_blocks(spark):
     text = '<FictionBook><body><title><p>Head</p></title><section id="s1"><title><p>One</p></title><p>a <b>b</b></p><empty-line/><p>see <a l:href="#n1" type="note">1</a></p></section></body><body name="notes"><section id="n1"><p>note</p></section></body></FictionBook>'
     rows = documents.fb2_blocks(spark.createDataFrame([("d", text), ("e", None)], "id string, text string")).orderBy("seq").collect()
     assert [(r.kind, r.text, r.note_refs) for r in rows] == [("header", "Head", []), ("header", "One", []), ("p", "a b", []), ("p", "see 1", ["n1"])]
+
+
+def test_fb2_blocks_of_whole_and_truncated_bodies(spark):
+    whole = "<body><p>a</p><table><tr><th>x</th><td>y</td></tr></table><text-author>who</text-author></body><body name='notes'><p>n</p></body><body><p>b</p></body>"
+    cut = "<body><title><p>T</p></title><p>one</p><p>two <emph"
+    rows = documents.fb2_blocks(spark.createDataFrame([(1, whole), (2, cut)], "id long, text string")).orderBy("id", "seq").collect()
+    assert [(r.kind, r.text) for r in rows] == [("p", "a"), ("tr", "x y"), ("text-author", "who"), ("p", "b"), ("header", "T"), ("p", "one"), ("p", "two")]
