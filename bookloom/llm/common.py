@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,19 +24,34 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
 
+@lru_cache(maxsize=8)
+def _own_dir(application: str) -> str:
+    return tempfile.mkdtemp(prefix="bookloom-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a local session (one machine, as in tests) gets a temporary folder of its own and others an error.
+    """
     conf = spark.sparkContext.getConf()
     found = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="bookloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = _own_dir(spark.sparkContext.applicationId)
     return found.rstrip("/")
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Let Arrow batches of texts hold ARROW_BYTES at most, so that workers need the same memory whatever the texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    """Let Arrow batches of texts hold ARROW_BYTES at most, so that workers need the same memory whatever the texts.
+
+    A session that has a smaller size keeps it.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    if now is None or not now.isdigit() or int(now) > ARROW_BYTES:
+        spark.conf.set(key, str(ARROW_BYTES))
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -50,6 +66,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """name, with underscores after it until it differs from all names in taken (case apart, as Spark has it)."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
+def free_prefix(prefix: str, taken: list[str]) -> str:
+    """prefix, with underscores after it until no name in taken begins with it."""
+    while any(t.lower().startswith(prefix.lower()) for t in taken):
+        prefix += "_"
+    return prefix
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

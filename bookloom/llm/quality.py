@@ -1,12 +1,16 @@
 """Quality rules as weak supervision: rules vote or abstain, expectation-maximisation weighs them.
 
-Column expressions only; the table of vote patterns (at most 3 to the number of rules, 729) is the one thing that
-goes to the driver. Every rule votes +1 (good), -1 (bad) or 0 (abstains). A model with two hidden classes gives each
-rule its own vote probabilities in each class; expectation-maximisation over the counts of vote patterns of all
-documents fits them, and a document is kept if its posterior probability of being good is at least the threshold.
+Column expressions only; the table of vote patterns (at most 3 to the number of rules, some hundreds in practice) is
+the one thing that goes to the driver. Every rule votes +1 (good), -1 (bad) or 0 (abstains). A model with two hidden
+classes gives each rule a probability of each of its three votes in each class; expectation-maximisation over the
+counts of vote patterns of all documents fits them from the shares of approving votes, without labels and without
+bounds but add-one smoothing. A document is kept if its posterior probability of being good is at least the threshold
+and the base rule holds: so approvals can outweigh the rejection of a weak rule, and abstentions can add up to a
+rejection.
 
 Defined cases: a null or empty text has no words, fails the base rule and is not kept; repeated rows are judged
-alike, each for itself; an empty table gives no rows; other columns are ignored by the features.
+alike, each for itself; a tie at the threshold is kept; an empty table gives no rows; columns besides those in keep are
+ignored, and a column in keep that has the name of a result column gets underscores after its name.
 """
 
 from __future__ import annotations
@@ -16,15 +20,13 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookloom.llm.common import SPACE_CLASS, let, written
+from bookloom.llm.common import SPACE_CLASS, free_name, free_prefix, let, written
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+LEAST_WORDS = 50
 THRESHOLD = 0.5
-ROUNDS = 60
-#: Bounds that keep the classes in their sense: the share of good documents, how often a rule rejects a good document
-#: at most and a bad one at least, and the log-odds that one approving vote adds at most (a bad document mostly fails
-#: a single rule).
-PRIOR, FALSE_REJECT, TRUE_REJECT, APPROVAL = (0.5, 0.98), 0.002, 0.1, 0.2
+#: Rounds at most, and the change of a posterior at which fitting ends.
+ROUNDS, SETTLED = 200, 1e-9
 
 
 def repeat_words(words: Column) -> Column:
@@ -50,93 +52,112 @@ def repeat_words(words: Column) -> Column:
     return let(windows, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(covered(h)))
 
 
-def features(docs: DataFrame, text_col: str = "text") -> list[Column]:
-    """Columns from which with_counts takes its counts, of the whole text."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+def features(text_col: str, prefix: str = "") -> list[Column]:
+    """Columns from which counts() takes the counts of the whole text."""
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     words = F.filter(F.split(text, SPACE_CLASS + "+"), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), lambda s: s.rlike(r"[^\x20\x09-\x0D]"))
     counted = let(words, lambda w: F.struct(F.size(w).cast("long").alias("n"), repeat_words(w).alias("again")))
     line_counts = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), F.size(F.array_distinct(x)).cast("long").alias("own")))
-    return [
-        counted.alias("_counted"),
-        F.char_length(F.regexp_replace(text, SPACE_CLASS + "+", "")).cast("long").alias("word_chars"),
-        F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        line_counts.alias("_lines"),
-        F.regexp_count(text, F.lit(r"\p{Lu}")).cast("long").alias("n_upper"),
-        F.regexp_count(text, F.lit("!")).cast("long").alias("n_cries"),
-    ]
-
-
-def with_counts(docs: DataFrame, keep: list[str]) -> DataFrame:
-    rows = docs.select(*keep, *features(docs))
-    return rows.select(
-        *keep,
-        F.col("_counted")["n"].alias("n_words"),
-        "word_chars",
-        "n_symbols",
-        (F.col("_lines")["n"] - F.col("_lines")["own"]).alias("n_dup_lines"),
-        F.col("_counted")["again"].alias("n_repeat_words"),
-        F.col("_lines")["n"].alias("n_lines"),
-        "n_upper",
-        "n_cries",
-    )
-
-
-def _vote(bad: Column, good: Column) -> Column:
-    return F.when(bad, -1).when(good, 1).otherwise(0).cast("int")
-
-
-def votes() -> list[Column]:
-    """One column v0, v1, ... for each rule, over the columns of with_counts."""
-    n, c = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("word_chars"), F.lit(1))
-    rules = [
-        (F.col("n_symbols") > 0.2 * n, F.col("n_symbols") <= 0.05 * n),
-        (F.col("n_dup_lines") > 0.5 * F.col("n_lines"), F.col("n_dup_lines") <= 0.2 * F.col("n_lines")),
-        (F.col("n_repeat_words") > 0.4 * n, F.col("n_repeat_words") <= 0.25 * n),
-        ((c > 15 * n) | (c < 2 * n), (c <= 11 * n) & (c >= 3 * n)),
-        (F.col("n_upper") > 0.4 * c, F.col("n_upper") <= 0.15 * c),
-        (F.col("n_cries") > 0.3 * n, F.col("n_cries") <= 0.05 * n),
-    ]
-    return [_vote(*r).alias(f"v{i}") for i, r in enumerate(rules)]
+    left = lambda pattern: F.char_length(F.regexp_replace(text, pattern, "")).cast("long")
+    each = {
+        "counted": counted,
+        "lines": line_counts,
+        "word_chars": left(SPACE_CLASS + "+"),
+        "n_symbols": F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long"),
+        "n_upper": F.regexp_count(text, F.lit(r"\p{Lu}")).cast("long"),
+        "n_cries": F.regexp_count(text, F.lit("!")).cast("long"),
+        "n_letters": left(r"\P{L}+"),
+        "n_digits": F.regexp_count(text, F.lit(r"\p{Nd}")).cast("long"),
+        "n_ends": F.regexp_count(text, F.lit(rf"[.!?](?={SPACE_CLASS}|\z)")).cast("long"),
+    }
+    return [c.alias(prefix + n) for n, c in each.items()]
+
+
+def counts(prefix: str = "") -> dict[str, Column]:
+    """The counts by name, over the columns of features()."""
+    col = lambda n: F.col(f"`{prefix}{n}`")
+    plain = {n: col(n) for n in ("word_chars", "n_symbols", "n_upper", "n_cries", "n_letters", "n_digits", "n_ends")}
+    return plain | {"n_words": col("counted")["n"], "n_repeat_words": col("counted")["again"], "n_lines": col("lines")["n"], "n_dup_lines": col("lines")["n"] - col("lines")["own"]}
+
+
+def rules(c: dict[str, Column]) -> dict[str, tuple[Column, Column]]:
+    """For each rule when it rejects and when it approves, by counts; between the two it abstains."""
+    n, chars, lines = (F.greatest(c[k], F.lit(1)) for k in ("n_words", "word_chars", "n_lines"))
+    return {
+        "symbols": (c["n_symbols"] > 0.2 * n, c["n_symbols"] <= 0.05 * n),
+        "repeated lines": (c["n_dup_lines"] > 0.3 * lines, c["n_dup_lines"] <= 0.1 * lines),
+        "repeated words": (c["n_repeat_words"] > 0.3 * n, c["n_repeat_words"] <= 0.1 * n),
+        "length of words": ((chars > 10 * n) | (chars < 3 * n), (chars <= 8 * n) & (chars >= 4 * n)),
+        "capitals": (c["n_upper"] > 0.2 * chars, c["n_upper"] <= 0.08 * chars),
+        "exclamations": (c["n_cries"] > 0.1 * n, c["n_cries"] <= 0.02 * n),
+        "letters": (c["n_letters"] < 0.8 * chars, c["n_letters"] >= 0.9 * chars),
+        "ends of sentences": (c["n_ends"] < 0.03 * n, c["n_ends"] >= 0.05 * n),
+        "length of lines": (n < 10 * lines, n >= 20 * lines),
+        "digits": (c["n_digits"] > 0.1 * chars, c["n_digits"] <= 0.03 * chars),
+    }
+
+
+def votes(c: dict[str, Column]) -> list[Column]:
+    return [F.when(bad, -1).when(good, 1).otherwise(0).cast("int") for bad, good in rules(c).values()]
 
 
 def fit_votes(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[float, list[dict[int, float]]]:
-    """Expectation-maximisation over (votes, count): the prior log-odds of good, and per rule the log-odds of each vote."""
+    """Expectation-maximisation over (votes, count): the prior log-odds of good, and per rule the log-odds of each vote.
+
+    It begins with the share of approvals among a pattern's votes. The class in which votes approve more is the good
+    one: should rounds have turned the classes round, all signs turn.
+    """
     if not patterns:
         return 0.0, []
-    total = sum(n for _, n in patterns)
-    good = [0.001 if -1 in v else 0.999 for v, _ in patterns]
+    total, width = sum(n for _, n in patterns), len(patterns[0][0])
+    good = [(v.count(1) + 0.5) / (v.count(1) + v.count(-1) + 1) for v, _ in patterns]
     prior, weights = 0.0, []
     for _ in range(ROUNDS):
-        mass = sum(g * n for g, (_, n) in zip(good, patterns))
-        share = min(max((mass + 1) / (total + 2), PRIOR[0]), PRIOR[1])
-        prior = math.log(share / (1 - share))
+        mass = [g * n for g, (_, n) in zip(good, patterns)]
+        all_good = sum(mass)
+        prior = math.log((all_good + 1) / (total - all_good + 1))
         weights = []
-        for j in range(len(patterns[0][0])):
-            in_good, in_bad = ({x: (sum(w(g) * n for g, (v, n) in zip(good, patterns) if v[j] == x) + 0.01) for x in (-1, 0, 1)} for w in (lambda g: g, lambda g: 1 - g))
-            p_good, p_bad = ({x: n / sum(c.values()) for x, n in c.items()} for c in (in_good, in_bad))
-            reject = math.log(min(p_good[-1], FALSE_REJECT) / max(p_bad[-1], TRUE_REJECT))
-            approve = min(max(math.log(p_good[1] / p_bad[1]), 0.0), APPROVAL)
-            weights.append({-1: reject, 0: 0.0, 1: approve})
-        good = [1 / (1 + math.exp(-prior - sum(w[x] for w, x in zip(weights, v)))) for v, _ in patterns]
+        for j in range(width):
+            seen, fine = dict.fromkeys((-1, 0, 1), 0.0), dict.fromkeys((-1, 0, 1), 0.0)
+            for m, (v, n) in zip(mass, patterns):
+                seen[v[j]] += n
+                fine[v[j]] += m
+            weights.append({x: math.log((fine[x] + 1) / (all_good + 3)) - math.log((seen[x] - fine[x] + 1) / (total - all_good + 3)) for x in (-1, 0, 1)})
+        after = [1 / (1 + math.exp(min(-prior - sum(w[x] for w, x in zip(weights, v)), 700.0))) for v, _ in patterns]
+        moved = max(abs(a - b) for a, b in zip(after, good))
+        good = after
+        if moved < SETTLED:
+            break
+    if sum(w[1] - w[-1] for w in weights) < 0:
+        prior, weights = -prior, [{x: -o for x, o in w.items()} for w in weights]
     return prior, weights
 
 
-def quality(docs: DataFrame, keep: list[str], threshold: float = THRESHOLD) -> DataFrame:
-    """keep, the counts, base_failed, score (posterior of good) and kept, for every row of docs.
-
-    The columns in keep must not be named like the counts; the query and the pipeline pass identifiers only.
-    """
-    counted = written(with_counts(docs, keep), "quality")
-    judged = counted.select("*", *votes())
-    names = [c for c in judged.columns if c not in counted.columns]
-    found = judged.groupBy(*names).count().collect()  # at most 3 ** len(names) rows
+def posterior(rows: DataFrame, each: list[Column]) -> Column:
+    """The posterior of good as a column over rows, fitted on their votes."""
+    names = [f"v{i}" for i in range(len(each))]
+    found = rows.select(*[v.alias(n) for v, n in zip(each, names)]).groupBy(*names).count().collect()  # a row a pattern
     prior, weights = fit_votes(sorted((tuple(r[c] for c in names), r["count"]) for r in found))
     odds = F.lit(prior)
-    for c, w in zip(names, weights):
-        odds = odds + F.when(F.col(c) == -1, w[-1]).when(F.col(c) == 1, w[1]).otherwise(w[0])
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    scored = judged.select(*keep, *COUNTS, failed.alias("base_failed"), (1 / (1 + F.exp(-odds))).alias("score"))
+    for v, w in zip(each, weights):
+        odds = odds + F.when(v == -1, w[-1]).when(v == 1, w[1]).otherwise(w[0])
+    return 1 / (1 + F.exp(-odds))
+
+
+def base_fails(c: dict[str, Column]) -> Column:
+    return (c["n_words"] < LEAST_WORDS) | (100 * c["n_repeat_words"] > 50 * c["n_words"])
+
+
+def quality(docs: DataFrame, keep: list[str], threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """keep, the counts, base_failed, score (posterior of good) and kept, for every row of docs."""
+    results = [*COUNTS, "base_failed", "score", "kept"]
+    named = [F.col(f"`{k}`").alias(free_name(k, results)) for k in keep]
+    at = free_prefix("_q_", [free_name(k, results) for k in keep])
+    counted = written(docs.select(*named, *features(text_col, at)), "quality")
+    c = counts(at)
+    score = posterior(counted, votes(c)).alias("score")
+    scored = counted.select(*counted.columns[: len(keep)], *[c[n].alias(n) for n in COUNTS], base_fails(c).alias("base_failed"), score)
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
 
 
@@ -148,9 +169,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go; all columns of the others stay.
 
-    The verdict is worked out from the text alone, so a plain filter on doc_id and a hash of the text finds the rows.
+    The rows are written once beside their counts and filtered as they are read again: no text is shuffled.
     """
-    key = [F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_h")]
-    rejected = quality(docs.select(*key, "text"), ["_id", "_h"]).where(~F.col("kept")).select("_id", "_h").distinct()
-    on = docs["doc_id"].eqNullSafe(rejected["_id"]) & (F.xxhash64(docs["text"]) == rejected["_h"])
-    return docs.join(rejected, on, "left_anti")
+    at = free_prefix("_q_", docs.columns)
+    held = written(docs.select("*", *features("text", at)), "quality")
+    c = counts(at)
+    kept = ~base_fails(c) & (posterior(held, votes(c)) >= THRESHOLD)
+    return held.where(kept).select(*[F.col(f"`{n}`") for n in docs.columns])

@@ -1,9 +1,16 @@
+import math
+import random
 import re
+import unicodedata
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from bookloom.llm import quality as Q
 
+SF = "/root/testdata/sf0.001"
+
 
 def brute(text):
     text = text or ""
@@ -28,8 +35,9 @@ def test_counts(spark):
 
 
 def test_verdicts(spark):
-    good = [" ".join(f"word{(i * 7 + j * 13) % 997}" for j in range(120)) + "." for i in range(40)]
-    bad = [" ".join(f"word{(i * 5 + j * 11) % 997}***" for j in range(120)) for i in range(6)]
+    name = lambda k: "".join("aeioulnrst"[int(c)] for c in f"{k % 99991:05d}")
+    good = [". ".join(" ".join(name(i * 7919 + j * 104729 + k) for k in range(10)) for j in range(0, 120, 10)) + "." for i in range(40)]
+    bad = [" ".join(name(i * 7919 + j * 104729) + "***" for j in range(120)) for i in range(6)]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(good + bad + ["short"])], "doc_id long, text string")
     rows = {r.doc_id: r for r in Q.quality(df, ["doc_id"]).collect()}
     assert all(rows[i].kept for i in range(40))
@@ -44,12 +52,122 @@ def test_empty_and_repeats(spark):
     assert Q.quality(twice, ["doc_id"]).count() == 2
 
 
-def test_em_weights():
-    prior, w = Q.fit_votes([((1, 1, 1, 1), 900), ((-1, 1, 0, -1), 50), ((1, -1, -1, 1), 50)])
-    assert prior > 1 and all(x[-1] < 0 <= x[1] for x in w[:2])
+def brute_em(patterns, rounds=Q.ROUNDS):
+    """The same model row by row: probabilities instead of log-odds."""
+    rows = [v for v, n in patterns for _ in range(n)]
+    good = [(v.count(1) + 0.5) / (v.count(1) + v.count(-1) + 1) for v in rows]
+    for _ in range(rounds):
+        a, b = sum(good) + 1, len(rows) - sum(good) + 1
+        tables = []
+        for j in range(len(rows[0])):
+            of = {x: [g for g, v in zip(good, rows) if v[j] == x] for x in (-1, 0, 1)}
+            tables.append({x: ((sum(g) + 1) / (a + 2), (len(g) - sum(g) + 1) / (b + 2)) for x, g in of.items()})
+        new = []
+        for v in rows:
+            p, q = a, b
+            for x, t in zip(v, tables):
+                p, q = p * t[x][0], q * t[x][1]
+            new.append(p / (p + q))
+        good = new
+    return {v: g for v, g in zip(rows, good)}
+
+
+def posterior(v, prior, weights):
+    return 1 / (1 + math.exp(-prior - sum(w[x] for w, x in zip(weights, v))))
+
+
+def test_em_recovers_planted_accuracies():
+    draw = random.Random(5)
+    right, abstains, share = [0.97, 0.9, 0.85, 0.7, 0.55], [0.1, 0.0, 0.3, 0.2, 0.0], 0.8
+    found, truth = Counter(), []
+    for _ in range(60000):
+        good = draw.random() < share
+        v = tuple(0 if draw.random() < a else (1 if (draw.random() < r) == good else -1) for r, a in zip(right, abstains))
+        found[v] += 1
+        truth.append((v, good))
+    prior, weights = Q.fit_votes(sorted(found.items()))
+    assert 1 / (1 + math.exp(-prior)) == pytest.approx(share, abs=0.02)
+    for w, r, a in zip(weights, right, abstains):  # P(vote | good) / P(vote | bad) is r / (1 - r), and its inverse for a rejection
+        assert w[1] == pytest.approx(math.log(r / (1 - r)), abs=0.25) and w[-1] == pytest.approx(-math.log(r / (1 - r)), abs=0.25) and (not a or abs(w[0]) < 0.1)
+    judged = sum((posterior(v, prior, weights) >= 0.5) == good for v, good in truth) / len(truth)
+    unanimous = sum((-1 not in v) == good for v, good in truth) / len(truth)
+    assert judged > 0.97 and judged > unanimous + 0.2
+
+
+def test_em_equals_brute_force():
+    patterns = [((1, 1, 1, 1), 90), ((1, 1, -1, 1), 9), ((-1, 0, 1, -1), 12), ((-1, -1, -1, -1), 3), ((0, 0, 0, 1), 5)]
+    prior, weights = Q.fit_votes(patterns)
+    for v, g in brute_em(patterns).items():
+        assert posterior(v, prior, weights) == pytest.approx(g, abs=1e-6)
     assert Q.fit_votes([]) == (0.0, [])
 
 
+def test_classes_keep_their_sense():
+    prior, weights = Q.fit_votes([((1, 1, 1), 5), ((-1, -1, -1), 95)])  # most rows are bad
+    assert prior < 0 and posterior((1, 1, 1), prior, weights) > 0.9 > 0.1 > posterior((-1, -1, -1), prior, weights)
+
+
+def ratio_votes(text):
+    n, chars, symbols, dups, again = brute(text)
+    lines = max(sum(1 for s in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", s)), 1)
+    text = text or ""
+    upper, letters, digits = (sum(f(c) for c in text) for f in (lambda c: unicodedata.category(c) == "Lu", lambda c: unicodedata.category(c)[0] == "L", lambda c: unicodedata.category(c) == "Nd"))
+    ends = len(re.findall(r"[.!?](?=[\x20\x09-\x0D]|\Z)", text))
+    n, chars = max(n, 1), max(chars, 1)
+    vote = lambda bad, good: -1 if bad else 1 if good else 0
+    return (
+        vote(symbols > 0.2 * n, symbols <= 0.05 * n),
+        vote(dups > 0.3 * lines, dups <= 0.1 * lines),
+        vote(again > 0.3 * n, again <= 0.1 * n),
+        vote(chars > 10 * n or chars < 3 * n, 4 * n <= chars <= 8 * n),
+        vote(upper > 0.2 * chars, upper <= 0.08 * chars),
+        vote(text.count("!") > 0.1 * n, text.count("!") <= 0.02 * n),
+        vote(letters < 0.8 * chars, letters >= 0.9 * chars),
+        vote(ends < 0.03 * n, ends >= 0.05 * n),
+        vote(n < 10 * lines, n >= 20 * lines),
+        vote(digits > 0.1 * chars, digits <= 0.03 * chars),
+    )
+
+
+def test_query_equals_brute_force(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    voted = {i: ratio_votes(t) for i, t in texts.items()}
+    want = brute_em(sorted(Counter(voted.values()).items()))
+    for r in Q.op9_quality(spark, SF).collect():
+        n, _, _, _, again = brute(texts[r.doc_id])
+        assert r.score == pytest.approx(want[voted[r.doc_id]], abs=1e-6)
+        assert r.base_failed == (n < 50 or 100 * again > 50 * n) and r.kept == (not r.base_failed and r.score >= 0.5)
+
+
+def test_posterior_is_not_unanimity(spark):
+    """Weak rejections are outweighed, and abstentions alone can add up."""
+    at = SF.replace("0.001", "0.1")
+    counted = spark.read.parquet(f"{at}/documents.parquet").select("doc_id", *Q.features("text")).cache()
+    each = Q.votes(Q.counts())
+    rejected = F.array_contains(F.array(*each), -1)
+    judged = counted.select("doc_id", rejected.alias("rejected"), Q.base_fails(Q.counts()).alias("base_failed"), (Q.posterior(counted, each) >= 0.5).alias("fine"))
+    rows = judged.join(spark.read.parquet(f"{at}/labels.parquet"), "doc_id", "left").collect()
+    assert sum(r.rejected and r.fine for r in rows) > 100 and sum(not r.rejected and not r.fine for r in rows) > 10
+    rows = [r for r in rows if not r.base_failed]
+    good, bad = ([r.fine for r in rows if r.quality == q] for q in (1, 0))
+    assert sum(good) >= 0.99 * len(good) and sum(bad) <= 0.05 * len(bad)
+
+
+def test_clashing_names(spark):
+    text = " ".join(f"word{i}" for i in range(60)) + "."
+    df = spark.createDataFrame([(1, text, 7, "x", "y", "z")], "doc_id long, text string, n_words int, kept string, _q_counted string, V0 string")
+    out = Q.quality(df, ["doc_id", "n_words", "kept", "_q_counted", "V0"])
+    assert out.columns == ["doc_id", "n_words_", "kept_", "_q_counted", "V0", *Q.COUNTS, "base_failed", "score", "kept"]
+    assert out.first()["n_words_"] == 7 and out.first()["n_words"] == 60
+    assert Q.quality_stage(spark, df, "").collect() == df.collect()
+
+
+def test_long_text(spark):
+    long = "one two three four five six. " * 150_000  # 4 MB
+    df = spark.createDataFrame([(1, long), (2, long.replace("one", "One", 1))], "doc_id long, text string")
+    assert {tuple(r[c] for c in Q.COUNTS) for r in Q.quality(df, ["doc_id"]).collect()} == {(900_000, 3_450_000, 0, 0, 900_000), (900_000, 3_450_000, 0, 0, 899_999)}
+
+
 @pytest.mark.parametrize("n", [1])
 def test_stage_keeps_columns(spark, n):
     df = spark.createDataFrame([(1, "a b " * 9, "en", "s", 3), (2, " ".join(f"w{i}" for i in range(99)), "en", "s", 3)], "doc_id long, text string, lang string, source string, n_chars long")
