@@ -6,8 +6,9 @@ yields slots, ranges of ranks within a length that go to ranges of sequences. A
 row number within (length, block) plus the number of pieces of that length in earlier blocks, so no length, however
 common, meets in one task. Pieces take their slots by joining on length and rank.
 
-Defined cases: a null or empty text is the single token 0; repeated rows are packed each for itself; an empty table
-gives no rows; other columns are ignored unless asked for.
+Defined cases: a null or empty text is the single token 0; repeated rows are packed each for itself; which of several
+pieces of one length takes which place is not promised, but offsets and sequences are gapless and whole; an empty
+table gives no rows; other columns are ignored unless asked for.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bookloom.llm.common import mix64, small_batches, text_steps, written
+from bookloom.llm.common import free_name, free_prefix, mix64, small_batches, text_steps, written
 
 CAPACITY = 2048
 END_ID = 0
@@ -33,6 +34,7 @@ STEP_BYTES = 1 << 19
 #: Pieces of words that a worker remembers at most before it starts anew.
 MEMORY = 400_000
 TOKENIZER = "byte_bpe_50k.json"
+RESULTS = ["piece", "start", "length", "ids", "ids_crc32", "sequence_id", "offset"]
 
 
 @lru_cache(maxsize=1)
@@ -106,12 +108,15 @@ def byte_ranks(path: str) -> dict[bytes, int] | None:
 class PieceTokenizer:
     """Ids of texts, as the tokenizers library gives them; every distinct piece of a step is encoded once.
 
-    Where the ids of the file follow its merges, its vocabulary runs in a faster merger, which gives the same ids.
+    Where the ids of the file follow its merges, its vocabulary runs in a faster merger, which gives the same ids. A
+    text that holds a control string of the file goes through the library whole; as_text makes it ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks already use all cores
-        self.path, self.library, self.merger = path, None, None
+        self.path, self.library, self.merger, self.as_text = path, None, None, as_text
+        with open(path, encoding="utf-8") as f:
+            self.control = [] if as_text else [t["content"] for t in json.load(f).get("added_tokens", [])]
         ranks = byte_ranks(path)
         if ranks:  # the same merges, faster on words that are new
             import tiktoken
@@ -132,7 +137,7 @@ class PieceTokenizer:
             from tokenizers import Tokenizer
 
             self.library = Tokenizer.from_file(self.path)
-            self.library.encode_special_tokens = True  # control strings in a text are ordinary text
+            self.library.encode_special_tokens = self.as_text
         return [e.ids for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
 
     def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
@@ -160,6 +165,18 @@ class PieceTokenizer:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts one after another, and how many each text has."""
+        apart = [i for i, t in enumerate(texts) if any(c in t for c in self.control)]
+        if not apart:
+            return self._encode_plain(texts)
+        held = set(apart)
+        ids, counts = self._encode_plain(["" if i in held else t for i, t in enumerate(texts)])
+        whole = dict(zip(apart, self._ids([texts[i] for i in apart])))
+        ends = np.cumsum(counts)
+        parts = [np.asarray(whole[i], np.int32) if i in held else ids[e - n : e] for i, (e, n) in enumerate(zip(ends, counts))]
+        counts[apart] = [len(whole[i]) for i in apart]
+        return np.concatenate(parts), counts
+
+    def _encode_plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         joined = "".join(texts)
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         if not joined:
@@ -196,8 +213,8 @@ class PieceTokenizer:
 
 
 @lru_cache(maxsize=2)
-def piece_tokenizer(path: str) -> PieceTokenizer:
-    return PieceTokenizer(path)
+def piece_tokenizer(path: str, as_text: bool = False) -> PieceTokenizer:
+    return PieceTokenizer(path, as_text)
 
 
 def default_tokenizer() -> str:
@@ -206,20 +223,22 @@ def default_tokenizer() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
-def token_pieces(docs: DataFrame, keep: list[str], tokenizer: str | None = None, capacity: int = CAPACITY, text_col: str = "text", digest: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, keep: list[str], tokenizer: str | None = None, capacity: int = CAPACITY, text_col: str = "text", digest: bool = False, as_text: bool = False) -> DataFrame:
     """keep, piece, start, length, ids (array<int>): a document's ids and END_ID, cut only if longer than capacity.
 
-    The columns in keep must have other names than these. Of a longer document the first piece may be shorter. digest
-    gives ids_crc32 (over little-endian ids) in place of the ids, so that these never leave the Python worker.
+    Of a longer document the first piece may be shorter. digest gives ids_crc32 (over little-endian ids) in place of
+    the ids, so that these never leave the Python worker. Control strings of the tokenizer's file that stand in a text
+    get their ids, as the library has it; as_text makes them ordinary text.
     """
     small_batches(docs.sparkSession)
     path = tokenizer or default_tokenizer()
-    rows = docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
     last, kind = ("ids_crc32", "long") if digest else ("ids", "array<int>")
-    names = [*keep, "piece", "start", "length", last]
+    held = [free_name(k, [*RESULTS, last]) for k in keep]
+    rows = docs.select(*[F.col(f"`{k}`").alias(h) for k, h in zip(keep, held)], F.col(f"`{text_col}`").cast("string"))
+    names = [*held, "piece", "start", "length", last]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = piece_tokenizer(path)
+        own = piece_tokenizer(path, as_text)
         for batch in batches:
             texts = batch.column(len(keep))
             for a, b in text_steps(texts, STEP_BYTES):
@@ -296,37 +315,44 @@ def best_fit_plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tupl
     return slots
 
 
-def assign(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """pieces (with length and block) plus sequence_id and offset. pieces is read several times and should be written."""
-    spark = pieces.sparkSession
-    by_block = pieces.groupBy("length", "block").count()
-    counts = {r["length"]: r["n"] for r in by_block.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # at most capacity rows
+def assign(pieces: DataFrame, block: str, capacity: int = CAPACITY) -> DataFrame:
+    """pieces but their block, plus sequence_id and offset. pieces is read several times and should be written."""
+    spark, p = pieces.sparkSession, free_prefix("_s_", pieces.columns)
+    part = pieces.select("length", F.col(block).alias(f"{p}block"))
+    by_block = part.groupBy("length", f"{p}block").agg(F.count("*").alias(f"{p}n"))
+    counts = {r["length"]: r["n"] for r in by_block.groupBy("length").agg(F.sum(f"{p}n").alias("n")).collect()}  # at most capacity rows
     slots = spark.createDataFrame(best_fit_plan(counts, capacity), "length long, rank long, many long, each long, first long, at long")
-    before = Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    base = by_block.select("length", "block", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("length", "block").orderBy(F.monotonically_increasing_id())
-    ranked = pieces.withColumn("_row", F.row_number().over(inside) - 1).join(base, ["length", "block"])
-    ranked = ranked.withColumn("_rank", F.col("_row") + F.col("base"))
-    slots = slots.select(F.col("length").alias("_length"), "rank", "many", "each", "first", "at")
-    hit = (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("rank")) & (F.col("_rank") < F.col("rank") + F.col("many") * F.col("each"))
-    joined = ranked.join(F.broadcast(slots), hit)
-    place = F.col("_rank") - F.col("rank")
-    return joined.select(
-        *pieces.columns,
-        (F.col("first") + F.floor(place / F.col("each"))).cast("long").alias("sequence_id"),
-        (F.col("at") + (place % F.col("each")) * F.col("length")).cast("long").alias("offset"),
+    before = Window.partitionBy("length").orderBy(f"{p}block").rowsBetween(Window.unboundedPreceding, -1)
+    base = by_block.select(F.col("length").alias(f"{p}length"), f"{p}block", F.coalesce(F.sum(f"{p}n").over(before), F.lit(0)).alias(f"{p}base"))
+    inside = Window.partitionBy("length", block).orderBy(F.monotonically_increasing_id())
+    ranked = pieces.withColumn(f"{p}row", F.row_number().over(inside) - 1)
+    ranked = ranked.join(base, (ranked["length"] == base[f"{p}length"]) & (ranked[block] == base[f"{p}block"]))
+    rank, slot = F.col(f"{p}row") + F.col(f"{p}base"), F.col(f"{p}slot")
+    slots = slots.select(F.struct("*").alias(f"{p}slot"))
+    hit = (F.col("length") == slot["length"]) & (rank >= slot["rank"]) & (rank < slot["rank"] + slot["many"] * slot["each"])
+    place = rank - slot["rank"]
+    return ranked.join(F.broadcast(slots), hit).select(
+        *[F.col(f"`{c}`") for c in pieces.columns if c != block],
+        (slot["first"] + F.floor(place / slot["each"])).cast("long").alias("sequence_id"),
+        (slot["at"] + (place % slot["each"]) * F.col("length")).cast("long").alias("offset"),
     )
 
 
-def packed(docs: DataFrame, keep: list[str], tokenizer: str | None = None) -> DataFrame:
-    pieces = token_pieces(docs, keep, tokenizer, digest=True).withColumn("block", F.spark_partition_id())
-    pieces = written(pieces, "pieces")
-    return assign(pieces).drop("block")
+def packed(docs: DataFrame, keep: list[str], tokenizer: str | None = None, digest: bool = False, as_text: bool = False) -> DataFrame:
+    """keep, piece, start, length, ids (or, with digest, ids_crc32), sequence_id, offset: a row per piece.
+
+    Pieces of one length are alike for the plan; they take its places in the order in which their tasks read them. A
+    column in keep that has the name of a result column gets underscores after its name.
+    """
+    pieces = token_pieces(docs, keep, tokenizer, digest=digest, as_text=as_text)
+    block = free_name("block", pieces.columns)
+    return assign(written(pieces.withColumn(block, F.spark_partition_id()), "pieces"), block)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id"])
+    return packed(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id"], digest=True)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packed(docs, ["doc_id"])
+    """Token ids of every document as packed pieces; a control string in a text is ordinary text here."""
+    return packed(docs, ["doc_id"], as_text=True)

@@ -10,19 +10,25 @@ from bookloom.llm import packing as P
 TEXTS = [None, "", "a", "Hello there, it's a test's 'story'.", "\n\n  x", "word " * 5000, "é" * 100, "tab\tand  two", "<|endoftext|>", "x" * 3000, "a", "a"]
 
 
-@pytest.fixture(scope="module")
-def plain():
+def library(as_text):
     t = Tokenizer.from_file(P.default_tokenizer())
-    t.encode_special_tokens = True
+    t.encode_special_tokens = as_text
     return t
 
 
-def test_ids_equal_the_library(plain, monkeypatch):
+@pytest.fixture(scope="module")
+def plain():
+    return library(False)
+
+
+@pytest.mark.parametrize("as_text", [False, True])
+def test_ids_equal_the_library(as_text, monkeypatch):
+    plain = library(as_text)
     r = random.Random(3)
     parts = ["a", "Zé", "ß", "1²", "½", "_", "'", "'s", "'re", "'ll", "'ve", "'S", " ", "  ", "\n", "\r\n", "\xa0", "\x85", "\x1c", "​", "!", "中文", "😀", "́", "<|endoftext|>", " the", "''s", "\x00"]
     texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 40))) for _ in range(1500)] + [t or "" for t in TEXTS]
     monkeypatch.setattr(P, "MEMORY", 900)  # forgets along the way
-    own = P.PieceTokenizer(P.default_tokenizer())
+    own = P.PieceTokenizer(P.default_tokenizer(), as_text)
     for merger in (own.merger, None):
         own.merger = merger
         own.forget()
@@ -86,6 +92,28 @@ def test_query(spark, tmp_path, plain):
         assert end <= 2048
 
 
+def test_control_string(spark):
+    df = spark.createDataFrame([(1, "a<|endoftext|>b"), (2, "a")], "doc_id long, text string")
+    ids = {(r.doc_id, t): r.ids for t in (False, True) for r in P.token_pieces(df, ["doc_id"], as_text=t).collect()}
+    assert 50256 in ids[1, False] and 50256 not in ids[1, True] and ids[2, False] == ids[2, True]
+
+
+def test_clashing_names_and_repeats(spark):
+    df = spark.createDataFrame([(1, "a b", 5, 6, 7)] * 3 + [(None, None, 5, 6, 7)], "doc_id long, text string, length int, _s_row int, block int")
+    rows = P.packed(df, ["doc_id", "length", "_s_row", "block"]).collect()
+    assert sorted((r.doc_id or 0, r.length_, r["_s_row"], r.block, len(r.ids), r.length) for r in rows) == [(0, 5, 6, 7, 1, 1)] + [(1, 5, 6, 7, 3, 3)] * 3
+    assert sorted(r.offset for r in rows) == [0, 3, 6, 9]
+
+
+def test_very_long_text(spark):
+    text = "some words, and more 12 of them\n" * 330_000  # 10 MB
+    df = spark.createDataFrame([(1, text), (2, "")], "doc_id long, text string")
+    rows = P.packed(df, ["doc_id"], digest=True).orderBy("doc_id", "piece").collect()
+    one = [r for r in rows if r.doc_id == 1]
+    own = library(False).encode("some words, and more 12 of them\n" * 2, add_special_tokens=False).ids
+    assert sum(r.length for r in one) == len(own) // 2 * 330_000 + 1 and all(r.length == 2048 for r in one[1:])
+
+
 def test_empty(spark):
     assert P.packed(spark.createDataFrame([], "doc_id long, text string"), ["doc_id"]).count() == 0
 
