@@ -23,20 +23,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookloom.llm.common import ascii_lower, small_batches, written
+from bookloom.llm.common import SPACE_CLASS, ascii_lower, free_name, free_prefix, small_batches, written
 
 LEAST_CHARS, LEAST_DOCS = 20, 3
+#: Words that a document which loses lines must have left in the pipeline.
+LEAST_WORDS = 50
 _STRIP = "\x20\x09\x0a\x0b\x0c\x0d"
 _STREAMED = "kind int, key binary, doc long, th long, pos int, n long"
 _DROP, _WAITS, _SUM = 0, 1, 2
 
 
 def _text(c: str) -> Column:
-    return F.coalesce(F.col(c).cast("string"), F.lit(""))
+    return F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
 
 
 def _doc(c: str) -> Column:
-    return F.coalesce(F.col(c).cast("long"), F.lit(-(1 << 63)))
+    return F.coalesce(F.col(f"`{c}`").cast("long"), F.lit(-(1 << 63)))
 
 
 def line_rows(docs: DataFrame, id_col: str, text_col: str, least_chars: int) -> DataFrame:
@@ -98,7 +100,7 @@ def stream_first(batches: Iterator[pa.RecordBatch], least_docs: int = LEAST_DOCS
 
 def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS) -> DataFrame:
     """doc, th, n_dropped, keep (compressed bitmap) of every document that loses lines; others keep all."""
-    rows = line_rows(docs, id_col, text_col, least_chars)
+    rows = written(line_rows(docs, id_col, text_col, least_chars), "keys")  # dealing by ranges reads its rows twice
     dealt = rows.repartitionByRange(F.col("key"), F.col("doc").desc()).sortWithinPartitions("key", F.col("doc").desc(), "th", "pos")
     streamed = dealt.mapInArrow(lambda b: stream_first(b, least_docs), _STREAMED)
     return bitmaps(settle(streamed, least_docs))
@@ -134,32 +136,41 @@ def kept_lines(text: str, keep: bytes) -> str:
 
 
 def apply_bitmaps(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with text_col cut down to the kept lines, plus _n_dropped; a null text stays null."""
+    """docs with text_col cut down to the kept lines, plus n_dropped (underscores after the name where docs has it); a null text stays null."""
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, keep: pd.Series) -> pd.Series:
         return pd.Series([None if k is None else kept_lines(t, k) for t, k in zip(text, keep)], dtype=object)
 
     small_batches(docs.sparkSession)
-    found = found.select(F.col("doc").alias("_doc"), F.col("th").alias("_th"), F.col("n_dropped").alias("_n_dropped"), F.col("keep").alias("_keep"))
-    on = (_doc(id_col) == F.col("_doc")) & (F.xxhash64(_text(text_col)) == F.col("_th"))
-    joined = docs.join(found, on, "left")
-    hit = F.col("_keep").isNotNull()
-    joined = joined.withColumn("_cut", cut(F.when(hit, F.col(text_col)), F.col("_keep")))
-    text = F.when(hit, F.col("_cut")).otherwise(F.col(text_col)).alias(text_col)
-    return joined.select(*[text if c == text_col else F.col(f"`{c}`") for c in docs.columns], F.coalesce("_n_dropped", F.lit(0)).cast("long").alias("_n_dropped"))
+    p = free_prefix("_l_", docs.columns)
+    named = {c: p + c for c in ("doc", "th", "n_dropped", "keep")}
+    found = found.select(*[F.col(c).alias(n) for c, n in named.items()])
+    doc, th, n, keep = (F.col(x) for x in named.values())
+    joined = docs.join(found, (_doc(id_col) == doc) & (F.xxhash64(_text(text_col)) == th), "left")
+    text = F.col(f"`{text_col}`")
+    joined = joined.withColumn(f"{p}cut", cut(F.when(keep.isNotNull(), text), keep))
+    text = F.when(keep.isNotNull(), F.col(f"{p}cut")).otherwise(text).alias(text_col)
+    return joined.select(*[text if c == text_col else F.col(f"`{c}`") for c in docs.columns], F.coalesce(n, F.lit(0)).cast("long").alias(free_name("n_dropped", docs.columns)))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     counted = docs.withColumn("n_lines", F.regexp_count(_text("text"), F.lit("\n")).cast("long") + 1)
     cut = apply_bitmaps(counted, keep_bitmaps(docs))
-    return cut.select("doc_id", "n_lines", F.col("_n_dropped").alias("n_dropped"), F.sha2(_text("text"), 256).alias("kept_sha256"))
+    return cut.select("doc_id", "n_lines", "n_dropped", F.sha2(_text("text"), 256).alias("kept_sha256"))
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines leave the texts; n_chars follows where it is there."""
-    cut = apply_bitmaps(docs, keep_bitmaps(docs)).select(*docs.columns)
+    """Repeated lines leave the texts; n_chars follows where it is there.
+
+    A document that loses lines and has fewer than LEAST_WORDS words left goes: what it said stands in the document
+    that keeps the lines, and the floor of the quality rules holds for what training sees.
+    """
+    cut = apply_bitmaps(docs, keep_bitmaps(docs))
+    n_dropped = F.col(free_name("n_dropped", docs.columns))
+    words = F.regexp_count(_text("text"), F.lit(SPACE_CLASS.replace("[", "[^") + "+"))
+    cut = cut.where((n_dropped == 0) | (words >= LEAST_WORDS)).select(*[F.col(f"`{c}`") for c in docs.columns])
     return cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
 
 

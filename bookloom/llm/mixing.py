@@ -1,6 +1,7 @@
 """Mixing sources to target weights by temperature, realised as budgeted block permutations.
 
-Column expressions only. A source with share p of all tokens gets a weight in proportion to p ** exponent. The
+Column expressions only. Tokens are words here: a tokenizer would need Python, and shares of sources are what counts.
+A source with share p of all tokens gets a weight in proportion to p ** exponent. The
 exponent is bracketed in [0, 1] by repeated sectioning of the table of sources: the largest one whose weights reach
 the target entropy, but never below the smallest one that keeps the repetition of any source, against the least
 repeated, within the limit. With the default budget the least repeated source is read exactly once, so no document is
@@ -11,8 +12,8 @@ the pass / tokens of the source) / passes, so each block, a range of places, hol
 go over hash ranges of a few thousand documents and over the sums of those ranges, so no source meets in one task.
 
 Defined cases: a null source counts as the source named by the empty string; a text without words has one token;
-rows equal in doc_id, text and source are one document that is read as often as they are repeated; a null doc_id is
-an id like others; an empty table gives no rows; other columns are ignored (mixing_stage passes them on).
+rows equal in doc_id, text and source are one document that is read as often as they are repeated; equal hashes are
+ordered by doc_id and text, so the mixture of the same rows is the same; a null doc_id is an id like others; an empty table gives no rows; other columns are ignored (mixing_stage passes them on).
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bookloom.llm.common import SPACE_CLASS, written
+from bookloom.llm.common import SPACE_CLASS, free_prefix, written
 
 REPEATS, ENTROPY = 2.0, 0.95
 BLOCK_TOKENS = 1 << 20
@@ -97,6 +98,16 @@ def source_plan(rows: DataFrame, entropy: float | None = ENTROPY, repeats: float
     return written(plan.withColumn("budget", F.lit(float(once if budget is None else budget))), "plan")
 
 
+def sums_before(sums: DataFrame, bits: int) -> DataFrame:
+    """source, pass, range, base: the tokens in lower ranges. Ranges have so many bits and are summed in two steps, so that a task orders about a root of their number."""
+    rows = sums.withColumn("upper", F.shiftright("range", (bits + 1) // 2))
+    each = rows.groupBy("source", "pass", "upper").agg(F.sum("in_range").alias("in_upper"))
+    below = lambda value, by, order: F.coalesce(F.sum(value).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    each = each.select("source", "pass", "upper", below("in_upper", ["source", "pass"], "upper").alias("before"))
+    rows = rows.withColumn("inner", below("in_range", ["source", "pass", "upper"], "range")).join(each, ["source", "pass", "upper"])
+    return rows.select("source", "pass", "range", (F.col("before") + F.col("inner")).alias("base"))
+
+
 def mixture(docs: DataFrame, entropy: float | None = ENTROPY, repeats: float | None = REPEATS, budget: float | None = None, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """doc_id, th, source, tokens, pass, place (in [0, 1)), block, key: read blocks in turn, and each in order of key."""
     rows = written(token_rows(docs), "tokens")
@@ -105,9 +116,7 @@ def mixture(docs: DataFrame, entropy: float | None = ENTROPY, repeats: float | N
     blocks = max(1, math.ceil((plan.agg(F.max("budget")).first()[0] or 0) / block_tokens))
     each = rows.join(plan, "source").where("passes > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), (F.ceil("passes") - 1).cast("int"))))
     each = each.withColumn("key", F.xxhash64("doc_id", "th", "pass", F.lit(SEED))).withColumn("range", F.shiftrightunsigned("key", 64 - bits))
-    sums = each.groupBy("source", "pass", "range").agg(F.sum("tokens").alias("in_range"))
-    before = Window.partitionBy("source", "pass").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("source", "pass", "range", F.coalesce(F.sum("in_range").over(before), F.lit(0)).alias("base"))
+    sums = sums_before(each.groupBy("source", "pass", "range").agg(F.sum("tokens").alias("in_range")), bits)
     inside = Window.partitionBy("source", "pass", "range").orderBy("key", "doc_id", "th").rowsBetween(Window.unboundedPreceding, -1)
     placed = each.withColumn("inner", F.coalesce(F.sum("tokens").over(inside), F.lit(0))).join(sums, ["source", "pass", "range"])
     placed = placed.withColumn("place", (F.col("pass") + (F.col("base") + F.col("inner")) / F.col("total")) / F.col("passes")).where("place < 1")
@@ -121,9 +130,14 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mixture reads it, all columns kept."""
-    often = mixture(docs).groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("source").alias("_source")).agg(F.count("*").cast("int").alias("_n"))
+    """Every document as often as the mixture reads it, all columns kept.
+
+    How often says it all here: the columns of documents have no place for pass and block, and packing orders by length.
+    """
+    p = free_prefix("_m_", docs.columns)
+    key = ["doc_id", "th", "source"]
+    often = mixture(docs).groupBy(*[F.col(c).alias(p + c) for c in key]).agg(F.count("*").cast("int").alias(f"{p}n"))
     text, source = F.coalesce(F.col("text").cast("string"), F.lit("")), F.coalesce(F.col("source").cast("string"), F.lit(""))
-    on = docs["doc_id"].eqNullSafe(often["_id"]) & (F.xxhash64(text) == often["_th"]) & (source == often["_source"])
-    again = docs.join(often, on).withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+    on = docs["doc_id"].eqNullSafe(often[f"{p}doc_id"]) & (F.xxhash64(text) == often[f"{p}th"]) & (source == often[f"{p}source"])
+    again = docs.join(often, on).withColumn(f"{p}again", F.explode(F.sequence(F.lit(1), F.col(f"{p}n"))))
     return again.select(*[F.col(f"`{c}`") for c in docs.columns])

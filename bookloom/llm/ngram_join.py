@@ -13,6 +13,8 @@
    shingles in PROFILE hash groups, whose sums of minima bound every overlap. No pair that could link is left out, and
    pairs within a found component are never made.
 
+Sets and classes are known by 64-bit hashes: among some 6 * 10**9 different sets one collision is to be expected.
+
 Defined cases: a null or empty text, or one without words, has an empty set and no links; equal texts link; rows that
 repeat a doc_id are nodes of their own with the same id; a null doc_id never is the smallest unless there is no other;
 an empty table gives no rows; other columns are ignored.
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookloom.llm.common import mix64, small_batches, text_steps, written
+from bookloom.llm.common import free_name, mix64, small_batches, text_steps, written
 from bookloom.llm.components import components
 from bookloom.llm.shingles import shingle_sets
 
@@ -157,9 +159,8 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("_x") >= percent * (F.size("_a") + F.size("_b") - F.col("_x"))).select("a", "b")
 
 
-def class_links(docs: DataFrame, classes: DataFrame, id_col: str, width: int, percent: int) -> DataFrame:
-    """Links (a, b) between classes, enough of them to give all components. classes: class, n, rep (one row's id), own."""
-    spark = docs.sparkSession
+def candidate_signatures(docs: DataFrame, classes: DataFrame, id_col: str, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of the classes that may have links: sets (class, n, tokens), sigs (sig, class, n, own), profiles (class, profile)."""
     left = classes.where((F.col("n") > 1) & (F.col("own") <= may_miss(F.col("n"), percent))).select(F.col("class").alias("_class"), F.col("rep").alias("_rep"))
     picked = docs.select(F.col(id_col).alias("_id"), F.col("text")).join(left, F.col("_id").eqNullSafe(F.col("_rep")))
     sets = shingled(picked.select("_class", "text"), ["_class"], width, 1.0).where("class = _class").drop("_class")
@@ -169,8 +170,12 @@ def class_links(docs: DataFrame, classes: DataFrame, id_col: str, width: int, pe
     often = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     shared = rows.join(often, "token").groupBy("class", "n").agg(F.collect_list(F.struct("df", "token")).alias("shared"))
     found = written(shared.mapInArrow(_signature_rows(percent), "sig long, class long, n long, own long, profile array<int>"), "signatures")
-    sigs = found.where("sig IS NOT NULL").drop("profile")
-    profiles = found.where("sig IS NULL").select("class", "profile")
+    return sets, found.where("sig IS NOT NULL").drop("profile"), found.where("sig IS NULL").select("class", "profile")
+
+
+def class_links(docs: DataFrame, classes: DataFrame, id_col: str, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between classes, enough of them to give all components. classes: class, n, rep (one row's id), own."""
+    sets, sigs, profiles = candidate_signatures(docs, classes, id_col, width, percent)
 
     hubs = sigs.groupBy("sig").agg(F.min(F.struct((F.col("own") / F.col("n")).alias("part"), "class", "n", "own")).alias("hub"), F.count("*").alias("many")).where("many > 1")
     members = sigs.join(hubs, "sig").select(F.col("hub.class").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.own").alias("hub_own"), "class", "n", "own")
@@ -196,15 +201,35 @@ def class_links(docs: DataFrame, classes: DataFrame, id_col: str, width: int, pe
     return links.unionByName(written(verified(rest, sets, percent), "links"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", width: int = 5, percent: int = 80) -> DataFrame:
-    """id_col, n_shingles, class, component_id for every row of docs (columns id_col and text)."""
+def sized_classes(docs: DataFrame, id_col: str, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """id_col, n, class of every row; and class, n, rep, own (shingles in the first share that no other class has)."""
     share = min(1.0, 1.6 * (100 - percent) / 100)
     small = shingled(docs, [id_col], width, share)
     own_rows = small.select("class", F.explode("tokens").alias("token")).groupBy("token").agg(F.min("class").alias("class"), F.max("class").alias("last"))
     own = own_rows.where(F.col("class") == F.col("last")).groupBy("class").agg(F.count("*").alias("own"))
     sized = written(small.select(F.col(id_col), "n", "class"), "classes")
     classes = sized.where("n > 0").groupBy("class", "n").agg(F.min(id_col).alias("rep"))
-    classes = written(classes.join(own, "class", "left").select("class", "n", "rep", F.coalesce("own", F.lit(0)).alias("own")), "own")
+    return sized, written(classes.join(own, "class", "left").select("class", "n", "rep", F.coalesce("own", F.lit(0)).alias("own")), "own")
+
+
+def similar_classes(docs: DataFrame, id_col: str = "doc_id", width: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
+    """The whole join: membership (id_col, n_shingles, class) of every row, and every verified link (a, b, with a < b) between classes.
+
+    Its links grow with the square of a group of different near copies, as any listing of links does; near_duplicates
+    gives groups without that. Rows of one class link with each other besides.
+    """
+    sized, classes = sized_classes(docs, id_col, width, percent)
+    sets, sigs, profiles = candidate_signatures(docs, classes, id_col, width, percent)
+    side = sigs.join(profiles, "class")
+    one, two = (side.select("sig", *[F.col(c).alias(f"{c}{k}") for c in ("class", "n", "own", "profile")]) for k in (1, 2))
+    near = can_link(percent, F.col("n1"), F.col("own1"), F.col("n2"), F.col("own2")) & profiles_allow(percent, F.col("n1"), F.col("profile1"), F.col("n2"), F.col("profile2"))
+    pairs = one.join(two, (one["sig"] == two["sig"]) & (F.col("class1") < F.col("class2")) & near).select(F.col("class1").alias("a"), F.col("class2").alias("b")).distinct()
+    return sized.withColumnRenamed("n", "n_shingles"), verified(pairs, sets, percent)
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", width: int = 5, percent: int = 80) -> DataFrame:
+    """id_col, n_shingles, class, component_id for every row of docs (columns id_col and text)."""
+    sized, classes = sized_classes(docs, id_col, width, percent)
 
     labels = components(class_links(docs, classes, id_col, width, percent)).withColumnRenamed("node", "class")
     named = classes.join(labels, "class", "left").select("class", "rep", F.coalesce("label", "class").alias("label"))
@@ -228,13 +253,14 @@ def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Rows with an empty text have no links and all stay.
     """
     columns = [F.col(f"`{c}`") for c in docs.columns]
+    key = free_name("_key", docs.columns)
     row = F.xxhash64(*columns, *[c.isNull() for c in columns])
-    keyed = docs.withColumn("_key", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), row.alias("row")))
-    found = near_duplicates(keyed.select("_key", "text"), "_key").where("n_shingles > 0")
-    found = written(found.select("_key", (F.col("_key") == F.col("component_id")).alias("stays")), "verdicts")
-    gone = found.where("NOT stays").select("_key")
-    again = written(found.where("stays").groupBy("_key").agg(F.count("*").alias("n")).where("n > 1").select("_key"), "again")
+    keyed = docs.withColumn(key, F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), row.alias("row")))
+    found = near_duplicates(keyed.select(key, "text"), key).where("n_shingles > 0")
+    found = written(found.select(key, (F.col(key) == F.col("component_id")).alias("stays")), "verdicts")
+    gone = found.where("NOT stays").select(key)
+    again = written(found.where("stays").groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key), "again")
     if again.isEmpty():
-        return keyed.join(gone, "_key", "left_anti").select(*columns)
-    one = keyed.join(again, "_key", "left_semi").dropDuplicates(["_key"])
-    return keyed.join(gone.unionByName(again), "_key", "left_anti").unionByName(one).select(*columns)
+        return keyed.join(gone, key, "left_anti").select(*columns)
+    one = keyed.join(again, key, "left_semi").dropDuplicates([key])
+    return keyed.join(gone.unionByName(again), key, "left_anti").unionByName(one).select(*columns)

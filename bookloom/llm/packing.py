@@ -1,6 +1,6 @@
 """Best-fit packing of documents into token sequences, planned over a histogram of lengths.
 
-Tokens are made once, in vectorised steps; every piece knows its length and the task that made it. Best fit runs on
+Tokens are made once, in vectorised steps; every piece knows its length and its block, by a hash of its row. Best fit runs on
 the driver over counts by length (at most one count for each length up to the capacity), never over documents: it
 yields slots, ranges of ranks within a length that go to ranges of sequences. A piece's rank within its length is its
 row number within (length, block) plus the number of pieces of that length in earlier blocks, so no length, however
@@ -341,12 +341,14 @@ def assign(pieces: DataFrame, block: str, capacity: int = CAPACITY) -> DataFrame
 def packed(docs: DataFrame, keep: list[str], tokenizer: str | None = None, digest: bool = False, as_text: bool = False) -> DataFrame:
     """keep, piece, start, length, ids (or, with digest, ids_crc32), sequence_id, offset: a row per piece.
 
-    Pieces of one length are alike for the plan; they take its places in the order in which their tasks read them. A
-    column in keep that has the name of a result column gets underscores after its name.
+    Pieces of one length are alike for the plan. They are dealt into blocks by a hash of their row, so that copies of a
+    document, which stand side by side after mixing, go to sequences far apart. A column in keep that has the name of a
+    result column gets underscores after its name.
     """
+    blocks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pieces = token_pieces(docs, keep, tokenizer, digest=digest, as_text=as_text)
     block = free_name("block", pieces.columns)
-    return assign(written(pieces.withColumn(block, F.spark_partition_id()), "pieces"), block)
+    return assign(written(pieces.withColumn(block, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int")), "pieces"), block)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,8 +38,8 @@ def test_against_brute_force(spark, seed, parts):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         cut = D.apply_bitmaps(df, D.keep_bitmaps(df))
-        assert cut.columns == [*df.columns, "_n_dropped"]
-        assert sorted(((r.doc_id, r.text or "", r._n_dropped) for r in cut.collect()), key=repr) == brute(rows)
+        assert cut.columns == [*df.columns, "n_dropped"]
+        assert sorted(((r.doc_id, r.text or "", r.n_dropped) for r in cut.collect()), key=repr) == brute(rows)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
@@ -59,3 +59,22 @@ def test_streams_over_batches(size):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert D.apply_bitmaps(df, D.keep_bitmaps(df)).count() == 0
+
+
+def test_stage_and_clashing_names(spark):
+    line, own = "this line stands in many documents", " ".join(f"word{i}" for i in range(60))
+    rows = [(i, f"{line}\n{own}{i}", 1, "a", "b", 7) for i in range(3)] + [(8, line, 1, "a", "b", 7), (9, line, 1, "a", "b", 7), (4, "few words", 1, "a", "b", 7), (5, None, None, "a", "b", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars int, _keep string, _L_doc string, n_dropped int")
+    out = D.line_dedup_stage(spark, df, "")
+    assert out.columns == df.columns and out.dtypes == df.dtypes
+    got = {r.doc_id: r for r in out.collect()}
+    assert sorted(got) == [0, 1, 2, 4, 5, 9]  # 8 has nothing of its own; 9 keeps the line
+    assert got[0].text == f"{own}0" and got[0].n_chars == len(got[0].text) and (got[0]["_keep"], got[0]["_L_doc"], got[0].n_dropped) == ("a", "b", 7)
+    assert D.apply_bitmaps(df, D.keep_bitmaps(df)).columns == [*df.columns, "n_dropped_"]
+
+
+def test_very_long_text(spark):
+    long = "\n".join(f"line number {i} of a text of many megabytes" for i in range(230_000))  # 10 MB
+    df = spark.createDataFrame([(1, long), (2, long), (3, long + "\nan end of its own, of twenty")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_dropped, r.n) for r in D.apply_bitmaps(df, D.keep_bitmaps(df)).selectExpr("doc_id", "n_dropped", "length(text) AS n").collect()}
+    assert got == {1: (230_000, 0), 2: (230_000, 0), 3: (0, len(long) + 29)}

@@ -90,3 +90,24 @@ def test_empty_and_single(spark):
     assert M.mixture(df).count() == 0
     one = spark.createDataFrame([(1, "a b", "en", "s", 1, "x")], SCHEMA)
     assert [(r["pass"], r.place) for r in M.mixture(one).collect()] == [(0, 0.0)]
+
+
+def test_clashing_names_and_repeats(spark):
+    rows = [(1, "a b", "x", 5, 6, "m")] * 3 + [(1, "other", "x", 5, 6, "m"), (None, None, None, 5, 6, "m"), (2, "a b", "y", 5, 6, "m")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _n int, _again int, _m_th string")
+    out = M.mixing_stage(spark, df, "")
+    assert out.columns == df.columns
+    read = Counter((r.doc_id, r.text, r["_n"], r["_again"], r["_m_th"]) for r in out.collect())
+    assert set(read) == {(r[0], r[1], 5, 6, "m") for r in rows} and read[1, "a b", 5, 6, "m"] % 3 == 0
+
+
+def test_sums_in_two_steps(spark):
+    rows = [(s, p, k, k * 3 + 1) for s in "ab" for p in (0, 1) for k in range(0, 64, 1 + p)]
+    df = spark.createDataFrame(rows, "source string, pass int, range long, in_range long")
+    got = {(r.source, r["pass"], r.range): r.base for r in M.sums_before(df, 6).collect()}
+    assert got == {(s, p, k): sum(n for a, b, c, n in rows if (a, b) == (s, p) and c < k) for s, p, k, _ in rows}
+
+
+def test_very_long_text(spark):
+    df = spark.createDataFrame([(1, "word " * 2_000_000, "a"), (2, "word", "b")], "doc_id long, text string, source string")
+    assert {r.doc_id: r.tokens for r in M.mixture(df).collect()} == {1: 2_000_000, 2: 1}

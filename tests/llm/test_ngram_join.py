@@ -92,3 +92,31 @@ def test_stage_keeps_one_row_of_each_group(spark):
         assert len([g for g in got if g[0] is None]) == (1 if some else 0)
         want = [(1, text(1)), (2, text(2)), (5, text(5)), (6, text(6)), (7, ""), (7, ""), (8, None), (9, text(9))]
         assert sorted((g for g in got if g[0] is not None), key=repr) == [w for w in want if w[0] in {r[0] for r in some}]
+
+
+@pytest.mark.parametrize("seed, width, percent", [(4, 4, 85), (5, 5, 80)])
+def test_all_links(spark, seed, width, percent):
+    rows = corpus(seed)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    member, links = J.similar_classes(df, width=width, percent=percent)
+    by_class = {}
+    for r in member.where("n_shingles > 0").collect():
+        by_class.setdefault(r["class"], set()).add(r.doc_id)
+    found = {frozenset((i, k)) for r in links.collect() for i in by_class[r.a] for k in by_class[r.b]}
+    found |= {frozenset((i, k)) for c in by_class.values() for i in c for k in c if i != k}
+    low = {i: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for i, t in rows}
+    sets = {i: {tuple(w[k : k + width]) for k in range(max(len(w) - width + 1, 1))} if w else set() for i, w in low.items()}
+    ids = sorted(i for i in sets if sets[i])
+    want = {frozenset((i, k)) for i in ids for k in ids if i < k and 100 * len(sets[i] & sets[k]) >= percent * len(sets[i] | sets[k])}
+    assert found == want
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", 5, 6, 7), (2, "a b c d e f", 5, 6, 7)], "doc_id long, text string, _key int, n int, class int")
+    assert J.ngram_join_stage(spark, df, "").collect() == df.where("doc_id = 1").collect()
+
+
+def test_very_long_texts(spark):
+    long = " ".join(f"w{i}" for i in range(1_200_000))  # 9 MB
+    df = spark.createDataFrame([(1, long), (2, long + " one two three four five"), (3, "short text of a few words")], "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in J.near_duplicates(df).collect()} == {1: (1_199_996, 1), 2: (1_200_001, 1), 3: (2, 3)}
