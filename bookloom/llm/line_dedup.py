@@ -43,7 +43,8 @@ def _doc(c: str) -> Column:
 
 def line_rows(docs: DataFrame, id_col: str, text_col: str, least_chars: int) -> DataFrame:
     """key (16-byte hash), doc, th (hash of the text), pos for every line that is long enough."""
-    rows = docs.select(_doc(id_col).alias("doc"), F.xxhash64(_text(text_col)).alias("th"), F.posexplode(F.split(_text(text_col), "\n")).alias("pos", "line"))
+    whole = docs.select(_doc(id_col).alias("doc"), F.xxhash64(_text(text_col)).alias("th"), _text(text_col).alias("text"))
+    rows = whole.select("doc", "th", F.posexplode(F.split("text", "\n")).alias("pos", "line"))  # the hash is below: else it is taken again for each line
     keyed = rows.select("doc", "th", "pos", ascii_lower(F.btrim("line", F.lit(_STRIP))).alias("line")).where(F.char_length("line") >= least_chars)
     return keyed.select(F.unhex(F.md5("line")).alias("key"), "doc", "th", "pos")
 
