@@ -5,8 +5,8 @@ wave module. The stored form is read back, a short-time Fourier transform is tak
 HOP samples, each frame keeps its strongest bins, and peaks of neighbouring frames are paired into codes. One pass
 over the rows, no shuffle; a long text is transformed in steps of STEP frames.
 
-Defined cases: a null or empty text is one frame of blanks; equal texts give equal values; repeated rows give repeated
-results; an empty table gives no rows; other columns are ignored.
+Defined cases: a null or empty text is one frame of blanks; equal texts give equal values, as of bins of equal power
+the lower one is taken; repeated rows give repeated results; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,13 +42,18 @@ def to_wav(payload: bytes) -> bytes:
     return out.getvalue()
 
 
+def stored(text: bytes) -> bytes:
+    """The WAV of a text."""
+    return to_wav(text + bytes([FILL]) * (-len(text) % UNIT if text else UNIT))
+
+
 def from_wav(media: bytes) -> bytes:
     with wave.open(io.BytesIO(media), "rb") as r:
         return r.readframes(r.getnframes())
 
 
 def spectral_peaks(samples: np.ndarray) -> np.ndarray:
-    """The PEAKS strongest bins of each frame, in order of frequency: an array of frames x PEAKS."""
+    """The PEAKS strongest bins of each frame, the lower one of equals, in order of frequency: an array of frames x PEAKS."""
     shape = np.lib.stride_tricks.sliding_window_view(samples, FRAME)[::HOP]
     window = np.hanning(FRAME).astype(np.float32)
     found = np.empty((len(shape), PEAKS), np.int32)
@@ -58,9 +63,12 @@ def spectral_peaks(samples: np.ndarray) -> np.ndarray:
         spectrum = np.fft.rfft(part * window, axis=1)
         power = np.square(spectrum.real) + np.square(spectrum.imag)
         power[:, 0] = -1
-        top = np.argpartition(power, -PEAKS, axis=1)[:, -PEAKS:]
-        found[at : at + STEP] = np.sort(top, axis=1)
-    return found
+        each = np.arange(len(power))
+        for k in range(PEAKS):
+            best = power.argmax(axis=1)
+            found[at : at + STEP, k] = best
+            power[each, best] = -2
+    return np.sort(found, axis=1)
 
 
 def peak_pairs(peaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -96,7 +104,7 @@ def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 raw = [t.as_py() for t in part.column(1)]
-                media = [to_wav(t + bytes([FILL]) * (-len(t) % UNIT if t else UNIT)) for t in raw]
+                media = [stored(t) for t in raw]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, raw), pa.int64()), pa.array(media, pa.binary())], [id_col, "n_bytes", "media"])
 
     return rows.mapInArrow(run, f"`{id_col}` {rows.dtypes[0][1]}, n_bytes long, media binary")
@@ -118,21 +126,28 @@ def media_fingerprints(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return rows.mapInArrow(run, f"`{id_col}` {rows.dtypes[0][1]}, n_bytes long, media binary, payload binary, times array<int>, codes array<int>")
 
 
-def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    rows = media_fingerprints(store_media(docs))
+def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """What store_media and media_fingerprints give, as digests: one pass, in which no file or fingerprint leaves its task."""
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.col(id_col), F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8"))
+    names = [id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sha = lambda b: hashlib.sha256(b).hexdigest()
         for batch in batches:
             out = []
-            for row in zip(*(batch.column(c) for c in ("doc_id", "n_bytes", "media", "payload", "times", "codes"))):
-                media, payload = row[2].as_py(), row[3].as_py()
-                times, codes = (row[k].values.to_numpy() for k in (4, 5))
+            for value in batch.column(1):
+                text = value.as_py()
+                media = stored(text)
+                payload, times, codes = fingerprint(media)
                 code = hashlib.md5(times.astype("<i4").tobytes() + codes.astype("<i4").tobytes()).hexdigest()
-                out.append((row[0].as_py(), row[1].as_py(), len(payload), sha(payload), zlib.crc32(payload[-16:]), len(media), sha(media), f"{len(codes)}:{len(np.unique(codes))}:{code}"))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * len(types), types)], names)
+                out.append((len(text), len(payload), sha(payload), zlib.crc32(payload[-16:]), len(media), sha(media), f"{len(codes)}:{len(np.unique(codes))}:{code}"))
+            columns = zip(*out) if out else [[]] * len(types)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types))], names)
+
+    return rows.mapInArrow(run, f"`{id_col}` {rows.dtypes[0][1]}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-    return rows.mapInArrow(digest, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -33,6 +33,8 @@ from bookloom.llm.common import new_path, small_batches
 DEDUP_BYTES = 100
 ROLL_BYTES = 64 << 20
 SAMPLE = 20_000
+#: Bytes that the reader takes at once: what a member leaves of them is copied, so they are few.
+READ_BYTES = 1 << 16
 _DATE = "1970-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "shard int, roll int, file string, records long, file_bytes long, file_sha256 string"
@@ -151,7 +153,7 @@ def _members(f) -> Iterator[bytes]:
         unpacker, parts = zlib.decompressobj(31), []
         while not unpacker.eof:
             if not rest:
-                rest = f.read(1 << 20)
+                rest = f.read(READ_BYTES)
                 if not rest:
                     if parts:
                         raise ValueError("the file ends within a record")

@@ -48,3 +48,11 @@ def test_empty(spark, tmp_path):
     out = f"file://{tmp_path}/e"
     assert W.write_warc(spark.createDataFrame([], SCHEMA), out).count() == 0
     assert W.read_warc(spark, out).count() == 0
+
+
+def test_very_long_page(spark, tmp_path):
+    rows = [(i, "u", "<p>many words</p>" * 650_000 + "x" * (i // 2), "d") for i in range(4)]  # 10 MB each
+    out = f"file://{tmp_path}/l"
+    W.write_warc(spark.createDataFrame(rows, SCHEMA).repartition(2), out)
+    back = W.read_warc(spark, out).collect()
+    assert sorted((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in back) == brute(rows)
