@@ -58,14 +58,27 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends here, and a lost executor loses nothing."""
+def written(df: DataFrame, name: str, spent: list[str] | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back: lineage ends here, and a lost executor loses nothing.
+
+    The path is added to spent, for remove() once nothing reads the table any more.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
+    if spent is not None:
+        spent.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, spent: list[str]) -> None:
+    """Delete written tables."""
+    for p in spent:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    spent.clear()
+
+
 def free_name(name: str, taken: list[str]) -> str:
     """name, with underscores after it until it differs from all names in taken (case apart, as Spark has it)."""
     low = {t.lower() for t in taken}

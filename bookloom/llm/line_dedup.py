@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookloom.llm.common import SPACE_CLASS, ascii_lower, free_name, free_prefix, small_batches, written
+from bookloom.llm.common import SPACE_CLASS, ascii_lower, free_name, free_prefix, remove, small_batches, written
 
 LEAST_CHARS, LEAST_DOCS = 20, 3
 #: Words that a document which loses lines must have left in the pipeline.
@@ -101,15 +101,16 @@ def stream_first(batches: Iterator[pa.RecordBatch], least_docs: int = LEAST_DOCS
 
 def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS) -> DataFrame:
     """doc, th, n_dropped, keep (compressed bitmap) of every document that loses lines; others keep all."""
-    rows = written(line_rows(docs, id_col, text_col, least_chars), "keys")  # dealing by ranges reads its rows twice
+    spent: list[str] = []
+    rows = written(line_rows(docs, id_col, text_col, least_chars), "keys", spent)  # dealing by ranges reads its rows twice
     dealt = rows.repartitionByRange(F.col("key"), F.col("doc").desc()).sortWithinPartitions("key", F.col("doc").desc(), "th", "pos")
-    streamed = dealt.mapInArrow(lambda b: stream_first(b, least_docs), _STREAMED)
+    streamed = written(dealt.mapInArrow(lambda b: stream_first(b, least_docs), _STREAMED), "lines")
+    remove(docs.sparkSession, spent)
     return bitmaps(settle(streamed, least_docs))
 
 
 def settle(streamed: DataFrame, least_docs: int) -> DataFrame:
-    """doc, th, pos of all lines to drop. streamed is read twice, so it is written once."""
-    streamed = written(streamed, "lines")
+    """doc, th, pos of all lines to drop. streamed is read twice and should be written."""
     edges = streamed.where(F.col("kind") != _DROP)
     totals = edges.groupBy("key").agg(F.sum("n").alias("docs"), F.max("doc").alias("top")).where(F.col("docs") >= least_docs)
     settled = edges.where(F.col("kind") == _WAITS).join(F.broadcast(totals), "key")  # two keys a task at most

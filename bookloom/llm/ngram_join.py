@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookloom.llm.common import free_name, mix64, small_batches, text_steps, written
+from bookloom.llm.common import free_name, mix64, remove, small_batches, text_steps, written
 from bookloom.llm.components import components
 from bookloom.llm.shingles import shingle_sets
 
@@ -159,35 +159,35 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("_x") >= percent * (F.size("_a") + F.size("_b") - F.col("_x"))).select("a", "b")
 
 
-def candidate_signatures(docs: DataFrame, classes: DataFrame, id_col: str, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def candidate_signatures(docs: DataFrame, classes: DataFrame, id_col: str, width: int, percent: int, spent: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Of the classes that may have links: sets (class, n, tokens), sigs (sig, class, n, own), profiles (class, profile)."""
     left = classes.where((F.col("n") > 1) & (F.col("own") <= may_miss(F.col("n"), percent))).select(F.col("class").alias("_class"), F.col("rep").alias("_rep"))
     picked = docs.select(F.col(id_col).alias("_id"), F.col("text")).join(left, F.col("_id").eqNullSafe(F.col("_rep")))
     sets = shingled(picked.select("_class", "text"), ["_class"], width, 1.0).where("class = _class").drop("_class")
-    sets = written(sets.dropDuplicates(["class"]), "sets")
+    sets = written(sets.dropDuplicates(["class"]), "sets", spent)
 
     rows = sets.select("class", "n", F.explode("tokens").alias("token"))
     often = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     shared = rows.join(often, "token").groupBy("class", "n").agg(F.collect_list(F.struct("df", "token")).alias("shared"))
-    found = written(shared.mapInArrow(_signature_rows(percent), "sig long, class long, n long, own long, profile array<int>"), "signatures")
+    found = written(shared.mapInArrow(_signature_rows(percent), "sig long, class long, n long, own long, profile array<int>"), "signatures", spent)
     return sets, found.where("sig IS NOT NULL").drop("profile"), found.where("sig IS NULL").select("class", "profile")
 
 
-def class_links(docs: DataFrame, classes: DataFrame, id_col: str, width: int, percent: int) -> DataFrame:
+def class_links(docs: DataFrame, classes: DataFrame, id_col: str, width: int, percent: int, spent: list[str] | None = None) -> DataFrame:
     """Links (a, b) between classes, enough of them to give all components. classes: class, n, rep (one row's id), own."""
-    sets, sigs, profiles = candidate_signatures(docs, classes, id_col, width, percent)
+    sets, sigs, profiles = candidate_signatures(docs, classes, id_col, width, percent, spent)
 
     hubs = sigs.groupBy("sig").agg(F.min(F.struct((F.col("own") / F.col("n")).alias("part"), "class", "n", "own")).alias("hub"), F.count("*").alias("many")).where("many > 1")
     members = sigs.join(hubs, "sig").select(F.col("hub.class").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.own").alias("hub_own"), "class", "n", "own")
-    members = written(members.distinct(), "members")
+    members = written(members.distinct(), "members", spent)
 
     first = members.where((F.col("hub") != F.col("class")) & can_link(percent, F.col("hub_n"), F.col("hub_own"), F.col("n"), F.col("own")))
-    links = written(verified(first.select(F.col("hub").alias("a"), F.col("class").alias("b")), sets, percent), "links")
+    links = written(verified(first.select(F.col("hub").alias("a"), F.col("class").alias("b")), sets, percent), "links", spent)
 
-    labels = components(links)
+    labels = components(links, spent=spent)
     known = members.join(labels.select(F.col("node").alias("class"), "label"), "class", "left").join(labels.select(F.col("node").alias("hub"), F.col("label").alias("hub_label")), "hub", "left")
     known = known.join(profiles, "class").select("hub", "class", "n", "own", "profile", F.coalesce("label", "class").alias("label"), F.coalesce("hub_label", "hub").alias("hub_label"))
-    known = written(known, "known")
+    known = written(known, "known", spent)
     band = lambda c: F.floor(F.log(c.cast("double")) / float(np.log(BAND))).cast("int")
     low, high = F.ceil(F.col("n") * percent / 100), F.floor(F.lit(100) * (F.col("n") - F.col("own")) / percent) - F.col("own")
     apart = known.where((F.col("label") != F.col("hub_label")) & (high >= low)).select(
@@ -198,18 +198,18 @@ def class_links(docs: DataFrame, classes: DataFrame, id_col: str, width: int, pe
     near = can_link(percent, F.col("n1"), F.col("own1"), F.col("n2"), F.col("own2"))
     rest = apart.join(others, on & near & profiles_allow(percent, F.col("n1"), F.col("profile1"), F.col("n2"), F.col("profile2")))
     rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return links.unionByName(written(verified(rest, sets, percent), "links"))
+    return links.unionByName(written(verified(rest, sets, percent), "links", spent))
 
 
-def sized_classes(docs: DataFrame, id_col: str, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+def sized_classes(docs: DataFrame, id_col: str, width: int, percent: int, spent: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """id_col, n, class of every row; and class, n, rep, own (shingles in the first share that no other class has)."""
     share = min(1.0, 1.6 * (100 - percent) / 100)
     small = shingled(docs, [id_col], width, share)
     own_rows = small.select("class", F.explode("tokens").alias("token")).groupBy("token").agg(F.min("class").alias("class"), F.max("class").alias("last"))
     own = own_rows.where(F.col("class") == F.col("last")).groupBy("class").agg(F.count("*").alias("own"))
-    sized = written(small.select(F.col(id_col), "n", "class"), "classes")
+    sized = written(small.select(F.col(id_col), "n", "class"), "classes", spent)
     classes = sized.where("n > 0").groupBy("class", "n").agg(F.min(id_col).alias("rep"))
-    return sized, written(classes.join(own, "class", "left").select("class", "n", "rep", F.coalesce("own", F.lit(0)).alias("own")), "own")
+    return sized, written(classes.join(own, "class", "left").select("class", "n", "rep", F.coalesce("own", F.lit(0)).alias("own")), "own", spent)
 
 
 def similar_classes(docs: DataFrame, id_col: str = "doc_id", width: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
@@ -228,16 +228,19 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", width: int = 5, per
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", width: int = 5, percent: int = 80) -> DataFrame:
-    """id_col, n_shingles, class, component_id for every row of docs (columns id_col and text)."""
-    sized, classes = sized_classes(docs, id_col, width, percent)
+    """id_col, n_shingles, class, component_id for every row of docs (columns id_col and text), written; all tables on the way are removed."""
+    spent: list[str] = []
+    sized, classes = sized_classes(docs, id_col, width, percent, spent)
 
-    labels = components(class_links(docs, classes, id_col, width, percent)).withColumnRenamed("node", "class")
+    labels = components(class_links(docs, classes, id_col, width, percent, spent), spent=spent).withColumnRenamed("node", "class")
     named = classes.join(labels, "class", "left").select("class", "rep", F.coalesce("label", "class").alias("label"))
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     named = named.join(least, "label").select("class", "component_id")
     joined = sized.where("n > 0").join(named, "class").select(id_col, F.col("n").alias("n_shingles"), "class", "component_id")
     empty = sized.where("n = 0").select(id_col, F.lit(0).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("class"), F.col(id_col).alias("component_id"))
-    return joined.unionByName(empty)
+    out = written(joined.unionByName(empty), "components")
+    remove(docs.sparkSession, spent)
+    return out
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

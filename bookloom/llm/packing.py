@@ -29,6 +29,8 @@ from bookloom.llm.common import free_name, free_prefix, mix64, small_batches, te
 
 CAPACITY = 2048
 END_ID = 0
+#: Bits of an id in packed form.
+ID_BITS = 16
 #: Bytes of text that are encoded together.
 STEP_BYTES = 1 << 19
 #: Pieces of words that a worker remembers at most before it starts anew.
@@ -223,16 +225,17 @@ def default_tokenizer() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
-def token_pieces(docs: DataFrame, keep: list[str], tokenizer: str | None = None, capacity: int = CAPACITY, text_col: str = "text", digest: bool = False, as_text: bool = False) -> DataFrame:
-    """keep, piece, start, length, ids (array<int>): a document's ids and END_ID, cut only if longer than capacity.
+def token_pieces(docs: DataFrame, keep: list[str], tokenizer: str | None = None, capacity: int = CAPACITY, text_col: str = "text", form: str = "ids", as_text: bool = False) -> DataFrame:
+    """keep, piece, start, length, ids: a document's ids and END_ID, cut only if longer than capacity.
 
-    Of a longer document the first piece may be shorter. digest gives ids_crc32 (over little-endian ids) in place of
-    the ids, so that these never leave the Python worker. Control strings of the tokenizer's file that stand in a text
+    Of a longer document the first piece may be shorter. The form of ids: `ids` array<int>; `packed` binary, little-endian
+    and unsigned with ID_BITS bits each, which is half as large to move; `crc32` ids_crc32 (over 32-bit ids) in their
+    place, so that they never leave the Python worker. Control strings of the tokenizer's file that stand in a text
     get their ids, as the library has it; as_text makes them ordinary text.
     """
     small_batches(docs.sparkSession)
     path = tokenizer or default_tokenizer()
-    last, kind = ("ids_crc32", "long") if digest else ("ids", "array<int>")
+    last, kind = {"ids": ("ids", "array<int>"), "packed": ("ids", "binary"), "crc32": ("ids_crc32", "long")}[form]
     held = [free_name(k, [*RESULTS, last]) for k in keep]
     rows = docs.select(*[F.col(f"`{k}`").alias(h) for k, h in zip(keep, held)], F.col(f"`{text_col}`").cast("string"))
     names = [*held, "piece", "start", "length", last]
@@ -255,9 +258,14 @@ def token_pieces(docs: DataFrame, keep: list[str], tokenizer: str | None = None,
                 length = np.where(piece == 0, short[doc], capacity)
                 start = np.where(piece == 0, 0, short[doc] + (piece - 1) * capacity)
                 ends = np.concatenate([[0], np.cumsum(length)])
-                if digest:
+                if form == "crc32":
                     data = whole.astype("<u4", copy=False)
                     made = pa.array([zlib.crc32(data[x:y]) for x, y in zip(ends[:-1], ends[1:])], pa.int64())
+                elif form == "packed":
+                    if len(whole) and whole.max() >> ID_BITS:
+                        raise ValueError(f"ids of this tokenizer need more than {ID_BITS} bits")
+                    data = whole.astype("<u2")
+                    made = pa.array([data[x:y].tobytes() for x, y in zip(ends[:-1], ends[1:])], pa.binary())
                 else:
                     made = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(whole))
                 held = [batch.column(k).slice(a, b - a).take(pa.array(doc)) for k in range(len(keep))]
@@ -338,23 +346,23 @@ def assign(pieces: DataFrame, block: str, capacity: int = CAPACITY) -> DataFrame
     )
 
 
-def packed(docs: DataFrame, keep: list[str], tokenizer: str | None = None, digest: bool = False, as_text: bool = False) -> DataFrame:
-    """keep, piece, start, length, ids (or, with digest, ids_crc32), sequence_id, offset: a row per piece.
+def packed(docs: DataFrame, keep: list[str], tokenizer: str | None = None, form: str = "ids", as_text: bool = False) -> DataFrame:
+    """keep, piece, start, length, ids (in the form asked for), sequence_id, offset: a row per piece.
 
     Pieces of one length are alike for the plan. They are dealt into blocks by a hash of their row, so that copies of a
     document, which stand side by side after mixing, go to sequences far apart. A column in keep that has the name of a
     result column gets underscores after its name.
     """
     blocks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pieces = token_pieces(docs, keep, tokenizer, digest=digest, as_text=as_text)
+    pieces = token_pieces(docs, keep, tokenizer, form=form, as_text=as_text)
     block = free_name("block", pieces.columns)
     return assign(written(pieces.withColumn(block, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int")), "pieces"), block)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id"], digest=True)
+    return packed(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id"], form="crc32")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document as packed pieces; a control string in a text is ordinary text here."""
-    return packed(docs, ["doc_id"], as_text=True)
+    """Token ids of every document as packed pieces, 16 bits an id; a control string in a text is ordinary text here."""
+    return packed(docs, ["doc_id"], form="packed", as_text=True)

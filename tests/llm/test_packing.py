@@ -108,7 +108,7 @@ def test_clashing_names_and_repeats(spark):
 def test_very_long_text(spark):
     text = "some words, and more 12 of them\n" * 330_000  # 10 MB
     df = spark.createDataFrame([(1, text), (2, "")], "doc_id long, text string")
-    rows = P.packed(df, ["doc_id"], digest=True).orderBy("doc_id", "piece").collect()
+    rows = P.packed(df, ["doc_id"], form="crc32").orderBy("doc_id", "piece").collect()
     one = [r for r in rows if r.doc_id == 1]
     own = library(False).encode("some words, and more 12 of them\n" * 2, add_special_tokens=False).ids
     assert sum(r.length for r in one) == len(own) // 2 * 330_000 + 1 and all(r.length == 2048 for r in one[1:])
@@ -122,4 +122,5 @@ def test_ids_and_digests_agree(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
     key = lambda r: (r.doc_id, r.piece)
     whole = {key(r): zlib.crc32(np.array(r.ids, "<u4").tobytes()) for r in P.token_pieces(df, ["doc_id"]).collect()}
-    assert whole == {key(r): r.ids_crc32 for r in P.token_pieces(df, ["doc_id"], digest=True).collect()}
+    assert whole == {key(r): zlib.crc32(np.frombuffer(r.ids, "<u2").astype("<u4").tobytes()) for r in P.token_pieces(df, ["doc_id"], form="packed").collect()}
+    assert whole == {key(r): r.ids_crc32 for r in P.token_pieces(df, ["doc_id"], form="crc32").collect()}
