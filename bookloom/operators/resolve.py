@@ -1,7 +1,8 @@
 """Matching an outside list of (author, title) to catalog books, all items at once.
 
-Earlier decisions answer first. The rest meet the catalog over an index of title trigrams: rare trigrams of a needle
-are enough to find every title above the floor, so the join keys on those alone, and each candidate is then scored.
+Earlier decisions answer first. The rest meet the catalog over an index of title trigrams: the rarest trigrams of a
+needle are enough to find every title above the floor, so the join keys on those alone, and each candidate is then
+scored, once for all items that ask for the same.
 """
 
 from __future__ import annotations
@@ -22,32 +23,43 @@ def normalized_items(items: DataFrame) -> DataFrame:
     return items.withColumn("author_norm", T.match_form(F.col("author"))).withColumn("title_norm", T.match_form(T.trim_subtitle(F.col("title"))))
 
 
+def matching_titles(needles: DataFrame, titles: DataFrame) -> DataFrame:
+    """title_norm, low, title_score of all titles (low) above the floor for each needle (title_norm).
+
+    Sharing c trigrams gives at most c over those of the needle, so a title above the floor has one of all but that
+    share of them: the rarest in the catalog are the join keys. Only the two strings travel; scores come afterwards.
+    """
+    posted = titles.select("low", F.explode(T.trigrams(F.col("low"))).alias("key"))
+    often = posted.groupBy("key").agg(F.count("*").alias("n"))
+    wanted = needles.select("title_norm", F.explode(T.trigrams(F.col("title_norm"))).alias("key")).join(often, "key", "left")
+    ordered = wanted.groupBy("title_norm").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key"))).alias("keys"))
+    enough = F.size("keys") - F.floor(F.size("keys") * TITLE_FLOOR).cast("int")
+    keyed = ordered.select("title_norm", F.explode(F.slice("keys", F.lit(1), enough)).alias("k")).select("title_norm", "k.key")
+    pairs = keyed.join(posted, "key").select("title_norm", "low").distinct()
+    scored = pairs.withColumn("sim", T.similarity(F.col("title_norm"), F.col("low"))).withColumn("starts", F.startswith("low", "title_norm"))
+    scored = scored.where((F.col("sim") > TITLE_FLOOR) | F.col("starts"))
+    return scored.select("title_norm", "low", F.greatest("sim", F.when(F.col("starts"), PREFIX_SCORE).otherwise(0.0)).alias("title_score"))
+
+
 def find_candidates(items: DataFrame, books: DataFrame, authors: DataFrame, links: DataFrame) -> DataFrame:
     """item_id, book_id, score, rank: the best CANDIDATES per item, ties by book_id.
 
-    Distinct titles are matched, not books, and the authors' part is worked out for the pairs that are left.
+    Items that ask for the same author and title are one pair until the end, and distinct titles are matched, not
+    books. A pair's books are cut to CANDIDATES before the items come back.
     """
-    titles = books.select(F.lower("title").alias("low")).distinct().withColumn("own", T.trigrams(F.col("low")))
-    needles = items.where(F.col("title_norm") != "").select("title_norm").distinct().withColumn("want", T.trigrams(F.col("title_norm")))
-    # sharing c trigrams gives at most c / |want|: a title above the floor has one of all but that share of them
-    keyed = needles.withColumn("key", F.explode(F.slice(F.sort_array("want"), F.lit(1), F.size("want") - F.floor(F.size("want") * TITLE_FLOOR).cast("int"))))
-    posted = titles.select("low", "own", F.explode("own").alias("key"))
-    pairs = keyed.join(posted, "key").select("title_norm", "want", "low", "own").dropDuplicates(["title_norm", "low"])
-    starts = F.startswith("low", "title_norm")
-    scored = pairs.select("title_norm", "low", T.overlap(F.col("want"), F.col("own")).alias("sim"), starts.alias("starts"))
-    scored = scored.where((F.col("sim") > TITLE_FLOOR) | F.col("starts"))
-    title_score = F.greatest("sim", F.when(F.col("starts"), PREFIX_SCORE).otherwise(0.0))
-    found = scored.select("title_norm", "low", title_score.alias("title_score"))
-    wanted = items.select("item_id", "title_norm", "author_norm").where(F.col("title_norm") != "")
-    hits = wanted.join(found, "title_norm").join(books.select(F.col("id").alias("book_id"), F.lower("title").alias("low")), "low")
-    writers = links.select("book_id", "author_id").distinct().join(authors.select(F.col("id").alias("author_id"), F.lower("full_name").alias("name")), "author_id")
-    asked = hits.select("author_norm", "book_id").distinct().join(writers, "book_id")
-    names = asked.select("author_norm", "name").distinct().withColumn("s", T.similarity(F.col("name"), F.col("author_norm")))
-    best = asked.join(names, ["author_norm", "name"]).groupBy("author_norm", "book_id").agg(F.max("s").alias("author_score"))
+    asked = items.where(F.col("title_norm") != "").select("item_id", F.coalesce("author_norm", F.lit("")).alias("author_norm"), "title_norm")
+    pairs = asked.select("author_norm", "title_norm").distinct()
+    found = matching_titles(asked.select("title_norm").distinct(), books.select(F.lower("title").alias("low")).distinct())
+    hits = pairs.join(found, "title_norm").join(books.select(F.col("id").alias("book_id"), F.lower("title").alias("low")), "low").select("author_norm", "title_norm", "book_id", "title_score")
+    writers = links.select("book_id", "author_id").distinct().join(authors.select(F.col("id").alias("author_id"), F.lower("full_name").alias("name")), "author_id").select("book_id", "name").distinct()
+    met = hits.select("author_norm", "book_id").distinct().join(writers, "book_id")
+    near = met.select("author_norm", "name").distinct().withColumn("s", T.similarity(F.col("name"), F.col("author_norm")))
+    best = met.join(near, ["author_norm", "name"]).groupBy("author_norm", "book_id").agg(F.max("s").alias("author_score"))
     score = (F.col("title_score") * TITLE_WEIGHT + F.coalesce("author_score", F.lit(0.0)) * AUTHOR_WEIGHT).cast("float")
-    rows = hits.join(best, ["author_norm", "book_id"], "left").select("item_id", "book_id", score.alias("score"))
-    order = Window.partitionBy("item_id").orderBy(F.desc("score"), F.asc("book_id"))
-    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= CANDIDATES)
+    rows = hits.join(best, ["author_norm", "book_id"], "left").select("author_norm", "title_norm", "book_id", score.alias("score"))
+    order = Window.partitionBy("author_norm", "title_norm").orderBy(F.desc("score"), F.asc("book_id"))
+    ranked = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= CANDIDATES)
+    return asked.join(ranked, ["author_norm", "title_norm"]).select("item_id", "book_id", "score", "rank")
 
 
 def match_buckets(items: DataFrame, decisions: DataFrame, candidates: DataFrame) -> DataFrame:
