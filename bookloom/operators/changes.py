@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from bookloom.operators.ranges import running_sum
+
 
 def _on(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
     return reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[k]) for k in keys])
@@ -31,15 +33,12 @@ def insert_missing(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFr
 def get_or_create(dim: DataFrame, names: DataFrame, name_col: str = "name") -> DataFrame:
     """dim (id, name) with new ids for the names that it lacks, in order of name after the highest id.
 
-    Ranks are range-partitioned running counts, not one global window.
+    Ids are running counts over ranges of names, so they depend on the names alone, not on how partitions are dealt.
     """
     new = names.select(name_col).where(F.col(name_col).isNotNull()).distinct().join(dim.select(name_col), name_col, "left_anti")
-    dealt = new.repartitionByRange(F.col(name_col)).sortWithinPartitions(name_col).withColumn("_p", F.spark_partition_id())
-    dealt = dealt.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(name_col)))
-    sizes = dealt.groupBy("_p").agg(F.count("*").alias("_c"))
-    before = sizes.withColumn("_b", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_b")
+    nth = running_sum(new, [], [name_col], F.lit(1).cast("long"), "_i")
     top = dim.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    numbered = dealt.join(before, "_p").join(top, F.lit(True)).select((F.col("_top") + F.col("_b") + F.col("_i")).cast("long").alias("id"), name_col)
+    numbered = nth.join(top, F.lit(True)).select((F.col("_top") + F.col("_i")).cast("long").alias("id"), name_col)
     return dim.select("id", name_col).unionByName(numbered)
 
 
@@ -139,6 +138,70 @@ def resolve_items(items: DataFrame, chosen: DataFrame) -> DataFrame:
     return joined.select(*[F.when(hit, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in items.columns])
 
 
+def ignore_items(items: DataFrame, ids: DataFrame) -> DataFrame:
+    """Items whose id is among ids become ignored; their book stays."""
+    own = ids.select(F.col("id").alias("_id")).distinct()
+    joined = items.join(own, items["id"] == own["_id"], "left")
+    return joined.select(*[F.when(F.col("_id").isNotNull(), F.lit("ignored")).otherwise(F.col(c)).alias(c) if c == "match_status" else F.col(c) for c in items.columns])
+
+
+def rewrite_items(items: DataFrame, again: DataFrame) -> DataFrame:
+    """Items that a second try found (again: item_id, status, book_id, score, extra) take its status, score and extra, and its book if it names one."""
+    new = again.dropDuplicates(["item_id"]).select(F.struct("item_id", "status", "book_id", F.col("score").cast("float").alias("score"), "extra").alias("_n"))
+    joined = items.join(new, items["id"] == F.col("_n.item_id"), "left")
+    hit = F.col("_n").isNotNull()
+    each = {"match_status": F.col("_n.status"), "match_score": F.col("_n.score"), "external_extra": F.col("_n.extra"), "book_id": F.coalesce("_n.book_id", "book_id")}
+    return joined.select(*[F.when(hit, each[c]).otherwise(F.col(c)).alias(c) if c in each else F.col(c) for c in items.columns])
+
+
+def finish_import(collections: DataFrame, collection_id: int, stats: DataFrame, status: str, error: str = "", now=None) -> DataFrame:
+    """The collection takes the status, the error, the one row of stats as JSON, and the time; others stay."""
+    one = stats.select(F.to_json(F.struct("*")).alias("_stats"))
+    hit = F.col("id") == collection_id
+    new = {"import_status": F.lit(status), "import_error": F.lit(error), "import_stats": F.col("_stats"), "imported_at": F.current_timestamp() if now is None else F.lit(now)}
+    return collections.join(one, F.lit(True), "left").select(*[F.when(hit, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in collections.columns])
+
+
+def delete_user(tables: dict[str, DataFrame], user_id: int) -> dict[str, DataFrame]:
+    """Tables (collection, collection_book, vote, favorite, user) without a user and what is theirs.
+
+    Their collections go with the books and all votes on them, then their own votes and favorites. Curated collections
+    belong to nobody (user_id is null) and stay.
+    """
+    out, own = dict(tables), tables["collection"].where(F.col("user_id") == user_id).select(F.col("id").alias("_own"))
+    others = lambda t: F.coalesce(t["user_id"] != user_id, F.lit(True))
+    out["vote"] = tables["vote"].join(own, tables["vote"]["collection_id"] == F.col("_own"), "left_anti").where(others(tables["vote"]))
+    out["collection_book"] = tables["collection_book"].join(own, F.col("book_collection_id") == F.col("_own"), "left_anti")
+    out["collection"] = tables["collection"].where(others(tables["collection"]))
+    out["favorite"] = tables["favorite"].where(others(tables["favorite"]))
+    out["user"] = tables["user"].where(F.col("id") != user_id)
+    return out
+
+
+def reattach(rows: DataFrame, users: DataFrame, column: str, to: int | None) -> DataFrame:
+    """Rows whose user is not there any more go to another one, or to nobody; rows without a user stay as they are."""
+    there = users.select(F.col("id").alias("_user")).distinct()
+    joined = rows.join(there, rows[column] == there["_user"], "left")
+    lost = F.col(column).isNotNull() & F.col("_user").isNull()
+    kind = rows.schema[column].dataType
+    return joined.select(*[F.when(lost, F.lit(to).cast(kind)).otherwise(F.col(c)).alias(c) if c == column else F.col(c) for c in rows.columns])
+
+
+def export_tables(tables: dict[str, DataFrame], allowed: list[str], path: str) -> list[str]:
+    """Write the allowed tables under path, each in a folder of its name, and nothing else; an unknown name is an error."""
+    unknown = sorted(set(allowed) - set(tables))
+    if unknown:
+        raise ValueError(f"no such tables: {', '.join(unknown)}")
+    for name in sorted(allowed):
+        tables[name].write.mode("errorifexists").parquet(f"{path}/{name}")
+    return sorted(allowed)
+
+
+def write_report(report: DataFrame, path: str) -> None:
+    """One JSON row per row of a report."""
+    report.coalesce(1).write.mode("overwrite").json(path)
+
+
 def publish(spark: SparkSession, tables: dict[str, DataFrame], path: str, batch: str) -> None:
     """Write the tables of a batch under path/batch, and the manifest row last."""
     for name, df in tables.items():

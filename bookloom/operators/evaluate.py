@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bookloom.operators.ranges import running_sum
+
 EPS = 1e-9
 
 
@@ -72,23 +74,22 @@ def compare_runs(current: DataFrame, baseline: DataFrame) -> DataFrame:
     return row.withColumn("verdict", F.when(bad, "regression").otherwise("pass"))
 
 
-def nearest_rank(c: Column, p: float) -> Column:
-    """Aggregate: the value at rank ceil(p * n); 0 for no values."""
-    values = F.sort_array(F.collect_list(c))
-    at = F.greatest(F.ceil(F.lit(p) * F.size(values)).cast("int"), F.lit(1))
-    return F.coalesce(F.get(values, at - 1), F.lit(0))
+def _value_counts(rows: DataFrame, group: list[str], c: str) -> DataFrame:
+    """group, value, upto (rows with this value or a lower one), n (rows of the group); nulls do not count."""
+    counts = rows.where(F.col(c).isNotNull()).groupBy(*group, F.col(c).alias("_v")).agg(F.count("*").alias("_n"))
+    return running_sum(counts, group, ["_v"], F.col("_n"), "_upto", "_total")
 
 
 def percentiles(rows: DataFrame, group: list[str], c: str, ps: dict[str, float]) -> DataFrame:
-    """Exact nearest-rank percentiles as a distributed rank: Spark's percentile_disc over counts, not collected lists."""
-    return rows.groupBy(*group).agg(*[F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {c})").alias(n) for n, p in ps.items()])
+    """Exact nearest-rank percentiles, the value at rank ceil(p * n), from counts of values and their running sums."""
+    at = lambda p: F.greatest(F.ceil(F.lit(p) * F.col("_total")), F.lit(1))
+    return _value_counts(rows, group, c).groupBy(*group).agg(*[F.min(F.when(F.col("_upto") >= at(p), F.col("_v"))).alias(n) for n, p in ps.items()])
 
 
 def floor_rank(rows: DataFrame, group: list[str], c: str, ps: dict[str, float]) -> DataFrame:
     """The other definition: the value at index floor(q * n) of the sorted values, the last one at most."""
-    order = Window.partitionBy(*group).orderBy(c)
-    ranked = rows.withColumn("_i", F.row_number().over(order) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(*group)))
-    return ranked.groupBy(*group).agg(*[F.max(F.when(F.col("_i") == F.least(F.floor(F.lit(q) * F.col("_n")), F.col("_n") - 1), F.col(c))).alias(n) for n, q in ps.items()])
+    at = lambda q: F.least(F.floor(F.lit(q) * F.col("_total")), F.col("_total") - 1)
+    return _value_counts(rows, group, c).groupBy(*group).agg(*[F.min(F.when(F.col("_upto") > at(q), F.col("_v"))).alias(n) for n, q in ps.items()])
 
 
 def throughput(rows: DataFrame, group: str, seconds: float) -> DataFrame:

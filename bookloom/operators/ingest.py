@@ -82,7 +82,9 @@ REPAIRS = [
 def repair_markup(c: Column) -> Column:
     for pattern, new in REPAIRS:
         c = F.regexp_replace(c, pattern, new)
-    return c
+    # links with the prefix l in a document that declares only xlink
+    known = F.contains(c, F.lit("xmlns:xlink")) & ~F.contains(c, F.lit("xmlns:l"))
+    return F.when(known, F.replace(c, F.lit(' l:href="'), F.lit(' xlink:href="'))).otherwise(c)
 
 
 _DESCRIPTION = """`title-info` struct<genre: array<string>, author: array<struct<`first-name`: string, `middle-name`: string, `last-name`: string>>,

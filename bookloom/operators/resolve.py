@@ -103,10 +103,19 @@ def import_stats(matched: DataFrame) -> DataFrame:
 
 
 def extra_payload(matched: DataFrame, items: DataFrame) -> DataFrame:
-    """item_id, extra: JSON of year and the first KEPT_CANDIDATES candidates; null when there is neither."""
-    rows = items.select("item_id", "year").join(matched.select("item_id", "candidates"), "item_id", "left")
-    some = F.col("year").isNotNull() | (F.coalesce(F.size("candidates"), F.lit(0)) > 0)
-    return rows.select("item_id", F.when(some, F.to_json(F.struct("year", F.slice("candidates", 1, KEPT_CANDIDATES).alias("candidates")))).alias("extra"))
+    """item_id, extra: JSON of the item's own extra map, its year (not 0) and the first KEPT_CANDIDATES candidates; null when there is none of them.
+
+    Keys of the map come first; `year` and `candidates` take the place of keys of the same name.
+    """
+    rows = items.select("item_id", F.nullif("year", F.lit(0)).alias("year"), F.col("extra") if "extra" in items.columns else F.lit(None).cast("map<string,string>").alias("extra"))
+    rows = rows.join(matched.select("item_id", "candidates"), "item_id", "left")
+    some = F.coalesce(F.size("candidates"), F.lit(0)) > 0
+    taken = lambda k: (F.col("year").isNotNull() & (k == "year")) | (some & (k == "candidates"))
+    own = F.to_json(F.map_filter("extra", lambda k, _: ~taken(k)))
+    made = F.to_json(F.struct("year", F.when(some, F.slice("candidates", 1, KEPT_CANDIDATES)).alias("candidates")))
+    body = F.array_join(F.filter(F.array(*[F.substring(j, F.lit(2), F.char_length(j) - 2) for j in (F.coalesce(own, F.lit("{}")), made)]), lambda x: x != ""), ",")
+    none = F.col("year").isNull() & ~some & (F.coalesce(F.size("extra"), F.lit(0)) <= 0)
+    return rows.select("item_id", F.when(~none, F.concat(F.lit("{"), body, F.lit("}"))).alias("extra"))
 
 
 def recent(ring: Column, n: int = RECENT) -> Column:

@@ -8,8 +8,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: The window in seconds and limits per key, the context limit in bytes and the cost of a message.
-WINDOW_SECONDS, PER_ADDRESS, PER_USER, CONTEXT_BYTES, MESSAGE_BYTES = 60, 10, 5, 4096, 50
+from bookloom.operators.ranges import running_sum
+
+#: The window in seconds and limits per key, the context limit in bytes, the cost of a message, and
+#: how many seconds a user state lives.
+WINDOW_SECONDS, PER_ADDRESS, PER_USER, CONTEXT_BYTES, MESSAGE_BYTES, STATE_SECONDS = 60, 10, 5, 4096, 50, 3600
 
 
 def fixed_windows(events: DataFrame, key: str = "key", seconds: int = WINDOW_SECONDS, limit: int = PER_USER) -> DataFrame:
@@ -53,12 +56,18 @@ def conversation_stats(messages: DataFrame) -> DataFrame:
 
 def progress_snapshots(events: DataFrame, key: str, every: int) -> DataFrame:
     """Of each key's events in order, the running count at every so many and at the last."""
-    order = Window.partitionBy(key).orderBy("ts", "event_id")
-    n, total = F.row_number().over(order), F.count("*").over(Window.partitionBy(key))
-    rows = events.withColumn("done", n.cast("long")).withColumn("total", total)
+    rows = running_sum(events, [key], ["ts", "event_id"], F.lit(1).cast("long"), "done", "total")
     return rows.where((F.col("done") % every == 0) | (F.col("done") == F.col("total")))
 
 
+def user_states(events: DataFrame, now, seconds: int = STATE_SECONDS) -> DataFrame:
+    """key, state at now: the last one set (events: key, ts, state; ties by state), unless it was empty or is older than seconds."""
+    past = events.where(F.col("ts") <= F.lit(now))
+    last = past.groupBy("key").agg(F.max(F.struct("ts", "state")).alias("last"))
+    live = (F.coalesce("last.state", F.lit("")) != "") & (F.col("last.ts") > F.lit(now) - F.expr(f"INTERVAL {int(seconds)} SECONDS"))
+    return last.where(live).select("key", "last.state")
+
+
 def expired(files: DataFrame, now, seconds: int) -> DataFrame:
     """Files (path, modificationTime) that are older than so many seconds at now."""
     return files.where(F.col("modificationTime") < F.lit(now) - F.expr(f"INTERVAL {int(seconds)} SECONDS"))

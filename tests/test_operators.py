@@ -1,9 +1,11 @@
 from datetime import datetime
 from html.parser import HTMLParser
 
+import pytest
 from pyspark.sql import functions as F
 
-from bookloom.operators import changes, dedup, documents, evaluate, lists, resolve, state
+from bookloom.operators import changes, dedup, documents, evaluate, filters, ingest, lists, ranges, rescan, resolve, state
+from bookloom.plans import maintenance
 
 
 def test_verdicts(spark):
@@ -20,7 +22,6 @@ def test_verdicts(spark):
 
 def test_percentiles(spark):
     df = spark.createDataFrame([("x", v) for v in (40, 10, 30, 20)], "g string, v long")
-    assert tuple(df.groupBy("g").agg(evaluate.nearest_rank(F.col("v"), 0.5), evaluate.nearest_rank(F.col("v"), 0.95)).first())[1:] == (20, 40)
     assert tuple(evaluate.percentiles(df, ["g"], "v", {"a": 0.5, "b": 0.95}).first())[1:] == (20, 40)
     assert tuple(evaluate.floor_rank(df, ["g"], "v", {"a": 0.5, "b": 1.0}).first())[1:] == (30, 40)
 
@@ -159,3 +160,73 @@ def test_html_blocks_equal_parser(spark):
 def test_html_blocks_keep_open_paragraphs(spark):
     rows = documents.html_blocks(spark.createDataFrame([(0, "<article><h1>H</h1><p>a<p>b</p><p>c</article><footer>f")], "page_id long, html string"))
     assert [(r.kind, r.text) for r in rows.orderBy("seq").collect()] == [("header", "H"), ("p", "a"), ("p", "b"), ("p", "c"), ("text", "f")]
+
+
+def test_portions_charge_notes(spark):
+    notes = [(str(i), 90_000) for i in range(500)]
+    df = spark.createDataFrame([("a", 0, 100, notes)], "id string, seq int, cost long, notes array<struct<id:string,cost:long>>")
+    packed = documents.pack_portions(df)
+    assert [(r.charged, r.error) for r in packed.collect()] == [(100 + 500 * 90_000, "too large")]
+    assert documents.portion_sizes(packed, 40 << 20).first().too_large
+
+
+def test_portions_against_brute_force(spark):
+    lines = {r.doc_id: r.text.split("\n") for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    for r in maintenance.chunk_pack_notes(spark, "/root/testdata/sf0.001").collect():
+        portion, size, seen, total, errors = 1, 0, set(), 0, 0
+        for seq, line in enumerate(lines[r.id], 1):
+            note = seq % 4 if seq % 3 == 0 else None
+            cost = len(line.encode())
+            extra = 0 if note is None or note in seen else 300
+            if size and size + cost + extra > 1024:
+                portion, size, seen = portion + 1, 0, set()
+                extra = 0 if note is None else 300
+            size, total = size + cost + extra, total + cost + extra
+            seen |= set() if note is None else {note}
+            errors += cost + (0 if note is None else 300) > 500
+        assert (r.portions, r.bytes, r.too_large, r.errors) == (portion, total, total > 20000, errors)
+
+
+def test_running_sums(spark):
+    rows = [(g, v, i) for i, (g, v) in enumerate([("a", k % 7) for k in range(300)] + [(None, k) for k in range(50)] + [("b", None)] * 3)]
+    df = spark.createDataFrame(rows, "g string, v int, i int").repartition(5)
+    got = {r.i: (r.upto, r.all) for r in ranges.running_sum(df, ["g"], ["v", "i"], F.lit(1), "upto", "all").collect()}
+    for g in ("a", "b", None):
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+        assert [got[r[2]] for r in own] == [(k + 1, len(own)) for k in range(len(own))]
+    assert ranges.running_sum(df.limit(0), ["g"], ["v"], F.lit(1), "n").count() == 0
+
+
+def test_link_prefixes(spark):
+    one = lambda t: spark.range(1).select(ingest.repair_markup(F.lit(t))).first()[0]
+    assert one('<a xmlns:xlink="x"><b l:href="#n"/></a>') == '<a xmlns:xlink="x"><b xlink:href="#n"/></a>'
+    assert one('<a xmlns:l="x" xmlns:xlink="x"><b l:href="#n"/></a>') == '<a xmlns:l="x" xmlns:xlink="x"><b l:href="#n"/></a>'
+    assert one('<a><b l:href="#n"/></a>') == '<a><b l:href="#n"/></a>'
+
+
+def test_languages(spark):
+    codes = {"swe": "sv", "ara": "ar", "heb": "he", "hrv": "hr", "sqi": "sq", "alb": "sq", "nno": "nn", "no": "nb", "lav": "lv", "slovene": "sl", "tgl": "tl", "gle": "ga", "welsh": "cy", "xyz": "xy", "marathi": "mr"}
+    rows = spark.createDataFrame(list(codes.items()), "tag string, code string")
+    assert rows.where(documents.standard_language(F.col("tag")) != F.col("code")).isEmpty()
+
+
+def test_split_query(spark):
+    df = spark.createDataFrame([('"war" by x by y',), ("war",), (" by y",), ("war by ",), ('" by z',)], "query string")
+    assert [(r.title, r.author) for r in filters.split_query(df).collect()] == [("war", "x by y"), ("war", None), ("", None), ("war", None), ("", None)]
+
+
+def test_export_and_report(spark, tmp_path):
+    tables = {n: spark.range(3) for n in ("book", "author", "user")}
+    assert changes.export_tables(tables, ["book", "author"], f"{tmp_path}/out") == ["author", "book"]
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["author", "book"]
+    with pytest.raises(ValueError, match="no such tables: nothing"):
+        changes.export_tables(tables, ["book", "nothing"], f"{tmp_path}/other")
+    changes.write_report(tables["book"].agg(F.count("*").alias("n")), f"{tmp_path}/report")
+    assert spark.read.json(f"{tmp_path}/report").first().n == 3
+
+
+def test_decisions(spark):
+    pending = spark.createDataFrame([(i, ("a",), ("b",)) for i in range(4)], "id long, old struct<title:string>, new struct<title:string>")
+    decisions = spark.createDataFrame([(0, True, None), (1, True, (False,)), (2, False, None), (2, True, None)], "id long, approved boolean, flags struct<title:boolean>")
+    stays, applied = rescan.decide(pending, decisions, ["title"])
+    assert [r.id for r in stays.collect()] == [3] and sorted((r.id, r.title) for r in applied.collect()) == [(0, "b"), (1, "a")]
