@@ -35,6 +35,8 @@ ID_BITS = 16
 STEP_BYTES = 1 << 19
 #: Pieces of words that a worker remembers at most before it starts anew.
 MEMORY = 400_000
+#: Pieces in a block of ranks, about.
+BLOCK_PIECES = 1 << 20
 TOKENIZER = "byte_bpe_50k.json"
 RESULTS = ["piece", "start", "length", "ids", "ids_crc32", "sequence_id", "offset"]
 
@@ -323,16 +325,22 @@ def best_fit_plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tupl
     return slots
 
 
-def assign(pieces: DataFrame, block: str, capacity: int = CAPACITY) -> DataFrame:
-    """pieces but their block, plus sequence_id and offset. pieces is read several times and should be written."""
+def assign(pieces: DataFrame, row: str, capacity: int = CAPACITY) -> DataFrame:
+    """pieces but their row, plus sequence_id and offset. pieces is read several times and should be written.
+
+    row is a hash by which pieces of one length are ranked, in blocks whose number grows with that of the pieces.
+    """
     spark, p = pieces.sparkSession, free_prefix("_s_", pieces.columns)
+    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-pieces.count() // BLOCK_PIECES))
+    block = f"{p}at"
+    pieces = pieces.withColumn(block, F.pmod(F.col(row), F.lit(blocks)).cast("int"))
     part = pieces.select("length", F.col(block).alias(f"{p}block"))
     by_block = part.groupBy("length", f"{p}block").agg(F.count("*").alias(f"{p}n"))
     counts = {r["length"]: r["n"] for r in by_block.groupBy("length").agg(F.sum(f"{p}n").alias("n")).collect()}  # at most capacity rows
     slots = spark.createDataFrame(best_fit_plan(counts, capacity), "length long, rank long, many long, each long, first long, at long")
     before = Window.partitionBy("length").orderBy(f"{p}block").rowsBetween(Window.unboundedPreceding, -1)
     base = by_block.select(F.col("length").alias(f"{p}length"), f"{p}block", F.coalesce(F.sum(f"{p}n").over(before), F.lit(0)).alias(f"{p}base"))
-    inside = Window.partitionBy("length", block).orderBy(F.monotonically_increasing_id())
+    inside = Window.partitionBy("length", block).orderBy(row)
     ranked = pieces.withColumn(f"{p}row", F.row_number().over(inside) - 1)
     ranked = ranked.join(base, (ranked["length"] == base[f"{p}length"]) & (ranked[block] == base[f"{p}block"]))
     rank, slot = F.col(f"{p}row") + F.col(f"{p}base"), F.col(f"{p}slot")
@@ -340,7 +348,7 @@ def assign(pieces: DataFrame, block: str, capacity: int = CAPACITY) -> DataFrame
     hit = (F.col("length") == slot["length"]) & (rank >= slot["rank"]) & (rank < slot["rank"] + slot["many"] * slot["each"])
     place = rank - slot["rank"]
     return ranked.join(F.broadcast(slots), hit).select(
-        *[F.col(f"`{c}`") for c in pieces.columns if c != block],
+        *[F.col(f"`{c}`") for c in pieces.columns if c not in (row, block)],
         (slot["first"] + F.floor(place / slot["each"])).cast("long").alias("sequence_id"),
         (slot["at"] + (place % slot["each"]) * F.col("length")).cast("long").alias("offset"),
     )
@@ -349,14 +357,13 @@ def assign(pieces: DataFrame, block: str, capacity: int = CAPACITY) -> DataFrame
 def packed(docs: DataFrame, keep: list[str], tokenizer: str | None = None, form: str = "ids", as_text: bool = False) -> DataFrame:
     """keep, piece, start, length, ids (in the form asked for), sequence_id, offset: a row per piece.
 
-    Pieces of one length are alike for the plan. They are dealt into blocks by a hash of their row, so that copies of a
-    document, which stand side by side after mixing, go to sequences far apart. A column in keep that has the name of a
+    Pieces of one length are alike for the plan. They are ranked by a hash of their row, so that copies of a document,
+    which stand side by side after mixing, go to sequences far apart. A column in keep that has the name of a
     result column gets underscores after its name.
     """
-    blocks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pieces = token_pieces(docs, keep, tokenizer, form=form, as_text=as_text)
-    block = free_name("block", pieces.columns)
-    return assign(written(pieces.withColumn(block, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int")), "pieces"), block)
+    row = free_name("row", pieces.columns)
+    return assign(written(pieces.withColumn(row, F.xxhash64(F.monotonically_increasing_id())), "pieces"), row)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

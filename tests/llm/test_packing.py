@@ -124,3 +124,15 @@ def test_ids_and_digests_agree(spark):
     whole = {key(r): zlib.crc32(np.array(r.ids, "<u4").tobytes()) for r in P.token_pieces(df, ["doc_id"]).collect()}
     assert whole == {key(r): zlib.crc32(np.frombuffer(r.ids, "<u2").astype("<u4").tobytes()) for r in P.token_pieces(df, ["doc_id"], form="packed").collect()}
     assert whole == {key(r): r.ids_crc32 for r in P.token_pieces(df, ["doc_id"], form="crc32").collect()}
+
+
+def test_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(P, "BLOCK_PIECES", 3)
+    df = spark.createDataFrame([(i, "word " * (i % 5)) for i in range(200)], "doc_id long, text string")
+    rows = P.packed(df, ["doc_id"]).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(200))
+    ends = {}
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == ends.get(r.sequence_id, 0)
+        ends[r.sequence_id] = r.offset + r.length
+    assert max(ends.values()) <= 2048 and len(ends) == -(-sum(ends.values()) // 2048)
