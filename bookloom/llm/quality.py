@@ -74,9 +74,9 @@ def features(text_col: str, prefix: str = "") -> list[Column]:
     return [c.alias(prefix + n) for n, c in each.items()]
 
 
-def counts(prefix: str = "") -> dict[str, Column]:
-    """The counts by name, over the columns of features()."""
-    col = lambda n: F.col(f"`{prefix}{n}`")
+def counts(prefix: str = "", held: Column | None = None) -> dict[str, Column]:
+    """The counts by name, over the columns of features() or the struct of them that is held."""
+    col = lambda n: F.col(f"`{prefix}{n}`") if held is None else held[n]
     plain = {n: col(n) for n in ("word_chars", "n_symbols", "n_upper", "n_cries", "n_letters", "n_digits", "n_ends")}
     return plain | {"n_words": col("counted")["n"], "n_repeat_words": col("counted")["again"], "n_lines": col("lines")["n"], "n_dup_lines": col("lines")["n"] - col("lines")["own"]}
 
@@ -134,17 +134,26 @@ def fit_votes(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[float, list[
     return prior, weights
 
 
-def posterior(rows: DataFrame, each: list[Column]) -> Column:
-    """The posterior of good as a column over rows, fitted on their votes."""
-    names = [f"v{i}" for i in range(len(each))]
-    found = rows.select(*[v.alias(n) for v, n in zip(each, names)]).groupBy(*names).count().collect()  # a row a pattern
-    prior, weights = fit_votes(sorted((tuple(r[c] for c in names), r["count"]) for r in found))
+def fitted(rows: DataFrame, each: Column) -> tuple[float, list[dict[int, float]]]:
+    """fit_votes() over rows, where each is the array of a row's votes."""
+    found = rows.groupBy(each.alias("votes")).count().collect()  # a row a pattern
+    return fit_votes(sorted((tuple(r["votes"]), r["count"]) for r in found))
+
+
+def score(model: tuple[float, list[dict[int, float]]], each: list[Column]) -> Column:
+    """The posterior of good, by votes."""
+    prior, weights = model
     odds = F.lit(prior)
     for v, w in zip(each, weights):
         odds = odds + F.when(v == -1, w[-1]).when(v == 1, w[1]).otherwise(w[0])
     return 1 / (1 + F.exp(-odds))
 
 
+def posterior(rows: DataFrame, each: list[Column]) -> Column:
+    """The posterior of good as a column over rows, fitted on their votes."""
+    return score(fitted(rows, F.array(*each)), each)
+
+
 def base_fails(c: dict[str, Column]) -> Column:
     return (c["n_words"] < LEAST_WORDS) | (100 * c["n_repeat_words"] > 50 * c["n_words"])
 
@@ -156,8 +165,8 @@ def quality(docs: DataFrame, keep: list[str], threshold: float = THRESHOLD, text
     at = free_prefix("_q_", [free_name(k, results) for k in keep])
     counted = written(docs.select(*named, *features(text_col, at)), "quality")
     c = counts(at)
-    score = posterior(counted, votes(c)).alias("score")
-    scored = counted.select(*counted.columns[: len(keep)], *[c[n].alias(n) for n in COUNTS], base_fails(c).alias("base_failed"), score)
+    good = posterior(counted, votes(c)).alias("score")
+    scored = counted.select(*counted.columns[: len(keep)], *[c[n].alias(n) for n in COUNTS], base_fails(c).alias("base_failed"), good)
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
 
 
@@ -169,10 +178,13 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go; all columns of the others stay.
 
-    The rows are written once beside their counts and filtered as they are read again: no text is shuffled.
+    The texts are counted twice, to fit the rules and to judge by them: no text is shuffled or written on the way.
     """
-    at = free_prefix("_q_", docs.columns)
-    held = written(docs.select("*", *features("text", at)), "quality")
-    c = counts(at)
-    kept = ~base_fails(c) & (posterior(held, votes(c)) >= THRESHOLD)
-    return held.where(kept).select(*[F.col(f"`{n}`") for n in docs.columns])
+    seen = F.struct(*features("text"))
+    model = fitted(docs, let(seen, lambda s: F.array(*votes(counts(held=s)))))
+
+    def fine(s: Column) -> Column:
+        c = counts(held=s)
+        return ~base_fails(c) & (score(model, votes(c)) >= THRESHOLD)
+
+    return docs.where(let(seen, fine))
