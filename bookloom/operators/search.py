@@ -156,9 +156,14 @@ def page_of(rows: DataFrame, order: list[Column], limit: int, offset: int) -> Da
     return top.withColumn("pos", F.row_number().over(Window.orderBy(*order)) + offset)
 
 
+def shared(found: DataFrame) -> DataFrame:
+    """found behind an exchange on all its columns, so that a page and a total read one and the same and neither works it out again."""
+    return found.repartition(*found.columns)
+
+
 def search_books(catalog: Catalog, r: BookSearch) -> DataFrame:
     """id, pos, total, query_hash; an empty page is one row with a null id, so that the total is always there."""
-    found = admitted_books(catalog, r)
+    found = shared(admitted_books(catalog, r).drop("norm_title", "candidate"))
     page = page_of(found, book_order(), clamp(r.limit, PAGE_LIMIT, PAGE_LIMIT), r.offset).select("id", "pos")
     digest = hashlib.md5((T.normalize_text(r.query) or "").encode()).hexdigest()
     total = found.agg(F.count("*").alias("total"))
@@ -179,6 +184,7 @@ def search_authors(catalog: Catalog, query: str, lang: str = "", limit: int = PA
     hit = (T.overlap(own, T.trigrams(name)) >= AUTHOR_FLOOR) | (T.may_reach(own, T.trigrams(name), WORD_FLOOR) & (near >= WORD_FLOOR))
     found = catalog.named().where(hit & F.lit(needle != "")).withColumn("distance", (1 - near).cast("float"))
     found = found.join(books_per_author(catalog, lang), F.col("id") == F.col("author_id"))
+    found = shared(found.select("id", "full_name", "books", "distance"))
     page = page_of(found, [F.asc("distance"), F.desc("books"), F.asc("id")], clamp(limit, PAGE_LIMIT, PAGE_LIMIT), offset)
     total = found.agg(F.count("*").alias("total"))
     return total.join(page.select("id", "full_name", "books", F.col("pos").cast("long").alias("pos")), F.lit(True), "left").select("id", "full_name", "books", "pos", "total")

@@ -51,3 +51,10 @@ def test_blocks(spark):
 def test_page_plan_sorts_no_whole_table(spark):
     plan = plans.queries()["search_books_ranked_page"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan and "CartesianProduct" not in plan
+
+
+def test_matches_are_worked_out_once(spark):
+    rows = plans.queries()["search_books_ranked_page"](spark, SF)
+    rows.collect()
+    plan = rows._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("part.parquet") == 1 and "ReusedExchange" in plan
