@@ -23,6 +23,13 @@ def duplicate_groups(rows: DataFrame) -> DataFrame:
     )
 
 
+def duplicate_members(rows: DataFrame) -> DataFrame:
+    """md5 and id of every row of duplicate_groups: a row each in place of an array, whatever the size of a group."""
+    known = rows.where(F.col("md5") != "")
+    again = known.groupBy("md5").agg(F.count("*").alias("n")).where("n > 1")
+    return known.join(again, "md5", "left_semi").select("md5", "id")
+
+
 def duplicates_total(rows: DataFrame) -> DataFrame:
     """One row: groups, and the rows beyond the first of each."""
     n = rows.where(F.col("md5") != "").groupBy("md5").agg(F.count("*").alias("n")).where("n > 1")

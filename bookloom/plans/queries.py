@@ -194,6 +194,11 @@ def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.duplicate_groups(_hashed(spark, sf_dir)).select("md5", "count", F.array_join(F.col("book_ids").cast("array<string>"), ",").alias("book_ids"), F.array_join("example_titles", "|").alias("example_titles"))
 
 
+@query(f"WITH {_DOCS} SELECT md5, id FROM h WHERE md5 IN (SELECT md5 FROM h GROUP BY 1 HAVING count(*) > 1)")
+def duplicate_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.duplicate_members(_hashed(spark, sf_dir))
+
+
 @query(f"WITH {_DOCS} SELECT count(*)::BIGINT AS groups, coalesce(sum(n - 1), 0)::BIGINT AS duplicates FROM (SELECT count(*) AS n FROM h GROUP BY md5 HAVING count(*) > 1)")
 def duplicates_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.duplicates_total(_hashed(spark, sf_dir))
