@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bookloom.llm import chat_format, lang_id, licenses, line_dedup, media, mixing, ngram_join, packing, quality, warc
+from bookloom.llm import chat_format, divergence, exact_dedup, lang_id, licenses, line_dedup, media, mixing, ngram_join, packing, quality, spelling, warc
 
 
 def queries() -> dict:
@@ -20,6 +20,9 @@ def queries() -> dict:
         "op8_chat_format": chat_format.op8_chat_format,
         "op9_quality": quality.op9_quality,
         "op10_warc": warc.op10_warc,
+        "op11_spelling": spelling.op11_spelling,
+        "op12_exact_dedup": exact_dedup.op12_exact_dedup,
+        "op13_divergence": divergence.op13_divergence,
     }
 
 
@@ -28,4 +31,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_line_dedup": line_dedup.OP3_SQL,
         "op8_chat_format": chat_format.OP8_SQL,
         "op10_warc": warc.OP10_SQL,
+        "op12_exact_dedup": exact_dedup.OP12_SQL,
+        "op13_divergence": divergence.OP13_SQL,
     }

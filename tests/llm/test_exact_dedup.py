@@ -1,0 +1,119 @@
+import hashlib
+import random
+from collections import defaultdict
+
+import duckdb
+import numpy as np
+import pytest
+
+from bookloom.llm import exact_dedup as X
+
+
+def low(t):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+
+
+def brute(rows, largest=True):
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[low(t)].append(i)
+    out = []
+    for text, ids in groups.items():
+        real = [i for i in ids if i is not None]
+        keep = (max(real) if largest else min(real)) if real else None
+        kept = [keep] + [None] * 0
+        for i in ids:
+            stays = i == keep and bool(kept)
+            if stays:
+                kept.pop()
+            out.append((i, keep, len(ids), stays, hashlib.sha256(text.encode()).hexdigest()))
+    return sorted(out, key=repr)
+
+
+def table(seed):
+    r = random.Random(seed)
+    pool = [f"Some Text {k}" for k in range(40)] + ["", None, "É", "é", "x" * 300_000, "X" * 300_000]
+    rows = [(i, "the hot text" if r.random() < 0.4 else r.choice(pool)) for i in range(400)]
+    return rows + [(None, "some text 1"), (None, "only nulls"), (None, "ONLY nulls"), rows[3], rows[3], (-5, "alone")]
+
+
+@pytest.mark.parametrize("seed, parts, slices, largest", [(1, 1, 1, True), (2, 7, 9, True), (3, 30, 5, False), (4, 70, 3, True)])
+def test_against_brute_force(spark, seed, parts, slices, largest):
+    rows = table(seed)
+    df = spark.createDataFrame([(i, t, 1, "a") for i, t in rows], "doc_id long, text string, id int, digest string").repartition(slices)
+    got = X.exact_copies(df, largest=largest, parts=parts)
+    assert sorted(map(tuple, got.collect()), key=repr) == brute(rows, largest)
+    left = X.drop_copies(df, largest=largest)
+    assert left.columns == df.columns
+    assert sorted((r.doc_id, low(r.text)) for r in left.where("doc_id IS NOT NULL").collect()) == sorted((b[0], next(low(t) for i, t in rows if i == b[0])) for b in brute(rows, largest) if b[3] and b[0] is not None)
+    assert left.where("doc_id IS NULL").count() == 1
+
+
+def test_sql(spark, tmp_path):
+    rows = [(i, t) for i, t in {i: t for i, t in table(5) if i is not None}.items()]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = X.op12_exact_dedup(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(X.OP12_SQL)
+    assert want.columns == got.columns and sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
+def entries(rows):
+    out = np.empty(len(rows), X.ENTRY)
+    for k, (d, s, c, i, row, n) in enumerate(rows):
+        out[k] = (d, s, c, i, row, n)
+    return out
+
+
+def test_equal_digests_of_different_texts_stay_apart():
+    rows = [(b"d" * 32, 1, 5, 7, 1, 1), (b"d" * 32, 2, 5, 9, 2, 1), (b"d" * 32, 1, 5, 8, 3, 2), (b"d" * 32, 1, 6, 8, 4, 1), (b"a" * 31 + b"\0", 0, 0, 1, 1, 1)]
+    got = [(e["digest"], e["second"], e["chars"], e["id"], e["n"]) for e in X.merged(entries(rows))]
+    assert got == [(b"a" * 31, 0, 0, 1, 1), (b"d" * 32, 1, 5, 8, 3), (b"d" * 32, 1, 6, 8, 1), (b"d" * 32, 2, 5, 9, 1)]
+
+
+@pytest.mark.parametrize("runs, largest", [(1, True), (6, True), (6, False)])
+def test_multiway_holds_what_overlaps_only(runs, largest, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(X, "BLOCK", 8)
+    r = random.Random(runs)
+    most, held, merge = 0, [], X.merged
+    monkeypatch.setattr(X, "merged", lambda e, largest=True: (held.append(len(e)), merge(e, largest))[1])
+    found, want = [], {}
+    for k in range(runs):
+        run = merge(entries([(hashlib.sha256(str(r.randrange(900)).encode()).digest(), 0, 1, r.randrange(10**6), k, 1) for _ in range(500)]), largest)
+        for e in run:
+            want.setdefault(bytes(e["digest"]), []).append((int(e["id"]), int(e["n"])))
+        found += X.blocks(run, 3)
+    found.sort(key=lambda b: b["first"])
+    batches = [pa.RecordBatch.from_pylist(found[i : i + 3], X._SCHEMA) for i in range(0, len(found), 3)]
+    out = [e for place, part in X.multiway(iter(batches), largest) for e in part]
+    assert [bytes(e["digest"]) for e in out] == sorted(want)
+    assert all((int(e["id"]), int(e["n"])) == ((max if largest else min)(i for i, _ in want[bytes(e["digest"])]), sum(n for _, n in want[bytes(e["digest"])])) for e in out)
+    most = max(held)
+    assert most <= 8 * (runs + 6)  # blocks that are open at once, not the whole place
+
+
+@pytest.mark.parametrize("parts", [1, 2, 8, 9, 12, 64, 200, 211, 4000])
+def test_shape(parts):
+    fanout, rounds = X.shape(parts)
+    assert fanout**rounds >= parts and 2 <= fanout <= X.FANOUT and (fanout - 1) ** rounds < max(parts, 2)
+
+
+def test_every_entry_ends_at_its_own_place():
+    e = X.merged(entries([(hashlib.sha256(str(i).encode()).digest(), 0, 1, i, i, 1) for i in range(500)]))
+    fanout, rounds = 3, 4
+    at = [(7, e)]
+    for r in range(rounds):
+        moved = {}
+        for place, part in at:
+            for b in X.sent(part, place, r, fanout, rounds):
+                moved.setdefault(b["place"], []).append(np.frombuffer(b["entries"], X.ENTRY))
+        at = [(p, X.merged(np.concatenate(v))) for p, v in moved.items()]
+    assert sum(len(v) for _, v in at) == 500 and all((X._digit(v["digest"], fanout**rounds) == p).all() for p, v in at)
+
+
+def test_empty(spark):
+    df = spark.createDataFrame([], "doc_id long, text string")
+    assert X.exact_copies(df).count() == 0 and X.drop_copies(df).count() == 0
