@@ -30,16 +30,30 @@ def insert_missing(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFr
     return table.unionByName(rows.dropDuplicates(keys).join(table.select(*keys), _on(rows, table, keys), "left_anti"))
 
 
-def get_or_create(dim: DataFrame, names: DataFrame, name_col: str = "name") -> DataFrame:
-    """dim (id, name) with new ids for the names that it lacks, in order of name after the highest id.
+def one_each(rows: DataFrame, keys: list[str], latest: list[str] | None = None) -> DataFrame:
+    """One row for each key: the largest by the columns of latest, then by all others in their order. Nulls are least."""
+    first = [c for c in latest or [] if c not in keys]
+    rest = [*first, *(c for c in rows.columns if c not in keys and c not in first)]
+    if not rest:
+        return rows.distinct()
+    found = rows.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("one"))
+    return found.select(*[F.col(c) if c in keys else F.col("one")[c].alias(c) for c in rows.columns])
+
+
+def new_members(dim: DataFrame, names: DataFrame, name_col: str = "name") -> DataFrame:
+    """id, name of the names that dim (id, name) lacks, numbered in order of name after the highest id.
 
     Ids are running counts over ranges of names, so they depend on the names alone, not on how partitions are dealt.
     """
     new = names.select(name_col).where(F.col(name_col).isNotNull()).distinct().join(dim.select(name_col), name_col, "left_anti")
-    nth = running_sum(new, [], [name_col], F.lit(1).cast("long"), "_i")
-    top = dim.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    numbered = nth.join(top, F.lit(True)).select((F.col("_top") + F.col("_i")).cast("long").alias("id"), name_col)
-    return dim.select("id", name_col).unionByName(numbered)
+    nth = running_sum(new, [], [name_col], F.lit(1).cast("long"), "nth", sample=names)
+    top = dim.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
+    return nth.join(top, F.lit(True)).select((F.col("top") + F.col("nth")).cast("long").alias("id"), name_col)
+
+
+def get_or_create(dim: DataFrame, names: DataFrame, name_col: str = "name") -> DataFrame:
+    """dim (id, name) with its new_members()."""
+    return dim.select("id", name_col).unionByName(new_members(dim, names, name_col))
 
 
 def replace_children(table: DataFrame, rows: DataFrame, parent: str) -> DataFrame:
@@ -64,9 +78,12 @@ def toggle_favorite(favorites: DataFrame, user_id: int, book_id: int, on: bool,
     return favorites.unionByName(row)
 
 
-def patch(table: DataFrame, changes: DataFrame, fields: list[str], key: str = "id") -> DataFrame:
-    """Fields that a change names (not null) replace the table's; rows without a change stay as they are."""
-    own = changes.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_{c}") for c in fields])
+def patch(table: DataFrame, changes: DataFrame, fields: list[str], key: str = "id", latest: list[str] | None = None) -> DataFrame:
+    """Fields that a change names (not null) replace the table's; rows without a change stay as they are.
+
+    Of several changes for a key the largest by latest counts, then by fields: one of them as a whole, not a mixture.
+    """
+    own = one_each(changes.select(key, *dict.fromkeys([*(latest or []), *fields])), [key], latest).select(F.col(key).alias("_key"), *[F.col(c).alias(f"_{c}") for c in fields])
     joined = table.join(own, table[key] == own["_key"], "left")
     return joined.select(*[F.coalesce(f"_{c}", c).alias(c) if c in fields else F.col(c) for c in table.columns])
 
@@ -129,9 +146,9 @@ def latest_jobs(log: DataFrame) -> DataFrame:
     return latest.select("job_id", *[F.col("s")[c].alias(c) for c in rest])
 
 
-def resolve_items(items: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Items with a chosen book become manual with score 1."""
-    pick = chosen.select(F.col("item_id").alias("_id"), F.col("book_id").alias("_book"))
+def resolve_items(items: DataFrame, chosen: DataFrame, latest: list[str] | None = None) -> DataFrame:
+    """Items with a chosen book become manual with score 1; of several choices the largest by latest counts, then by book_id."""
+    pick = one_each(chosen.select("item_id", *(latest or []), "book_id"), ["item_id"], latest).select(F.col("item_id").alias("_id"), F.col("book_id").alias("_book"))
     joined = items.join(pick, items["id"] == pick["_id"], "left")
     hit = F.col("_id").isNotNull()
     new = {"book_id": F.col("_book"), "match_status": F.lit("manual"), "match_score": F.lit(1.0).cast("float")}
@@ -146,8 +163,11 @@ def ignore_items(items: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def rewrite_items(items: DataFrame, again: DataFrame) -> DataFrame:
-    """Items that a second try found (again: item_id, status, book_id, score, extra) take its status, score and extra, and its book if it names one."""
-    new = again.dropDuplicates(["item_id"]).select(F.struct("item_id", "status", "book_id", F.col("score").cast("float").alias("score"), "extra").alias("_n"))
+    """Items that a second try found (again: item_id, status, book_id, score, extra) take its status, score and extra, and its book if it names one.
+
+    Of several tries for an item the one with the highest score counts, then by book_id, status and extra.
+    """
+    new = one_each(again.select("item_id", "score", "book_id", "status", "extra"), ["item_id"]).select(F.struct("item_id", "status", "book_id", F.col("score").cast("float").alias("score"), "extra").alias("_n"))
     joined = items.join(new, items["id"] == F.col("_n.item_id"), "left")
     hit = F.col("_n").isNotNull()
     each = {"match_status": F.col("_n.status"), "match_score": F.col("_n.score"), "external_extra": F.col("_n.extra"), "book_id": F.coalesce("_n.book_id", "book_id")}

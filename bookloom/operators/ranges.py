@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges, and about how many values the sample has.
-PARTS, SAMPLE = 64, 8192
+from bookloom.functions.storage import free_name
+
+#: Ranges, and how many values the sample has at most.
+PARTS, SAMPLE = 64, 4096
 
 
 def _key(rows: DataFrame, c: str) -> Column:
@@ -18,10 +20,13 @@ def _key(rows: DataFrame, c: str) -> Column:
 
 
 def bounds_of(rows: DataFrame, c: str, parts: int = PARTS) -> list:
-    """At most parts - 1 values that cut the values of c into ranges of about equal size."""
-    values = rows.select(_key(rows, c).alias("v")).where("v IS NOT NULL")
-    every = max(1, values.count() // SAMPLE)
-    found = sorted(r["v"] for r in values.where(F.pmod(F.xxhash64("v"), F.lit(every)) == 0).distinct().limit(8 * SAMPLE).collect())
+    """At most parts - 1 values that cut the distinct values of c into ranges of about equal size: one aggregate over rows.
+
+    Values are dealt to buckets by their hashes, and each bucket gives the value of its least hash.
+    """
+    values = rows.select(_key(rows, c).alias("v")).where("v IS NOT NULL").withColumn("h", F.xxhash64("v"))
+    least = values.groupBy(F.pmod("h", F.lit(SAMPLE))).agg(F.min(F.struct("h", "v")).alias("m"))
+    found = sorted(r["v"] for r in least.select("m.v").collect())
     return sorted({found[len(found) * k // parts] for k in range(1, parts)}) if found else []
 
 
@@ -37,21 +42,29 @@ def range_of(key: Column, bounds: list) -> Column:
     return F.when(key.isNull(), -1).otherwise(tree(0, len(bounds))).cast("int")
 
 
-def running_sum(rows: DataFrame, group: list[str], order: list[str], value: Column, out: str, total: str | None = None) -> DataFrame:
+def running_sum(rows: DataFrame, group: list[str], order: list[str], value: Column, out: str, total: str | None = None, sample: DataFrame | None = None) -> DataFrame:
     """rows with the running sum of value over each group in order (this row included), and on demand the group's total.
 
-    Equal values of the first order column share a range, the others break ties.
+    Equal values of the first order column share a range, the others break ties. Bounds come from sample where it is
+    given: rows with about the same values of that column that cost less to work out. One exchange by group and range
+    serves both the sums of the ranges and the order within them.
     """
-    ranged = rows.withColumn("_range", range_of(_key(rows, order[0]), bounds_of(rows, order[0]))).withColumn("_value", value)
-    per = ranged.groupBy(*group, "_range").agg(F.sum("_value").alias("_in"))
-    whole = Window.partitionBy(*[f"_g{i}" for i in range(len(group))])
-    per = per.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_range").alias("_r"), "_in")
-    before = F.sum("_in").over(whole.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1))
-    per = per.withColumn("_before", F.coalesce(before, F.lit(0))).withColumn("_all", F.sum("_in").over(whole)).drop("_in")
-    inside = F.sum("_value").over(Window.partitionBy(*group, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    on = F.col("_range") == F.col("_r")
-    for i, g in enumerate(group):
-        on = on & F.col(g).eqNullSafe(F.col(f"_g{i}"))
-    joined = ranged.withColumn("_inside", inside).join(per, on)
-    extra = [F.col("_all").alias(total)] if total else []
-    return joined.select(*rows.columns, (F.col("_before") + F.col("_inside")).alias(out), *extra)
+    taken = [*rows.columns, out, *([total] if total else [])]
+    names = ["_range", "_value", "_inside", "_before", "_all", "_any", "_r", *(f"_g{i}" for i in range(len(group)))]
+    n = dict(zip(names, (free_name(x, taken) for x in names)))
+    bounds = bounds_of(rows if sample is None else sample, order[0])
+    ranged = rows.withColumn(n["_range"], range_of(_key(rows, order[0]), bounds)).withColumn(n["_value"], value).repartition(*[F.col(g) for g in group], n["_range"])
+    whole_row = F.any_value(F.struct(*[F.col(c) for c in ranged.columns]))  # both readers of the exchange need all columns, so it is one
+    per = ranged.groupBy(*group, n["_range"]).agg(F.sum(n["_value"]).alias("in"), whole_row.alias(n["_any"]))
+    keys = [n[f"_g{i}"] for i in range(len(group))]
+    per = per.select(*[F.col(g).alias(k) for g, k in zip(group, keys)], F.col(n["_range"]).alias(n["_r"]), "in", n["_any"])
+    whole = Window.partitionBy(*keys)
+    before = F.coalesce(F.sum("in").over(whole.orderBy(n["_r"]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    per = per.withColumn(n["_before"], before).withColumn(n["_all"], F.sum("in").over(whole)).where(F.col(n["_any"]).isNotNull()).drop("in", n["_any"])
+    inside = F.sum(n["_value"]).over(Window.partitionBy(*group, n["_range"]).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    on = F.col(n["_range"]) == F.col(n["_r"])
+    for g, k in zip(group, keys):
+        on = on & F.col(g).eqNullSafe(F.col(k))
+    joined = ranged.withColumn(n["_inside"], inside).join(per, on)
+    extra = [F.col(n["_all"]).alias(total)] if total else []
+    return joined.select(*rows.columns, (F.col(n["_before"]) + F.col(n["_inside"])).alias(out), *extra)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bookloom.operators.changes import apply_selected, diff_fields
+from bookloom.operators.changes import apply_selected, diff_fields, one_each
 
 #: How many errors a report keeps, and what a scan sets anew.
 ERRORS = 500
@@ -21,9 +21,11 @@ def fix_scan(books: DataFrame, parsed: DataFrame) -> DataFrame:
     """books (path, filename, cover and the fields of SCANNED) after parsing again, with scan_error.
 
     parsed has path, filename, the same fields, cover and error. A book without a parsed file, or whose file failed,
-    keeps all it has. A cover that is there once stays; the date of registration is never touched.
+    keeps all it has. A cover that is there once stays; the date of registration is never touched. Where a name was
+    parsed more than once, a file that did not fail counts before one that did, then the largest fields in order.
     """
-    new = parsed.select(F.struct("path", "filename", "cover", "error", *SCANNED).alias("_n"))
+    fine_first = parsed.select("path", "filename", F.col("error").isNull().alias("fine"), *SCANNED, "cover", "error")
+    new = one_each(fine_first, ["path", "filename"]).select(F.struct("path", "filename", "cover", "error", *SCANNED).alias("_n"))
     joined = books.join(new, (F.col("path") == F.col("_n.path")) & (F.col("filename") == F.col("_n.filename")), "left")
     error = F.when(F.col("_n").isNull(), "file not found in archive").otherwise(F.col("_n.error"))
     fine = error.isNull()

@@ -230,3 +230,31 @@ def test_decisions(spark):
     decisions = spark.createDataFrame([(0, True, None), (1, True, (False,)), (2, False, None), (2, True, None)], "id long, approved boolean, flags struct<title:boolean>")
     stays, applied = rescan.decide(pending, decisions, ["title"])
     assert [r.id for r in stays.collect()] == [3] and sorted((r.id, r.title) for r in applied.collect()) == [(0, "b"), (1, "a")]
+
+
+def test_doubled_changes_give_one_row(spark):
+    books = spark.createDataFrame([(1, "a", "x"), (2, "b", None)], "id long, title string, lang string")
+    twice = spark.createDataFrame([(1, "n1", None, 5), (1, "n2", "y", 4), (1, "n2", "y", 4), (2, None, "z", 1)], "id long, title string, lang string, at int")
+    assert sorted(map(tuple, changes.patch(books, twice, ["title", "lang"]).collect())) == [(1, "n2", "y"), (2, "b", "z")]
+    assert sorted(map(tuple, changes.patch(books, twice, ["title", "lang"], latest=["at"]).collect())) == [(1, "n1", "x"), (2, "b", "z")]
+    items = spark.createDataFrame([(1, None, "ambiguous", 0.5, "{}"), (2, 7, "ambiguous", 0.5, "{}")], "id long, book_id long, match_status string, match_score float, external_extra string")
+    chosen = spark.createDataFrame([(1, 8, 2), (1, 9, 1), (1, 9, 1)], "item_id long, book_id long, at int")
+    assert sorted((r.id, r.book_id) for r in changes.resolve_items(items, chosen).collect()) == [(1, 9), (2, 7)]
+    assert sorted((r.id, r.book_id) for r in changes.resolve_items(items, chosen, ["at"]).collect()) == [(1, 8), (2, 7)]
+    again = spark.createDataFrame([(1, "auto_matched", 3, 0.8, "p"), (1, "ambiguous", None, 0.9, "q"), (2, "not_found", None, 0.0, "r")], "item_id long, status string, book_id long, score double, extra string")
+    assert sorted((r.id, r.book_id, r.match_status, r.external_extra) for r in changes.rewrite_items(items, again).collect()) == [(1, None, "ambiguous", "q"), (2, 7, "not_found", "r")]
+    old = spark.createDataFrame([(1, "p", "f", "t", "an", "en", "d", False)], "id long, path string, filename string, title string, annotation string, lang string, docdate string, cover boolean")
+    parsed = [("p", "f", "t1", None, "de", None, True, None), ("p", "f", "t9", None, "de", None, True, "broken"), ("p", "f", "t0", None, "de", None, True, None)]
+    (r,) = rescan.fix_scan(old, spark.createDataFrame(parsed, "path string, filename string, title string, annotation string, lang string, docdate string, cover boolean, error string")).collect()
+    assert (r.title, r.cover, r.scan_error) == ("t1", True, None)
+
+
+def test_running_sum_beside_like_names_in_one_exchange(spark):
+    rows = [(g, v, (v or 0) % 3, 7) for g in ("a", None) for v in (5, 1, 9, None, 5, 2)]
+    df = spark.createDataFrame(rows, "_g0 string, _range long, _value int, _before int")
+    got = ranges.running_sum(df, ["_g0"], ["_range", "_value"], F.lit(1), "_inside", "_all")
+    assert got.columns == ["_g0", "_range", "_value", "_before", "_inside", "_all"]
+    assert sorted((r[0] or "", r[1] or 0, r[4], r[5]) for r in got.collect()) == [(g, v, i + 1, 6) for g in ("", "a") for i, v in enumerate((0, 1, 2, 5, 5, 9))]
+    got.collect()
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "ReusedExchange" in plan or "ReusedQueryStage" in plan
