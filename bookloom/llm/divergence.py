@@ -21,28 +21,62 @@ rows count again, and every row is a document; ties are broken by item in UTF-8
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bookloom.llm.common import ascii_lower, written
+from bookloom.llm.common import LOWER, small_batches, written
 
 LEAST_DOCS, SMOOTH, SCALE, TOP_TERMS = 30, 5, 1_000_000_000, 50
 #: Keys over which the rows of a language are spread where they meet its sources.
 SALTS = 32
-TERM_PATTERN = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: Terms as bytes of UTF-8: runs of ASCII letters and of whatever is not ASCII.
+_TERM = re.compile(rb"[A-Za-z\x80-\xFF]+").findall
+#: Terms (and documents) that a task counts before it hands them on.
+HELD = 1 << 19
 
 
 def _text(c: str) -> Column:
     return F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
 
 
+def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """lang, source, term, n, docs of the texts (lang, source, text) of a task, in parts of HELD terms at most."""
+    schema = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
+    held: dict[tuple[str, str], dict[bytes, int]] = {}
+    size = 0
+
+    def parts() -> Iterator[pa.RecordBatch]:
+        for (lang, source), counts in held.items():
+            both = np.fromiter(counts.values(), np.int64, len(counts))
+            terms = pa.array(counts, pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(both)), pa.repeat(source, len(both)), terms, pa.array(both >> 24), pa.array(both & 0xFFFFFF)], schema=schema)
+        held.clear()
+
+    for batch in batches:
+        for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary())):
+            counts = held.setdefault((lang, source), {})
+            before = len(counts)
+            for term, n in Counter(_TERM(text.as_buffer().to_pybytes().translate(LOWER))).items():
+                counts[term] = counts.get(term, 0) + (n << 24 | 1)  # documents in the low bits: fewer than 2^24 come before the next part
+            size += len(counts) - before + 1
+            if size >= HELD:
+                yield from parts()
+                size = 0
+    yield from parts()
+
+
 def term_counts(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -> DataFrame:
     """lang, source, term, n (occurrences), docs (documents that hold it)."""
-    terms = F.sort_array(F.regexp_extract_all(ascii_lower(_text(text_col)), F.lit(TERM_PATTERN), F.lit(0)))
-    each = docs.select(_text(lang_col).alias("lang"), _text(source_col).alias("source"), terms.alias("terms"))
-    each = each.select("lang", "source", F.explode(F.transform("terms", lambda t, i: F.struct(t.alias("term"), ((i > 0) & (F.get(F.col("terms"), i - 1) == t)).alias("again")))).alias("t"))
-    first = F.when(F.col("t.again"), 0).otherwise(1)
-    return each.groupBy("lang", "source", F.col("t.term").alias("term")).agg(F.count("*").alias("n"), F.sum(first).cast("long").alias("docs"))
+    small_batches(docs.sparkSession)
+    rows = docs.select(_text(lang_col).alias("lang"), _text(source_col).alias("source"), _text(text_col).alias("text"))
+    each = rows.mapInArrow(count_terms, "lang string, source string, term string, n long, docs long")
+    return each.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def share(n: Column, total: Column, terms: Column) -> Column:

@@ -72,3 +72,23 @@ def test_shares_are_exact_beyond_64_bits(spark):
 
 def test_empty(spark):
     assert V.divergence(spark.createDataFrame([], "text string, lang string, source string")).count() == 0
+
+
+def test_counts_in_parts(spark, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(V, "HELD", 7)
+    rows = [(lang or "", source or "", text or "") for text, lang, source in table(9)[:80]]
+    found = V.count_terms(iter([pa.RecordBatch.from_pylist([dict(zip(("lang", "source", "text"), r)) for r in rows[i : i + 9]]) for i in range(0, 80, 9)]))
+    n, docs = Counter(), Counter()
+    for b in found:
+        assert b.num_rows < 60
+        for r in b.to_pylist():
+            n[r["lang"], r["source"], r["term"]] += r["n"]
+            docs[r["lang"], r["source"], r["term"]] += r["docs"]
+    want_n, want_docs = Counter(), Counter()
+    for lang, source, text in rows:
+        terms = [t.replace("B", "b").replace("F", "f") for t in re.findall("[^\x00-\x40\x5b-\x60\x7b-\x7f]+", text)]
+        want_n.update((lang, source, t) for t in terms)
+        want_docs.update({(lang, source, t) for t in terms})
+    assert (n, docs) == (want_n, want_docs)
