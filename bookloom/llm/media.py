@@ -127,26 +127,34 @@ def media_fingerprints(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """What store_media and media_fingerprints give, as digests: one pass, in which no file or fingerprint leaves its task."""
+    """What store_media and media_fingerprints give, the media as digests and the fingerprint as times and codes: one pass, in which no file leaves its task."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col), F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8"))
-    names = [id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    names = [id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "times", "codes"]
     types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def digested(ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
         sha = lambda b: hashlib.sha256(b).hexdigest()
+        out, found = [], []
+        for value in texts:
+            text = value.as_py()
+            media = stored(text)
+            payload, times, codes = fingerprint(media)
+            code = hashlib.md5(times.astype("<i4").tobytes() + codes.astype("<i4").tobytes()).hexdigest()
+            out.append((len(text), len(payload), sha(payload), zlib.crc32(payload[-16:]), len(media), sha(media), f"{len(codes)}:{len(np.unique(codes))}:{code}"))
+            found.append((times, codes))
+        ends = pa.array(np.cumsum([0] + [len(t) for t, _ in found], dtype=np.int32))
+        lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([f[k] for f in found]))) for k in (0, 1)]
+        return pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(zip(*out), types)), *lists], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for value in batch.column(1):
-                text = value.as_py()
-                media = stored(text)
-                payload, times, codes = fingerprint(media)
-                code = hashlib.md5(times.astype("<i4").tobytes() + codes.astype("<i4").tobytes()).hexdigest()
-                out.append((len(text), len(payload), sha(payload), zlib.crc32(payload[-16:]), len(media), sha(media), f"{len(codes)}:{len(np.unique(codes))}:{code}"))
-            columns = zip(*out) if out else [[]] * len(types)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types))], names)
-
-    return rows.mapInArrow(run, f"`{id_col}` {rows.dtypes[0][1]}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                yield digested(part.column(0), part.column(1))
+
+    kinds = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, times array<int>, codes array<int>"
+    return rows.mapInArrow(run, f"`{id_col}` {rows.dtypes[0][1]}, {kinds}")
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,19 +41,26 @@ TOKENIZER = "byte_bpe_50k.json"
 RESULTS = ["piece", "start", "length", "ids", "ids_crc32", "sequence_id", "offset"]
 
 
-@lru_cache(maxsize=1)
-def _classes() -> np.ndarray:
-    """The class of each code point in the splitting pattern: 0 other, 1 letter, 2 number, 3 white space."""
-    import unicodedata
+@lru_cache(maxsize=2)
+def _classes(path: str) -> np.ndarray:
+    """The class of each code point in the splitting pattern: 0 other, 1 letter, 2 number, 3 white space.
+
+    They are the library's own, whatever Unicode tables it has: a run of code points that makes one piece with `!`, a
+    letter or a digit in front is of that class; other runs are halved. What makes a piece with none is white space.
+    """
+    from tokenizers import Tokenizer
 
+    splitter = Tokenizer.from_file(path).pre_tokenizer
     out = np.zeros(0x110000, np.uint8)
-    kinds = {"L": 1, "N": 2}
-    for cp in range(0x110000):
-        k = kinds.get(unicodedata.category(chr(cp))[0])
-        if k:
-            out[cp] = k
-    # white space of the pattern: the control characters 9-13 and 0x85, and all separators
-    out[[*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = 3
+    runs = [(0, 0xD800), *((lo, lo + 0x2000) for lo in range(0xE000, 0x110000, 0x2000))]  # surrogates stay 0: no text has them
+    while runs:
+        lo, hi = runs.pop()
+        text = "".join(map(chr, range(lo, hi)))
+        kind = next((k for k, front in enumerate("!a1") if len(splitter.pre_tokenize_str(front + text)) == 1), 3 if hi - lo == 1 else None)
+        if kind is None:
+            runs += [(lo, (lo + hi) // 2), ((lo + hi) // 2, hi)]
+        else:
+            out[lo:hi] = kind
     return out
 
 
@@ -116,7 +123,7 @@ class PieceTokenizer:
     text that holds a control string of the file goes through the library whole; as_text makes it ordinary text.
     """
 
-    def __init__(self, path: str, as_text: bool = False):
+    def __init__(self, path: str, as_text: bool = False, classes: bytes | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks already use all cores
         self.path, self.library, self.merger, self.as_text = path, None, None, as_text
         with open(path, encoding="utf-8") as f:
@@ -127,7 +134,7 @@ class PieceTokenizer:
 
             self.merger = tiktoken.Encoding("merges", pat_str=r"[^\x00]+|\x00", mergeable_ranks=ranks, special_tokens={})
             self.separator = ranks[b"\0"]
-        self.classes = _classes()
+        self.classes = _classes(path) if classes is None else np.frombuffer(zlib.decompress(classes), np.uint8)
         self.forget()
 
     def forget(self) -> None:
@@ -217,8 +224,8 @@ class PieceTokenizer:
 
 
 @lru_cache(maxsize=2)
-def piece_tokenizer(path: str, as_text: bool = False) -> PieceTokenizer:
-    return PieceTokenizer(path, as_text)
+def piece_tokenizer(path: str, as_text: bool = False, classes: bytes | None = None) -> PieceTokenizer:
+    return PieceTokenizer(path, as_text, classes)
 
 
 def default_tokenizer() -> str:
@@ -237,13 +244,14 @@ def token_pieces(docs: DataFrame, keep: list[str], tokenizer: str | None = None,
     """
     small_batches(docs.sparkSession)
     path = tokenizer or default_tokenizer()
+    classes = zlib.compress(_classes(path).tobytes())  # a few KB, worked out once and not by every worker
     last, kind = {"ids": ("ids", "array<int>"), "packed": ("ids", "binary"), "crc32": ("ids_crc32", "long")}[form]
     held = [free_name(k, [*RESULTS, last]) for k in keep]
     rows = docs.select(*[F.col(f"`{k}`").alias(h) for k, h in zip(keep, held)], F.col(f"`{text_col}`").cast("string"))
     names = [*held, "piece", "start", "length", last]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = piece_tokenizer(path, as_text)
+        own = piece_tokenizer(path, as_text, classes)
         for batch in batches:
             texts = batch.column(len(keep))
             for a, b in text_steps(texts, STEP_BYTES):

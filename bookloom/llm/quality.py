@@ -2,11 +2,12 @@
 
 Column expressions only; the table of vote patterns (at most 3 to the number of rules, some hundreds in practice) is
 the one thing that goes to the driver. Every rule votes +1 (good), -1 (bad) or 0 (abstains). A model with two hidden
-classes gives each rule a probability of each of its three votes in each class; expectation-maximisation over the
-counts of vote patterns of all documents fits them from the shares of approving votes, without labels and without
-bounds but add-one smoothing. A document is kept if its posterior probability of being good is at least the threshold
-and the base rule holds: so approvals can outweigh the rejection of a weak rule, and abstentions can add up to a
-rejection.
+classes gives each rule, where it votes, a probability of approving in each class; an abstention is no evidence, for or
+against. Expectation-maximisation over the counts of vote patterns of all documents fits them from the shares of
+approving votes, without labels, with add-one smoothing and one bound: a rule that would approve bad documents more
+readily than good ones has no weight, so that no rejection ever speaks for a document. A document is kept if its
+posterior probability of being good is at least the threshold and the base rule holds: so approvals can outweigh the
+rejection of a weak rule.
 
 Defined cases: a null or empty text has no words, fails the base rule and is not kept; repeated rows are judged
 alike, each for itself; a tie at the threshold is kept; an empty table gives no rows; columns besides those in keep are
@@ -92,6 +93,7 @@ def rules(c: dict[str, Column]) -> dict[str, tuple[Column, Column]]:
         "capitals": (c["n_upper"] > 0.2 * chars, c["n_upper"] <= 0.08 * chars),
         "exclamations": (c["n_cries"] > 0.1 * n, c["n_cries"] <= 0.02 * n),
         "letters": (c["n_letters"] < 0.8 * chars, c["n_letters"] >= 0.9 * chars),
+        "marks": (c["word_chars"] - c["n_letters"] - c["n_digits"] > 0.5 * n, c["word_chars"] - c["n_letters"] - c["n_digits"] <= 0.3 * n),  # prose has one in five words or so
         "ends of sentences": (c["n_ends"] < 0.03 * n, c["n_ends"] >= 0.05 * n),
         "length of lines": (n < 10 * lines, n >= 20 * lines),
         "digits": (c["n_digits"] > 0.1 * chars, c["n_digits"] <= 0.03 * chars),
@@ -105,8 +107,8 @@ def votes(c: dict[str, Column]) -> list[Column]:
 def fit_votes(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[float, list[dict[int, float]]]:
     """Expectation-maximisation over (votes, count): the prior log-odds of good, and per rule the log-odds of each vote.
 
-    It begins with the share of approvals among a pattern's votes. The class in which votes approve more is the good
-    one: should rounds have turned the classes round, all signs turn.
+    It begins with the share of approvals among a pattern's votes, so the class in which votes approve more is the good
+    one. An abstention has log-odds 0, an approval at least and a rejection at most that.
     """
     if not patterns:
         return 0.0, []
@@ -115,22 +117,21 @@ def fit_votes(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[float, list[
     prior, weights = 0.0, []
     for _ in range(ROUNDS):
         mass = [g * n for g, (_, n) in zip(good, patterns)]
-        all_good = sum(mass)
-        prior = math.log((all_good + 1) / (total - all_good + 1))
+        prior = math.log((sum(mass) + 1) / (total - sum(mass) + 1))
         weights = []
         for j in range(width):
             seen, fine = dict.fromkeys((-1, 0, 1), 0.0), dict.fromkeys((-1, 0, 1), 0.0)
             for m, (v, n) in zip(mass, patterns):
                 seen[v[j]] += n
                 fine[v[j]] += m
-            weights.append({x: math.log((fine[x] + 1) / (all_good + 3)) - math.log((seen[x] - fine[x] + 1) / (total - all_good + 3)) for x in (-1, 0, 1)})
+            of_good, of_bad = (fine[1] + 1) / (fine[1] + fine[-1] + 2), (seen[1] - fine[1] + 1) / (seen[1] + seen[-1] - fine[1] - fine[-1] + 2)
+            of_good, of_bad = (of_good, of_bad) if of_good > of_bad else (0.5, 0.5)
+            weights.append({-1: math.log((1 - of_good) / (1 - of_bad)), 0: 0.0, 1: math.log(of_good / of_bad)})
         after = [1 / (1 + math.exp(min(-prior - sum(w[x] for w, x in zip(weights, v)), 700.0))) for v, _ in patterns]
         moved = max(abs(a - b) for a, b in zip(after, good))
         good = after
         if moved < SETTLED:
             break
-    if sum(w[1] - w[-1] for w in weights) < 0:
-        prior, weights = -prior, [{x: -o for x, o in w.items()} for w in weights]
     return prior, weights
 
 

@@ -67,6 +67,7 @@ def test_feature_against_brute_force(spark, tmp_path):
     df.write.parquet(f"{tmp_path}/documents.parquet")
     for r in M.op5_media(spark, str(tmp_path)).collect():
         assert r.feature == brute_feature(texts[r.doc_id])
+        assert r.feature.endswith(hashlib.md5(np.array(r.times, "<i4").tobytes() + np.array(r.codes, "<i4").tobytes()).hexdigest()) and r.times == sorted(r.times)
     both = M.media_fingerprints(M.store_media(df)).collect()
     assert {r.doc_id: len(r.codes) for r in both} == {i: int(brute_feature(t).split(":")[0]) for i, t in enumerate(texts)}
 

@@ -38,6 +38,20 @@ def test_ids_equal_the_library(as_text, monkeypatch):
             assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
 
 
+def test_ids_of_all_planes_equal_the_library(plain):
+    r = random.Random(11)
+    own = P.PieceTokenizer(P.default_tokenizer())
+    kinds = [[c for c in P.np.flatnonzero(own.classes == k).tolist() if not 0xD800 <= c < 0xE000] for k in range(4)]
+    ends = ["'s", "'t", "'re", "'ve", "'m", "'ll", "'d", "'S", "'x", "1", "a", " ", "!", ""]
+    char = lambda: chr(r.choice(kinds[r.choice((0, 1, 1, 1, 2, 3))]))
+    known = ["\U000105c2'm", "\U000105ef't", "\U00010d83's"]
+    for _ in range(25):
+        texts = known + ["".join(char() + r.choice(ends) for _ in range(r.randint(1, 4))) for _ in range(4000)]
+        ids, counts = own.encode(texts)
+        want = [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+        assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
 @pytest.mark.parametrize("seed", range(8))
 def test_plan_is_best_fit(seed):
     r = random.Random(seed)

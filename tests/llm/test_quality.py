@@ -60,8 +60,10 @@ def brute_em(patterns, rounds=Q.ROUNDS):
         a, b = sum(good) + 1, len(rows) - sum(good) + 1
         tables = []
         for j in range(len(rows[0])):
-            of = {x: [g for g, v in zip(good, rows) if v[j] == x] for x in (-1, 0, 1)}
-            tables.append({x: ((sum(g) + 1) / (a + 2), (len(g) - sum(g) + 1) / (b + 2)) for x, g in of.items()})
+            said = [(g, v[j]) for g, v in zip(good, rows) if v[j]]  # an abstention says nothing
+            yes, no = sum(g for g, _ in said), sum(1 - g for g, _ in said)
+            p, q = (sum(g for g, x in said if x == 1) + 1) / (yes + 2), (sum(1 - g for g, x in said if x == 1) + 1) / (no + 2)
+            tables.append({1: (p, q), -1: (1 - p, 1 - q), 0: (1, 1)} if p > q else dict.fromkeys((-1, 0, 1), (1, 1)))
         new = []
         for v in rows:
             p, q = a, b
@@ -102,6 +104,13 @@ def test_em_equals_brute_force():
     assert Q.fit_votes([]) == (0.0, [])
 
 
+def test_an_abstention_is_no_evidence_and_a_rejection_never_helps():
+    draw = random.Random(9)
+    found = Counter(tuple(draw.choice((-1, 0, 1)) for _ in range(5)) for _ in range(3000)) + Counter({(1, 1, 1, 1, -1): 900, (-1, -1, -1, -1, 1): 300})
+    prior, weights = Q.fit_votes(sorted(found.items()))
+    assert all(w[-1] <= w[0] == 0 <= w[1] for w in weights) and weights[4] == {-1: 0, 0: 0, 1: 0}  # the last rule would be the wrong way round
+
+
 def test_classes_keep_their_sense():
     prior, weights = Q.fit_votes([((1, 1, 1), 5), ((-1, -1, -1), 95)])  # most rows are bad
     assert prior < 0 and posterior((1, 1, 1), prior, weights) > 0.9 > 0.1 > posterior((-1, -1, -1), prior, weights)
@@ -113,6 +122,7 @@ def ratio_votes(text):
     text = text or ""
     upper, letters, digits = (sum(f(c) for c in text) for f in (lambda c: unicodedata.category(c) == "Lu", lambda c: unicodedata.category(c)[0] == "L", lambda c: unicodedata.category(c) == "Nd"))
     ends = len(re.findall(r"[.!?](?=[\x20\x09-\x0D]|\Z)", text))
+    marks = chars - letters - digits
     n, chars = max(n, 1), max(chars, 1)
     vote = lambda bad, good: -1 if bad else 1 if good else 0
     return (
@@ -123,6 +133,7 @@ def ratio_votes(text):
         vote(upper > 0.2 * chars, upper <= 0.08 * chars),
         vote(text.count("!") > 0.1 * n, text.count("!") <= 0.02 * n),
         vote(letters < 0.8 * chars, letters >= 0.9 * chars),
+        vote(marks > 0.5 * n, marks <= 0.3 * n),
         vote(ends < 0.03 * n, ends >= 0.05 * n),
         vote(n < 10 * lines, n >= 20 * lines),
         vote(digits > 0.1 * chars, digits <= 0.03 * chars),
@@ -140,14 +151,17 @@ def test_query_equals_brute_force(spark):
 
 
 def test_posterior_is_not_unanimity(spark):
-    """Weak rejections are outweighed, and abstentions alone can add up."""
+    """Weak rejections are outweighed, and no document goes that no rule rejects."""
     at = SF.replace("0.001", "0.1")
     counted = spark.read.parquet(f"{at}/documents.parquet").select("doc_id", *Q.features("text")).cache()
     each = Q.votes(Q.counts())
     rejected = F.array_contains(F.array(*each), -1)
-    judged = counted.select("doc_id", rejected.alias("rejected"), Q.base_fails(Q.counts()).alias("base_failed"), (Q.posterior(counted, each) >= 0.5).alias("fine"))
+    model = Q.fitted(counted, F.array(*each))
+    assert all(w[-1] <= w[0] == 0 <= w[1] for w in model[1]) and model[0] > 0
+    judged = counted.select("doc_id", rejected.alias("rejected"), Q.base_fails(Q.counts()).alias("base_failed"), (Q.score(model, each) >= 0.5).alias("fine"))
     rows = judged.join(spark.read.parquet(f"{at}/labels.parquet"), "doc_id", "left").collect()
-    assert sum(r.rejected and r.fine for r in rows) > 100 and sum(not r.rejected and not r.fine for r in rows) > 10
+    assert sum(r.rejected and r.fine for r in rows) > 100 and not any(not r.rejected and not r.fine for r in rows)
+    print(model, sum(r.rejected for r in rows), sum(r.rejected and r.fine for r in rows))
     rows = [r for r in rows if not r.base_failed]
     good, bad = ([r.fine for r in rows if r.quality == q] for q in (1, 0))
     assert sum(good) >= 0.99 * len(good) and sum(bad) <= 0.05 * len(bad)
