@@ -132,7 +132,8 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mixture reads it, all columns kept.
 
-    How often says it all here: the columns of documents have no place for pass and block, and packing orders by length.
+    How often says it all here: the columns of documents have no place for pass and block, so the packing stage deals its
+    sequences to reading blocks, in each of which sources stand by these weights.
     """
     p = free_prefix("_m_", docs.columns)
     key = ["doc_id", "th", "source"]

@@ -38,6 +38,8 @@ MEMORY = 400_000
 #: Pieces in a block of ranks, about.
 BLOCK_PIECES = 1 << 20
 TOKENIZER = "byte_bpe_50k.json"
+#: Tokens in a reading block, about, and the seed by which sequences are dealt to them.
+BLOCK_TOKENS, READING_SEED = 1 << 20, 29
 RESULTS = ["piece", "start", "length", "ids", "ids_crc32", "sequence_id", "offset"]
 
 
@@ -333,10 +335,13 @@ def best_fit_plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tupl
     return slots
 
 
-def assign(pieces: DataFrame, row: str, capacity: int = CAPACITY) -> DataFrame:
+def assign(pieces: DataFrame, row: str, capacity: int = CAPACITY, block_tokens: int | None = None) -> DataFrame:
     """pieces but their row, plus sequence_id and offset. pieces is read several times and should be written.
 
     row is a hash by which pieces of one length are ranked, in blocks whose number grows with that of the pieces.
+    With block_tokens also block and key (underscores after the names where pieces has them): sequences are dealt by hash to reading blocks of about so many tokens, to be
+    read in turn and each in order of key. Pieces of any length come to sequences by hash too, so every block holds
+    every source by its share of what is packed.
     """
     spark, p = pieces.sparkSession, free_prefix("_s_", pieces.columns)
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-pieces.count() // BLOCK_PIECES))
@@ -355,15 +360,21 @@ def assign(pieces: DataFrame, row: str, capacity: int = CAPACITY) -> DataFrame:
     slots = slots.select(F.struct("*").alias(f"{p}slot"))
     hit = (F.col("length") == slot["length"]) & (rank >= slot["rank"]) & (rank < slot["rank"] + slot["many"] * slot["each"])
     place = rank - slot["rank"]
-    return ranked.join(F.broadcast(slots), hit).select(
+    placed = ranked.join(F.broadcast(slots), hit).select(
         *[F.col(f"`{c}`") for c in pieces.columns if c not in (row, block)],
         (slot["first"] + F.floor(place / slot["each"])).cast("long").alias("sequence_id"),
         (slot["at"] + (place % slot["each"]) * F.col("length")).cast("long").alias("offset"),
     )
+    if block_tokens is None:
+        return placed
+    reading = max(1, -(-sum(n * k for n, k in counts.items()) // block_tokens))
+    key = F.xxhash64("sequence_id", F.lit(READING_SEED))
+    block = F.shiftrightunsigned(F.shiftrightunsigned(key, 32) * reading, 32)
+    return placed.select("*", block.alias(free_name("block", placed.columns)), key.alias(free_name("key", placed.columns)))
 
 
-def packed(docs: DataFrame, keep: list[str], tokenizer: str | None = None, form: str = "ids", as_text: bool = False) -> DataFrame:
-    """keep, piece, start, length, ids (in the form asked for), sequence_id, offset: a row per piece.
+def packed(docs: DataFrame, keep: list[str], tokenizer: str | None = None, form: str = "ids", as_text: bool = False, block_tokens: int | None = None) -> DataFrame:
+    """keep, piece, start, length, ids (in the form asked for), sequence_id, offset, and on demand block and key: a row per piece.
 
     Pieces of one length are alike for the plan. They are ranked by a hash of their row, so that copies of a document,
     which stand side by side after mixing, go to sequences far apart. A column in keep that has the name of a
@@ -371,7 +382,7 @@ def packed(docs: DataFrame, keep: list[str], tokenizer: str | None = None, form:
     """
     pieces = token_pieces(docs, keep, tokenizer, form=form, as_text=as_text)
     row = free_name("row", pieces.columns)
-    return assign(written(pieces.withColumn(row, F.xxhash64(F.monotonically_increasing_id())), "pieces"), row)
+    return assign(written(pieces.withColumn(row, F.xxhash64(F.monotonically_increasing_id())), "pieces"), row, block_tokens=block_tokens)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -379,5 +390,9 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document as packed pieces, 16 bits an id; a control string in a text is ordinary text here."""
-    return packed(docs, ["doc_id"], form="packed", as_text=True)
+    """Token ids of every document as packed pieces, 16 bits an id, with the block and key of their sequence.
+
+    A control string in a text is ordinary text here. Reading the blocks in turn, each in order of key, is the mixture
+    as training sees it: how often a document is read was decided by the stage before.
+    """
+    return packed(docs, ["doc_id"], form="packed", as_text=True, block_tokens=BLOCK_TOKENS)

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 import zlib
 
 import numpy as np
@@ -150,3 +151,25 @@ def test_many_blocks(spark, monkeypatch):
         assert r.offset == ends.get(r.sequence_id, 0)
         ends[r.sequence_id] = r.offset + r.length
     assert max(ends.values()) <= 2048 and len(ends) == -(-sum(ends.values()) // 2048)
+
+
+def test_reading_blocks_hold_sources_by_share(spark):
+    from bookloom.llm.mixing import mixing_stage
+
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7)))
+    rows = [(i, " ".join(word() for _ in range(r.randint(5, 200))), "big" if i % 10 < 7 else "mid" if i % 10 < 9 else "small") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = P.written(mixing_stage(spark, docs, ""), "mixed")
+    source = dict((i, s) for i, _, s in rows)
+    got = P.packed(mixed, ["doc_id"], block_tokens=80_000).collect()
+    total, by_block, sequences = Counter(), {}, {}
+    for x in got:
+        total[source[x.doc_id]] += x.length
+        by_block.setdefault(x.block, Counter())[source[x.doc_id]] += x.length
+        sequences.setdefault(x.sequence_id, set()).add((x.block, x.key))
+    assert sorted(by_block) == list(range(-(-sum(total.values()) // 80_000))) and all(len(s) == 1 for s in sequences.values())
+    assert len({k for s in sequences.values() for _, k in s}) == len(sequences)
+    for c in by_block.values():
+        for s, n in total.items():
+            assert abs(c[s] / sum(c.values()) - n / sum(total.values())) < 0.06
