@@ -531,12 +531,12 @@ def progress_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    from bookloom.plans import maintenance  # noqa: F401  registers its queries
+    from bookloom.plans import intake, maintenance  # noqa: F401  they register their queries
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from bookloom.plans import maintenance  # noqa: F401
+    from bookloom.plans import intake, maintenance  # noqa: F401
 
     return dict(_SQL)

@@ -15,6 +15,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +26,9 @@ _PART = r"/data/([^/]+)/batch=(\d+)/attempt=([^/]+)/"
 
 
 class BatchStore:
+    #: Tables that are written at the same time.
+    at_once = 4
+
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
@@ -45,7 +49,7 @@ class BatchStore:
     def parts(self, below: str = "data") -> DataFrame:
         """table, batch, attempt, parts, bytes, digest of what lies in the store, from names and sizes of files alone."""
         schema = "table string, batch long, attempt string, parts long, bytes long, digest long"
-        if not self._has(f"{self.path}/{below}"):
+        if "*" not in below and not self._has(f"{self.path}/{below}"):
             return self.spark.createDataFrame([], schema)
         files = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(f"{self.path}/{below}").select("path", "length")
         name = F.regexp_extract("path", r"([^/]+)$", 1)
@@ -83,13 +87,12 @@ class BatchStore:
         folder = lambda name: f"{self.path}/data/{name}/batch={batch}/attempt={attempt}"
         made = tables() if callable(tables) else tables
         try:
-            for name, df in made.items():
-                df.write.parquet(folder(name))
-            seen = {}
-            for name in made:
-                found = self.parts(f"data/{name}/batch={batch}/attempt={attempt}").collect()  # one row
-                seen[name] = found[0] if found else {"parts": 0, "bytes": 0, "digest": 0}
-            rows = [{"batch": batch, "attempt": attempt, "table": n, "schema": df.schema.json()} | {c: seen[n][c] for c in ("parts", "bytes", "digest")} for n, df in made.items()]
+            with ThreadPoolExecutor(self.at_once) as pool:
+                for done in [pool.submit(lambda n, df: df.write.parquet(folder(n)), *x) for x in made.items()]:
+                    done.result()
+            seen = {r["table"]: r.asDict() for r in self.parts(f"data/*/batch={batch}/attempt={attempt}").collect()}  # a row for each table
+            empty = {"parts": 0, "bytes": 0, "digest": 0}
+            rows = [{"batch": batch, "attempt": attempt, "table": n, "schema": df.schema.json()} | {c: seen.get(n, empty)[c] for c in empty} for n, df in made.items()]
             self._publish(batch, rows)
         except BaseException:
             self._abort([folder(name) for name in made])

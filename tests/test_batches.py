@@ -43,6 +43,8 @@ class Crash(BaseException):
 class Dying(B.BatchStore):
     """Dies after so many writes, the manifest being the last; like a crash it takes nothing away."""
 
+    at_once = 1
+
     def __init__(self, spark, path, writes):
         super().__init__(spark, path)
         self.left = writes

@@ -92,6 +92,7 @@ def test_a_crash_and_a_retry_leave_one_batch(spark, tmp_path, shelf, writes):
 
     class Dying(BatchStore):
         left = writes
+        at_once = 1
 
         def commit(self, batch, tables):
             made = {n: self.table(df) for n, df in tables().items()}
