@@ -31,16 +31,14 @@ DUPLICATE = "duplicate"
 
 
 def with_cover(texts: DataFrame) -> DataFrame:
-    """texts with cover_type and cover_data (binary) of the image that the cover page names; null where there is none or it is no base64."""
-    fixed = repair_markup(F.coalesce("text", F.lit("")))
+    """texts (fixed: repaired) with cover_type and cover_data (binary) of the image that the cover page names; null where there is none or it is no base64."""
     name = F.regexp_extract("fixed", r'(?s)<coverpage\b.{0,2000}?<image\b[^>]*?href\s*=\s*["\']#([^"\']+)["\']', 1)
-    rows = texts.withColumn("fixed", fixed).withColumn("image", F.replace(name, F.lit("\\E"), F.lit("")))
-    tag = F.expr(r"""regexp_extract(fixed, concat('(?s)(<binary\\b[^>]*\\bid\\s*=\\s*["\']\\Q', image, '\\E["\'][^>]*>)'), 1)""")
-    data = F.expr(r"""regexp_extract(fixed, concat('(?s)<binary\\b[^>]*\\bid\\s*=\\s*["\']\\Q', image, '\\E["\'][^>]*>(.*?)</binary'), 1)""")
-    has = F.col("image") != ""
-    rows = rows.withColumn("cover_type", F.nullif(F.regexp_extract(F.when(has, tag), r'content-type\s*=\s*["\']([^"\']+)', 1), F.lit("")))
-    packed = F.try_to_binary(F.nullif(F.regexp_replace(F.when(has, data), r"\s+", ""), F.lit("")), F.lit("base64"))
-    return rows.withColumn("cover_data", packed).drop("fixed", "image")
+    rows = texts.withColumn("image", F.replace(name, F.lit("\\E"), F.lit("")))
+    found = F.expr(r"""regexp_extract(fixed, concat('(?s)(<binary\\b[^>]*\\bid\\s*=\\s*["\']\\Q', image, '\\E["\'][^>]*>.*?)</binary'), 1)""")
+    rows = rows.withColumn("binary", F.when(F.col("image") != "", found))
+    kind = F.regexp_extract("binary", r'^<binary\b[^>]*?content-type\s*=\s*["\']([^"\']+)', 1)
+    data = F.try_to_binary(F.nullif(F.regexp_replace("binary", r"^<[^>]*>|\s+", ""), F.lit("")), F.lit("base64"))
+    return rows.withColumn("cover_type", F.nullif(kind, F.lit(""))).withColumn("cover_data", data).drop("image", "binary")
 
 
 def numbered(parsed: DataFrame, books: DataFrame, skip_duplicates: bool) -> DataFrame:
@@ -61,12 +59,14 @@ def numbered(parsed: DataFrame, books: DataFrame, skip_duplicates: bool) -> Data
 
 def batch_tables(store: BatchStore, batch: int, entries: DataFrame, staging: str, now: Column, skip_duplicates: bool, language: Callable[[Column, Column], Column] | None) -> dict[str, DataFrame]:
     """The tables that the entries add to what the batches before this one hold."""
-    had = lambda name, schema: store.read(name, schema, before=batch).drop("batch")
     stage = lambda df, name: written(df, f"{staging}/{name}")
+    earlier = stage(store.whole().where(F.col("batch") < batch), "earlier")
+    had = lambda name, schema: store.read(name, schema, taken=earlier).drop("batch")
     scanned = had("ledger", LEDGER).where("is_scanned").select(F.col("cat_name").alias("archive")).distinct()
     fresh = entries.select("archive", "entry", "content", "error").join(scanned, "archive", "left_anti")
     # archives may hold a name twice: copies of a name are told apart by their bytes
-    texts = with_cover(decoded(fresh)).withColumn("nth_name", F.coalesce("md5", F.lit("")))
+    texts = decoded(fresh).withColumn("fixed", repair_markup(F.coalesce("text", F.lit(""))))
+    texts = with_cover(texts).withColumn("nth_name", F.coalesce("md5", F.lit("")))
     read = stage(parse_metadata(texts).dropDuplicates(["archive", "entry", "nth_name"]), "read")
     opened = read.where("entry IS NOT NULL")
     books = had("book", BOOK)

@@ -94,22 +94,23 @@ _DESCRIPTION = """`title-info` struct<genre: array<string>, author: array<struct
 def parse_metadata(texts: DataFrame) -> DataFrame:
     """texts with title, authors, genres, series, ser_no, lang, docdate, annotation, body_sample and issues.
 
-    The description alone is parsed; what does not parse gives nulls and an issue, never a failed job.
+    The description alone is parsed; what does not parse gives nulls and an issue, never a failed job. Where texts has a
+    column fixed, it is the repaired text; it goes. Each step is a column of its own, so none is worked out twice.
     """
-    fixed = repair_markup(F.coalesce("text", F.lit("")))
-    part = F.regexp_extract(fixed, r"(?s)(<description\b.*?</description\s*>)", 1)
-    plain = F.regexp_replace(F.regexp_replace(part, r"\sxmlns(:\w+)?=\"[^\"]*\"", ""), r"\bxlink:href=", "href=")
-    annotation = T.strip_tags(F.regexp_extract(part, r"(?s)<annotation\b[^>]*>(.*?)</annotation\s*>", 1))
+    rows = texts if "fixed" in texts.columns else texts.withColumn("fixed", repair_markup(F.coalesce("text", F.lit(""))))
+    rows = rows.withColumn("_part", F.regexp_extract("fixed", r"(?s)(<description\b.*?</description\s*>)", 1))
+    plain = F.regexp_replace(F.regexp_replace("_part", r"\sxmlns(:\w+)?=\"[^\"]*\"", ""), r"\bxlink:href=", "href=")
     slim = F.regexp_replace(plain, r"(?s)<annotation\b.*?</annotation\s*>|<document-info\b.*?</document-info\s*>|<publish-info\b.*?</publish-info\s*>", "")
-    rows = texts.withColumn("_fixed", fixed).withColumn("_xml", F.from_xml(F.when(part != "", slim), _DESCRIPTION, {"rowTag": "description"}))
+    rows = rows.withColumn("_annotation", T.strip_tags(F.regexp_extract("_part", r"(?s)<annotation\b[^>]*>(.*?)</annotation\s*>", 1)))
+    rows = rows.withColumn("_body", T.strip_tags(F.regexp_extract("fixed", r"(?s)<body\b[^>]*>(.*?)(?:</body\s*>|$)", 1)))
+    rows = rows.withColumn("_xml", F.from_xml(F.when(F.col("_part") != "", slim), _DESCRIPTION, {"rowTag": "description"}))
     info = F.col("_xml")["title-info"]
     name = lambda a: F.btrim(F.regexp_replace(T.repair_case(F.concat_ws(" ", a["last-name"], a["first-name"])), r"\s+", " "))
     authors = F.filter(F.transform(F.coalesce(info["author"], F.array()), name), lambda x: x != "")
     first = F.get(info["sequence"], F.lit(0))
-    body = T.strip_tags(F.regexp_extract("_fixed", r"(?s)<body\b[^>]*>(.*?)(?:</body\s*>|$)", 1))
     title = T.clean_title(F.coalesce(info["book-title"], F.lit("")))
     return rows.select(
-        *[c for c in texts.columns if c != "text"],
+        *[c for c in texts.columns if c not in ("text", "fixed")],
         F.nullif(title, F.lit("")).alias("title"),
         F.when(F.size(authors) > 0, authors).otherwise(F.array(F.lit(UNKNOWN_AUTHOR))).alias("authors"),
         F.coalesce(info["genre"], F.array().cast("array<string>")).alias("genres"),
@@ -117,8 +118,8 @@ def parse_metadata(texts: DataFrame) -> DataFrame:
         T.leading_int(F.coalesce(first["_number"], F.lit(""))).alias("ser_no"),
         F.btrim(info["lang"]).alias("lang"),
         F.btrim(info["date"]).alias("docdate"),
-        annotation.alias("annotation"),
-        F.substring(F.btrim(F.concat_ws(" ", annotation, body)), 1, 2000).alias("body_sample"),
+        F.col("_annotation").alias("annotation"),
+        F.substring(F.btrim(F.concat_ws(" ", "_annotation", "_body")), 1, 2000).alias("body_sample"),
         F.array_compact(
             F.array(F.when(F.col("error").isNotNull(), F.col("error")), F.when(~F.col("text").rlike("<FictionBook"), "no root"), F.when(info.isNull(), "no description"), F.when(title == "", "no title"))
         ).alias("issues"),

@@ -80,9 +80,11 @@ def ingested_books(spark: SparkSession, sf_dir: str) -> DataFrame:
     odd = F.regexp_extract("archive", r"shelf(\d+)\.zip$", 1).cast("long") % 2 == 1
     I.ingest(store, 0, found.where(~odd))
     I.ingest(store, 1, found)
-    authors = store.read("book_author").groupBy("book_id").agg(F.concat_ws(",", F.transform(F.sort_array(F.collect_list("author_id")), lambda i: i.cast("string"))).alias("author_ids"))
-    links = authors.join(store.read("book_genre").drop("batch"), "book_id", "left").join(store.read("book_series").drop("batch"), "book_id", "left")
-    books = store.read("book").select("id", F.regexp_extract("path", r"([^/]+)$", 1).alias("archive"), F.col("filename").alias("entry"), "title", "lang", "md5", "batch")
+    whole = store.whole()
+    read = lambda name: store.read(name, taken=whole)
+    authors = read("book_author").groupBy("book_id").agg(F.concat_ws(",", F.transform(F.sort_array(F.collect_list("author_id")), lambda i: i.cast("string"))).alias("author_ids"))
+    links = authors.join(read("book_genre").drop("batch"), "book_id", "left").join(read("book_series").drop("batch"), "book_id", "left")
+    books = read("book").select("id", F.regexp_extract("path", r"([^/]+)$", 1).alias("archive"), F.col("filename").alias("entry"), "title", "lang", "md5", "batch")
     return books.join(links, F.col("id") == F.col("book_id")).select("id", "archive", "entry", "title", "lang", "md5", "author_ids", "genre_id", "ser_id", F.col("ser_no").cast("long").alias("ser_no"), "batch")
 
 

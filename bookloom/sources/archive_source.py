@@ -16,6 +16,7 @@ whole, as by a rename.
 from __future__ import annotations
 
 import json
+import re
 import uuid
 import zipfile
 from collections.abc import Iterator
@@ -239,16 +240,22 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(BookArchives)
 
 
+def _split_bytes(spark: SparkSession) -> int:
+    """spark.sql.files.maxPartitionBytes, SPLIT_BYTES at most: archives grow as they are unpacked."""
+    size = re.fullmatch(r"(\d+)\s*([kmg]?)b?", spark.conf.get("spark.sql.files.maxPartitionBytes").lower())
+    return min(SPLIT_BYTES, int(size[1]) << {"": 0, "k": 10, "m": 20, "g": 30}[size[2]]) if size else SPLIT_BYTES
+
+
 def read_archives(spark: SparkSession, path: str, **options) -> DataFrame:
-    """archive, entry, size, content, error of all archives at or below path."""
+    """archive, entry, size, content, error of all archives at or below path; tasks read as many bytes as the session has them read of other files."""
     register(spark)
-    return spark.read.format("book_archives").options(path=path, **options).load()
+    return spark.read.format("book_archives").options(path=path, **{"splitBytes": _split_bytes(spark), **options}).load()
 
 
 def stream_archives(spark: SparkSession, path: str, log_path: str, **options) -> DataFrame:
     """The same as a stream of archives as they appear."""
     register(spark)
-    return spark.readStream.format("book_archives").options(path=path, logPath=log_path, **options).load()
+    return spark.readStream.format("book_archives").options(path=path, logPath=log_path, **{"splitBytes": _split_bytes(spark), **options}).load()
 
 
 def fetch_entries(wanted: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:

@@ -113,8 +113,8 @@ class BatchStore:
             same = same & (F.coalesce(f"got_{c}", F.lit(0)) == F.col(c))
         return checked.groupBy("batch", "attempt").agg(F.bool_and(same).alias("whole")).where("whole").select("batch", "attempt")
 
-    def read(self, table: str, schema: T.StructType | str | None = None, before: int | None = None) -> DataFrame:
-        """The table over all whole batches (with numbers below before), with its batch as a column.
+    def read(self, table: str, schema: T.StructType | str | None = None, before: int | None = None, taken: DataFrame | None = None) -> DataFrame:
+        """The table over all whole batches (with numbers below before, or those of taken, out of whole()), with its batch as a column.
 
         The columns are those of the newest batch; older ones give nulls for what they lack. schema serves where no
         batch has the table yet.
@@ -130,7 +130,8 @@ class BatchStore:
             return self.spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("batch", T.LongType())]))
         keyed = T.StructType([*schema.fields, T.StructField("batch", T.LongType()), T.StructField("attempt", T.StringType())])
         data = self.spark.read.schema(keyed).parquet(f"{self.path}/data/{table}")
-        taken = self.whole() if before is None else self.whole().where(F.col("batch") < before)
+        taken = self.whole() if taken is None else taken
+        taken = taken if before is None else taken.where(F.col("batch") < before)
         return data.join(taken, ["batch", "attempt"], "left_semi").select(*[F.col(f"`{f.name}`") for f in schema.fields], "batch")
 
     def clean(self) -> int:

@@ -1,68 +1,11 @@
-"""Structured Streaming versions of the keyed state operators."""
+"""Streams of archives, progress and published batches; keyed state is in keyed.py."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from bookloom.operators.state import CONTEXT_BYTES, MESSAGE_BYTES, PER_USER, WINDOW_SECONDS
-
-#: Fixed value: how long a conversation is kept without a message, in milliseconds.
-CONVERSATION_TTL = 7 * 24 * 3600 * 1000
-
-
-def rate_limit(events: DataFrame, key: str = "key", seconds: int = WINDOW_SECONDS, limit: int = PER_USER, delay: str = "10 minutes") -> DataFrame:
-    """key, ts, window_start, count, allowed: windows start at a key's first event; state goes when the watermark passes."""
-    kind = dict(events.dtypes)[key]
-
-    def run(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        start, n = state.get if state.exists else (None, 0)
-        span = pd.Timedelta(seconds=seconds)
-        whole = pd.concat(list(frames)).sort_values("ts")
-        starts, counts = [], []
-        for ts in whole["ts"]:
-            if start is None or ts >= pd.Timestamp(start) + span:
-                start, n = ts.to_pydatetime(), 0
-            n += 1
-            starts.append(pd.Timestamp(start))
-            counts.append(n)
-        state.update((start, n))
-        state.setTimeoutTimestamp(max(int((pd.Timestamp(start) + span).timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"key": k[0], "ts": whole["ts"].values, "window_start": starts, "count": counts, "allowed": [c <= limit for c in counts]})
-
-    rows = events.select(F.col(key).alias("key"), "ts").withWatermark("ts", delay)
-    return rows.groupBy("key").applyInPandasWithState(run, f"key {kind}, ts timestamp, window_start timestamp, count long, allowed boolean", "start timestamp, n long", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def bounded_conversations(messages: DataFrame, limit: int = CONTEXT_BYTES) -> DataFrame:
-    """conv_id, turn, role, text: after each batch, the messages that a conversation keeps."""
-
-    def run(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        turns, roles, texts = map(list, state.get) if state.exists else ([], [], [])
-        new = pd.concat(list(frames)).sort_values("turn")
-        turns, roles, texts = turns + new["turn"].tolist(), roles + new["role"].tolist(), texts + new["text"].tolist()
-        cost = [len((t or "").encode()) + len((r or "").encode()) + MESSAGE_BYTES for t, r in zip(texts, roles)]
-        first = 0
-        while sum(cost[first:]) > limit and first < len(cost) - 1:
-            first += 1
-        turns, roles, texts = turns[first:], roles[first:], texts[first:]
-        state.update((turns, roles, texts))
-        state.setTimeoutDuration(CONVERSATION_TTL)
-        yield pd.DataFrame({"conv_id": k[0], "turn": turns, "role": roles, "text": texts})
-
-    return messages.groupBy("conv_id").applyInPandasWithState(
-        run, "conv_id long, turn long, role string, text string", "turns array<long>, roles array<string>, texts array<string>", "update", GroupStateTimeout.ProcessingTimeTimeout
-    )
 
 
 def new_archives(spark: SparkSession, path: str) -> DataFrame:
