@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from bookloom.functions.storage import new_path
 from bookloom.operators import book_ingest as I
+from bookloom.operators import markup_tree as M
 from bookloom.plans.queries import _read, query
 from bookloom.sources.archive_source import fetch_entries, read_archives, write_archives
 from bookloom.sources.batches import BatchStore
@@ -95,3 +96,43 @@ def fetched_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = shelf(spark, sf_dir).select("doc_id", F.concat(F.lit(path + "/"), "archive").alias("archive"), F.when(F.col("doc_id") % 50 == 7, F.concat("entry", F.lit(".gone"))).otherwise(F.col("entry")).alias("entry")).where("doc_id % 5 = 2")
     found = fetch_entries(wanted).select("archive", "entry", F.md5("content").alias("md5"), "error")
     return wanted.join(found, ["archive", "entry"]).select("doc_id", "md5", "error")
+
+
+_TREE = rf"""c AS (
+  SELECT page_id, regexp_extract_all(regexp_replace(coalesce(html, ''), '{M._SKIPPED}', ' ', 'g'), '<[^<]*') AS p FROM pages
+), r AS (
+  SELECT page_id, unnest(p) AS raw, generate_subscripts(p, 1) - 1 AS seq FROM c
+), t AS (
+  SELECT page_id, seq, regexp_extract(raw, '{M._TAG}', ['shut', 'name', 'void']) AS g, regexp_replace(raw, '^</?[A-Za-z][^>]*>', ' ') AS text FROM r
+), k AS (
+  SELECT page_id, seq, lower(g.name) AS name, text, CASE WHEN lower(g.name) NOT IN ({", ".join(f"'{n}'" for n in M.HTML)}) OR g.void = '/' THEN 0 WHEN g.shut = '/' THEN -1 ELSE 1 END AS step FROM t
+), w AS (
+  SELECT *, (sum(step) OVER (PARTITION BY page_id ORDER BY seq))::BIGINT AS depth FROM k
+), x AS (
+  SELECT w.*, (SELECT max_by(o.name, o.seq) FROM w o WHERE o.page_id = w.page_id AND o.step = 1 AND o.seq < w.seq AND o.depth = w.depth + 1) AS shuts,
+    (SELECT max(o.seq) FROM w o WHERE o.page_id = w.page_id AND o.step = 1 AND o.seq < w.seq AND o.depth = w.depth - 1) AS parent,
+    (SELECT max(o.seq) FROM w o WHERE o.page_id = w.page_id AND o.step = 1 AND o.seq <= w.seq AND o.depth = w.depth) AS inner_node FROM w
+), v AS (
+  SELECT page_id, min(seq) FILTER (WHERE step = -1 AND (depth < 0 OR coalesce(shuts, '') <> name) OR step = 1 AND depth > {M.MAX_DEPTH}) AS bad,
+    min_by(CASE WHEN step = -1 THEN 'unbalanced' ELSE 'too deep' END, seq) FILTER (WHERE step = -1 AND (depth < 0 OR coalesce(shuts, '') <> name) OR step = 1 AND depth > {M.MAX_DEPTH}) AS why, max_by(depth, seq) AS rest FROM x GROUP BY 1
+), n AS (
+  SELECT x.* FROM x JOIN v USING (page_id) WHERE bad IS NULL OR seq < bad
+), o AS (
+  SELECT page_id, inner_node AS node, trim(regexp_replace(string_agg(text, ' ' ORDER BY seq), '[\t\n\r ]+', ' ', 'g')) AS text FROM n WHERE depth > 0 GROUP BY 1, 2
+)"""
+
+
+def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.placed_tokens(M.tag_tokens(_read(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("text")), M.HTML))
+
+
+@query(rf"WITH {_TREE} SELECT n.page_id, n.seq AS node, parent, n.depth, n.name, coalesce(o.text, '') AS text FROM n LEFT JOIN o ON o.page_id = n.page_id AND o.node = n.seq WHERE step = 1")
+def page_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = M.tree_nodes(_placed(spark, sf_dir))
+    return nodes.select(F.col("id").alias("page_id"), F.col("node").cast("long").alias("node"), F.col("parent").cast("long").alias("parent"), "depth", "name", "text")
+
+
+@query(rf"WITH {_TREE} SELECT v.page_id, CASE WHEN bad IS NOT NULL THEN why WHEN rest > 0 THEN 'open' ELSE 'whole' END AS verdict, bad AS at, (SELECT count(*) FROM n WHERE n.page_id = v.page_id AND step = 1) AS elements FROM v")
+def page_tree_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = M.tree_verdicts(_placed(spark, sf_dir))
+    return found.select(F.col("id").alias("page_id"), "verdict", F.col("at").cast("long").alias("at"), "elements")
