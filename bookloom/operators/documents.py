@@ -139,26 +139,23 @@ def reachable_images(blocks: DataFrame, notes: DataFrame) -> DataFrame:
     return own.unionByName(notes.join(cited, ["id", "note"], "left_semi").select("id", F.explode("image_ids").alias("image"))).distinct()
 
 
-#: English names, and three-letter codes whose first two letters are not the two-letter code. All other
-#: codes of two or three letters give their first two letters by rule.
-LANGUAGE_NAMES = {
-    "af": "afrikaans", "sq": "albanian", "ar": "arabic", "hy": "armenian", "az": "azerbaijani", "eu": "basque", "be": "belarusian", "bn": "bengali",
-    "bs": "bosnian", "bg": "bulgarian", "ca": "catalan", "zh": "chinese", "hr": "croatian", "cs": "czech", "da": "danish", "nl": "dutch",
-    "en": "english", "eo": "esperanto", "et": "estonian", "fi": "finnish", "fr": "french", "ka": "georgian", "de": "german", "el": "greek",
-    "gu": "gujarati", "he": "hebrew", "hi": "hindi", "hu": "hungarian", "is": "icelandic", "id": "indonesian", "ga": "irish", "it": "italian",
-    "ja": "japanese", "kk": "kazakh", "ko": "korean", "la": "latin", "lv": "latvian", "lt": "lithuanian", "mk": "macedonian", "ms": "malay",
-    "mi": "maori", "mr": "marathi", "mn": "mongolian", "nb": "norwegian", "fa": "persian", "pl": "polish", "pt": "portuguese", "pa": "punjabi",
-    "ro": "romanian", "ru": "russian", "sr": "serbian", "sk": "slovak", "sl": "slovene slovenian", "so": "somali", "es": "spanish", "sw": "swahili",
-    "sv": "swedish", "tl": "tagalog", "ta": "tamil", "te": "telugu", "th": "thai", "tr": "turkish", "uk": "ukrainian", "ur": "urdu",
-    "vi": "vietnamese", "cy": "welsh",
+#: ISO codes by tag, for English names and for three-letter codes whose first two letters are not the
+#: two-letter code. All other codes of two or three letters give their first two letters by rule.
+LANGUAGES = {
+    "afrikaans": "af", "arabic": "ar", "azerbaijani": "az", "belarusian": "be", "bulgarian": "bg", "bengali": "bn", "ben": "bn", "bosnian": "bs",
+    "bos": "bs", "catalan": "ca", "czech": "cs", "ces": "cs", "cze": "cs", "welsh": "cy", "wel": "cy", "danish": "da", "german": "de", "ger": "de",
+    "greek": "el", "ell": "el", "gre": "el", "english": "en", "esperanto": "eo", "spanish": "es", "spa": "es", "estonian": "et", "est": "et",
+    "basque": "eu", "baq": "eu", "persian": "fa", "per": "fa", "finnish": "fi", "french": "fr", "irish": "ga", "gle": "ga", "gujarati": "gu",
+    "hebrew": "he", "heb": "he", "hindi": "hi", "croatian": "hr", "hungarian": "hu", "armenian": "hy", "arm": "hy", "indonesian": "id", "ind": "id",
+    "icelandic": "is", "ice": "is", "isl": "is", "italian": "it", "japanese": "ja", "georgian": "ka", "geo": "ka", "kat": "ka", "kazakh": "kk",
+    "kaz": "kk", "korean": "ko", "latin": "la", "lithuanian": "lt", "latvian": "lv", "lav": "lv", "maori": "mi", "mao": "mi", "mri": "mi",
+    "macedonian": "mk", "mac": "mk", "mongolian": "mn", "mon": "mn", "marathi": "mr", "mar": "mr", "malay": "ms", "may": "ms", "norwegian": "nb",
+    "nob": "nb", "nor": "nb", "no": "nb", "dutch": "nl", "dut": "nl", "nno": "nn", "punjabi": "pa", "polish": "pl", "pol": "pl", "portuguese": "pt",
+    "por": "pt", "romanian": "ro", "rum": "ro", "russian": "ru", "slovak": "sk", "slo": "sk", "slovenian": "sl", "slovene": "sl", "slv": "sl",
+    "somali": "so", "albanian": "sq", "alb": "sq", "serbian": "sr", "srp": "sr", "swedish": "sv", "swe": "sv", "swahili": "sw", "tamil": "ta",
+    "telugu": "te", "thai": "th", "tagalog": "tl", "tgl": "tl", "turkish": "tr", "tur": "tr", "ukrainian": "uk", "urdu": "ur", "vietnamese": "vi",
+    "chinese": "zh", "chi": "zh", "zho": "zh",
 }
-LANGUAGE_CODES = {
-    "sq": "alb", "hy": "arm", "eu": "baq", "bn": "ben", "bs": "bos", "zh": "chi zho", "cs": "cze ces", "nl": "dut", "et": "est", "ka": "geo kat",
-    "de": "ger", "el": "gre ell", "is": "ice isl", "id": "ind", "ga": "gle", "kk": "kaz", "mk": "mac", "ms": "may", "mi": "mao mri", "mn": "mon",
-    "nb": "no nor nob", "nn": "nno", "fa": "per", "pl": "pol", "pt": "por", "ro": "rum", "sr": "srp", "sk": "slo", "sl": "slv", "es": "spa",
-    "sv": "swe", "tl": "tgl", "tr": "tur", "cy": "wel", "he": "heb", "lv": "lav", "mr": "mar",
-}
-LANGUAGES = {n: code for table in (LANGUAGE_NAMES, LANGUAGE_CODES) for code, names in table.items() for n in names.split(" ")}
 
 
 def standard_language(c: Column, table: dict[str, str] | None = None) -> Column:
@@ -176,11 +173,3 @@ def language_decision(tag: Column, sample: Column, detected: Column) -> Column:
     made = lambda lang, how: F.struct(lang.alias("lang"), F.lit(how).alias("method"))
     return F.when(few, made(std, "tag_fallback")).when(std == detected, made(std, "tag_match")).otherwise(made(detected, "detected"))
 
-
-def train_ngram_scorer(docs: DataFrame, n: int = 3, least: int = 5) -> DataFrame:
-    """gram, lang, weight: log odds of a character n-gram in each language (docs: text, lang)."""
-    grams = docs.select("lang", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length("text") - (n - 1), F.lit(1))), lambda i: F.lower(F.substring("text", i, F.lit(n))))).alias("gram"))
-    counts = grams.groupBy("gram", "lang").agg(F.count("*").alias("k"))
-    per_gram = counts.groupBy("gram").agg(F.sum("k").alias("all")).where(F.col("all") >= least)
-    per_lang = counts.groupBy("lang").agg(F.sum("k").alias("whole"))
-    return counts.join(per_gram, "gram").join(per_lang, "lang").select("gram", "lang", F.log((F.col("k") + 0.5) / F.col("whole")).alias("weight"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from bookloom.operators.changes import apply_selected, diff_fields, one_each
@@ -45,6 +45,17 @@ def scan_report(scanned: DataFrame) -> DataFrame:
     return scanned.agg(F.countDistinct("path").alias("archives"), F.count("*").alias("total"), F.count_if(~failed).alias("updated"), F.count_if(failed).alias("failed"))
 
 
+def write_scan(scanned: DataFrame, path: str) -> tuple[dict[str, int], DataFrame]:
+    """Write fix_scan()'s books to path; the report (total, updated, failed) is gathered by the write itself, in one pass.
+
+    Also gives the first errors, read from what was written: their columns alone, and only rows that failed.
+    """
+    seen, failed = Observation(), F.col("scan_error").isNotNull()
+    watched = scanned.observe(seen, F.count("*").alias("total"), F.count_if(~failed).alias("updated"), F.count_if(failed).alias("failed"))
+    watched.write.parquet(path)
+    return dict(seen.get), first_errors(scanned.sparkSession.read.schema(scanned.schema).parquet(path))
+
+
 def preview(rows: DataFrame) -> DataFrame:
     """rows (id, old, new) as pending changes: id, old, new, diff (names of the fields that differ); equal ones are none."""
     return rows.withColumn("diff", diff_fields()).where(F.size("diff") > 0)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from bookloom.functions.images import judged_images
 from bookloom.functions.storage import new_path
 from bookloom.operators import book_ingest as I
+from bookloom.operators import language
 from bookloom.operators import markup_tree as M
 from bookloom.plans.queries import _read, query
 from bookloom.sources.archive_source import fetch_entries, read_archives, write_archives
@@ -166,3 +167,12 @@ def image_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = F.when(F.col("doc_id") % 11 == 5, F.substring("made", F.lit(1), F.octet_length("made") - 1)).otherwise(F.col("made"))
     judged = judged_images(docs.select("doc_id", data.alias("data")))
     return judged.select("doc_id", "kind", F.col("size.width").alias("width"), F.col("size.height").alias("height"), "verdict")
+
+
+@query()
+def detected_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents by a model of four of five of them (by crc32 of doc_id), and what becomes of their tags."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    found = language.decided(docs, language.train(docs.where(~held_out)))
+    return found.select("doc_id", held_out.alias("held_out"), "detected", "margin", F.col("decision.lang").alias("lang"), F.col("decision.method").alias("method"))
