@@ -49,3 +49,22 @@ def command_of(answer: Column) -> Column:
 
 def valid_account(email: Column, login: Column, password: Column) -> Column:
     return email.rlike(EMAIL) & login.rlike(LOGIN) & (F.octet_length(password) >= LEAST_PASSWORD)
+
+
+#: The types of the events that long jobs send.
+EVENT_TYPES = [
+    "scan_started", "archive_started", "book_processed", "archive_completed", "scan_completed", "scan_error", "scan_progress",
+    "fix_scan_started", "fix_scan_progress", "fix_scan_completed", "fix_scan_error",
+    "genre_title_gen_started", "genre_title_gen_progress", "genre_title_gen_completed",
+]
+
+
+def event_job(event_type: Column) -> Column:
+    """The job that an event belongs to (scan, fix_scan, genre_title_gen); null for a type that is not known."""
+    job = F.when(F.startswith(event_type, F.lit("fix_scan")), "fix_scan").when(F.startswith(event_type, F.lit("genre_title_gen")), "genre_title_gen").otherwise("scan")
+    return F.when(event_type.isin(EVENT_TYPES), job)
+
+
+def event_ends(event_type: Column) -> Column:
+    """Whether an event is the last of its job."""
+    return event_type.isin("scan_completed", "fix_scan_completed", "genre_title_gen_completed")

@@ -182,6 +182,11 @@ def transliterate(c: Column, table: dict[str, str] | None = None) -> Column:
     return F.array_join(F.transform(F.split(c, ""), lambda ch: F.coalesce(F.element_at(known, ch), ch)), "")
 
 
+def download_name(title: Column) -> Column:
+    """The file name of a title: runs of anything but Latin and Cyrillic letters and digits as one underscore, in Latin letters, lower case."""
+    return F.lower(transliterate(F.regexp_replace(title, "[^A-Za-z0-9а-яА-ЯёЁ]+", "_")))
+
+
 def shouting(c: Column) -> Column:
     """At least four letters, and either capitals only or four in five of them capitals."""
     letters, upper, lower = (F.regexp_count(c, F.lit(p)) for p in (r"\p{L}", r"\p{Lu}", r"\p{Ll}"))

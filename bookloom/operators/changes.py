@@ -1,16 +1,19 @@
 """Writes as new tables: upserts, replacements, get-or-create, cascades, patches and the archive ledger.
 
-A table is never changed in place. Each function gives the table as it is afterwards; publish() writes one batch of
-tables and names them in a manifest last, so that readers see all of a batch or nothing of it.
+A table is never changed in place. Each function gives the table as it is afterwards; sources/batches.py publishes
+tables as a batch that readers see whole or not at all.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow.fs as pafs
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bookloom.functions.joins import spread_join
+from bookloom.functions.storage import file_system
 from bookloom.operators.ranges import running_sum
 
 
@@ -56,11 +59,45 @@ def get_or_create(dim: DataFrame, names: DataFrame, name_col: str = "name") -> D
     return dim.select("id", name_col).unionByName(new_members(dim, names, name_col))
 
 
+def exists_any(rows: DataFrame, keys: DataFrame, on: list[str], out: str = "exists") -> DataFrame:
+    """keys with whether rows has any row of that key, each key once; null keys equal null keys."""
+    there = rows.select(*on).distinct().withColumn(out, F.lit(True))
+    asked = keys.select(*on).distinct()
+    return asked.join(there, _on(asked, there, on), "left").select(*[asked[c] for c in on], F.coalesce(out, F.lit(False)).alias(out))
+
+
 def replace_children(table: DataFrame, rows: DataFrame, parent: str) -> DataFrame:
     """All children of the parents in rows go, and rows take their place."""
     return table.join(rows.select(parent).distinct(), parent, "left_anti").select(*table.columns).unionByName(rows.select(*table.columns))
 
 
+def set_links(links: DataFrame, changes: DataFrame, dim: DataFrame, link_id: str, extra: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """links (book_id, link_id, extra) with those of the changed books replaced, and the members that dim (id, name) lacks.
+
+    changes: book_id, entries array<struct<id, name, extra>>; null entries leave a book's links alone, empty ones take
+    them away. An entry names a member by its id; one without an id (null or 0), or with one that dim lacks, by its
+    trimmed name, which is created if dim lacks it. Entries without either are nothing. Within a book, entries without
+    an id count once for each name whatever its case, and links once for each member: the first counts. Of several
+    changes for a book the one with the largest entries counts.
+    """
+    extra = extra or []
+    one = changes.where("entries IS NOT NULL").groupBy("book_id").agg(F.max("entries").alias("entries"))
+    rows = one.select("book_id", F.posexplode("entries").alias("pos", "e"))
+    rows = rows.select("book_id", "pos", F.nullif(F.col("e")["id"].cast("long"), F.lit(0)).alias("given"), F.nullif(F.btrim(F.col("e")["name"]), F.lit("")).alias("name"), *[F.col("e")[c].alias(c) for c in extra])
+    ids = dim.select(F.col("id").alias("given"), F.lit(True).alias("there"))
+    rows = spread_join(rows, ids, ["given"], ["book_id", "pos"], "left")
+    by_id = rows.where("there").withColumn("member", F.col("given"))
+    nth = F.row_number().over(Window.partitionBy("book_id", "given", F.lower("name")).orderBy("pos"))
+    by_name = rows.where("there IS NULL AND name IS NOT NULL").withColumn("nth", nth).where("nth = 1 OR given IS NOT NULL").drop("nth")
+    new = new_members(dim.select("id", "name"), by_name)
+    names = dim.select("name", F.col("id").alias("member")).unionByName(new.select("name", F.col("id").alias("member"))).groupBy("name").agg(F.min("member").alias("member"))
+    named = spread_join(by_name, names, ["name"], ["book_id", "pos"])
+    first = by_id.unionByName(named).groupBy("book_id", F.col("member").alias(link_id)).agg(F.min(F.struct("pos", *extra)).alias("first"))
+    added = first.select("book_id", link_id, *[F.col("first")[c].alias(c) for c in extra])
+    kept = links.join(one.select("book_id"), "book_id", "left_anti").select("book_id", link_id, *extra)
+    return kept.unionByName(added), new
+
+
 def delete_cascade(tables: dict[str, DataFrame], gone: DataFrame, parents: dict[str, str]) -> dict[str, DataFrame]:
     """Each table without the rows whose parent column (by table name) is among the ids of gone."""
     ids = gone.select(F.col("id").alias("_gone")).distinct()
@@ -208,28 +245,26 @@ def reattach(rows: DataFrame, users: DataFrame, column: str, to: int | None) ->
 
 
 def export_tables(tables: dict[str, DataFrame], allowed: list[str], path: str) -> list[str]:
-    """Write the allowed tables under path, each in a folder of its name, and nothing else; an unknown name is an error."""
+    """Write the allowed tables under path, each in a folder of its name; an unknown name is an error, and so is anything else that lies there afterwards."""
     unknown = sorted(set(allowed) - set(tables))
     if unknown:
         raise ValueError(f"no such tables: {', '.join(unknown)}")
     for name in sorted(allowed):
         tables[name].write.mode("errorifexists").parquet(f"{path}/{name}")
+    leaked = sorted(set(exported(path)) - set(allowed))
+    if leaked:
+        raise ValueError(f"tables that are not allowed lie in the export: {', '.join(leaked)}")
     return sorted(allowed)
 
 
+def exported(path: str) -> list[str]:
+    """Names of whatever lies in an export, hidden files left out."""
+    fs, folder = file_system(path)
+    names = [f.base_name for f in fs.get_file_info(pafs.FileSelector(folder, allow_not_found=True))]
+    return sorted(n for n in names if not n.startswith((".", "_")))
+
+
 def write_report(report: DataFrame, path: str) -> None:
     """One JSON row per row of a report."""
     report.coalesce(1).write.mode("overwrite").json(path)
 
-
-def publish(spark: SparkSession, tables: dict[str, DataFrame], path: str, batch: str) -> None:
-    """Write the tables of a batch under path/batch, and the manifest row last."""
-    for name, df in tables.items():
-        df.write.parquet(f"{path}/{batch}/{name}")
-    spark.createDataFrame([(batch, sorted(tables))], "batch string, tables array<string>").coalesce(1).write.mode("append").parquet(f"{path}/_manifest")
-
-
-def published(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """The table of all batches that the manifest names."""
-    batches = sorted(r["batch"] for r in spark.read.parquet(f"{path}/_manifest").where(F.array_contains("tables", name)).collect())
-    return spark.read.parquet(*[f"{path}/{b}/{name}" for b in batches])

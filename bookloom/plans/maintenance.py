@@ -276,6 +276,29 @@ def cleaned_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), T.clean_title(raw).alias("title"))
 
 
+@query("""WITH c AS (
+  SELECT p_partkey AS book_id, 0 AS pos, p_partkey % 150 + 1 AS given, p_brand AS name FROM part UNION ALL SELECT p_partkey, 1, NULL, p_type FROM part UNION ALL SELECT p_partkey, 2, NULL, upper(p_type) FROM part
+  UNION ALL SELECT p_partkey, 3, NULL, p_brand FROM part UNION ALL SELECT p_partkey, 4, p_partkey % 100 + 1, NULL FROM part
+), k AS (
+  SELECT c.*, s_suppkey IS NOT NULL AS there, row_number() OVER (PARTITION BY book_id, given, lower(name) ORDER BY pos) AS nth FROM c LEFT JOIN supplier ON s_suppkey = given WHERE book_id % 3 = 0
+), n AS (
+  SELECT * FROM k WHERE NOT there AND name IS NOT NULL AND (nth = 1 OR given IS NOT NULL)
+), m AS (
+  SELECT name, (SELECT max(s_suppkey) FROM supplier) + row_number() OVER (ORDER BY name) AS id FROM (SELECT DISTINCT name FROM n WHERE name NOT IN (SELECT s_name FROM supplier))
+)
+SELECT l_partkey AS book_id, l_suppkey AS author_id FROM lineitem WHERE l_partkey % 3 <> 0
+UNION ALL SELECT DISTINCT book_id, id FROM (SELECT book_id, given AS id FROM k WHERE there UNION ALL SELECT book_id, id FROM n JOIN m USING (name))""")
+def links_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Authors of one of three books are set anew: by id where it is known, else by name, new names created."""
+    part = _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("book_id"), "p_brand", "p_type").where("book_id % 3 = 0")
+    entry = lambda i, name: F.struct((F.lit(None) if i is None else i).cast("long").alias("id"), name.cast("string").alias("name"))
+    k, none = F.col("book_id"), F.lit(None)
+    entries = F.array(entry(k % 150 + 1, F.col("p_brand")), entry(None, F.col("p_type")), entry(None, F.upper("p_type")), entry(None, F.concat(F.lit(" "), "p_brand")), entry(k % 100 + 1, none))
+    links = _read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("book_id"), F.col("l_suppkey").alias("author_id"))
+    authors = _read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+    return changes.set_links(links, part.select("book_id", entries.alias("entries")), authors, "author_id")[0]
+
+
 # --- keyed state ----------------------------------------------------------------------------------------------------
 
 

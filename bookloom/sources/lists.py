@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Separators in order of precedence, and the most items of a JSON batch.
+#: Separators in order of precedence, and the most items and bytes of a JSON batch.
 SEPARATORS = [";", "\t", ","]
-MAX_ITEMS = 20_000
+MAX_ITEMS, MAX_REQUEST = 20_000, 5 << 20
 ITEMS = "title: string, author: string, year: int, extra: map<string, string>"
 
 
@@ -47,7 +47,10 @@ def parse_lines(lines: DataFrame, c: str = "value") -> tuple[DataFrame, DataFram
 
 
 def read_json_items(spark: SparkSession, path: str) -> DataFrame:
-    """Items of a JSON batch; 1 to MAX_ITEMS of them, and each has a title and an author."""
+    """Items of a JSON batch of MAX_REQUEST bytes at most; 1 to MAX_ITEMS of them, and each has a title and an author."""
+    size = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).agg(F.sum("length")).first()[0] or 0
+    if size > MAX_REQUEST:
+        raise ValueError(f"a batch has {MAX_REQUEST} bytes at most")
     rows = spark.read.schema(f"name string, source_url string, items array<struct<{ITEMS}>>").json(path, multiLine=True)
     items = rows.select(F.explode("items").alias("i")).select("i.*")
     n = items.limit(MAX_ITEMS + 1).count()

@@ -56,9 +56,11 @@ def test_changes(spark, tmp_path):
     assert sorted(map(tuple, changes.insert_missing(t, new, ["id"]).collect())) == [(1, "a"), (2, "b"), (3, "d")]
     fav = spark.createDataFrame([(1, 5, 9)], "id long, user_id long, book_id long")
     assert changes.toggle_favorite(fav, 5, 9, False).count() == 0 and changes.toggle_favorite(fav, 5, 8, True, 2).count() == 2
-    changes.publish(spark, {"t": t}, str(tmp_path), "b1")
-    t.write.parquet(f"{tmp_path}/b2/t")  # a batch that never got into the manifest
-    assert changes.published(spark, str(tmp_path), "t").count() == 2
+    assert sorted(map(tuple, changes.exists_any(t, spark.createDataFrame([(2,), (9,), (2,), (None,)], "id long"), ["id"]).collect()), key=repr) == [(2, True), (9, False), (None, False)]
+    assert changes.export_tables({"t": t, "u": t}, ["t"], str(tmp_path / "out")) == ["t"] and spark.read.parquet(str(tmp_path / "out" / "t")).count() == 2
+    t.write.parquet(str(tmp_path / "leak" / "secret"))
+    with pytest.raises(ValueError, match="secret"):
+        changes.export_tables({"t": t}, ["t"], str(tmp_path / "leak"))
     log = spark.createDataFrame([(1, 1, "run"), (1, 2, "done"), (2, 1, "run")], "job_id long, at long, status string")
     assert {r.job_id: r.status for r in changes.latest_jobs(log).collect()} == {1: "done", 2: "run"}
     assert spark.range(1).select(changes.percent(F.lit(2), F.lit(3)), changes.percent(F.lit(1), F.lit(0))).first()[:] == (66, 0)
@@ -269,3 +271,45 @@ def test_a_scan_is_counted_by_its_own_write(spark, tmp_path):
     assert errors.collect() == rescan.first_errors(scanned).collect()
     plan = errors._jdf.queryExecution().executedPlan().toString()
     assert "IsNotNull(scan_error)" in plan and "title" not in plan  # the parsed rows are not worked out again
+
+
+def brute_links(links, asked, dim):
+    """Entry by entry, as a program with a dictionary would do it."""
+    ids, names = {i: n for i, n in dim}, {}
+    for i, n in sorted(dim, reverse=True):
+        names[n] = i
+    taken, wanted = {}, set()
+    for book in sorted(asked):
+        given, seen = set(), set()
+        for i, name, no in asked[book]:
+            name = (name or "").strip(" ") or None
+            if i and i in ids:
+                taken.setdefault(book, []).append((i, no))
+            elif name and (i or name.lower() not in seen):
+                if not i:
+                    seen.add(name.lower())
+                wanted |= {name} - set(names)
+                taken.setdefault(book, []).append((name, no))
+        assert not given
+    top = max(ids, default=0)
+    new = {n: top + k + 1 for k, n in enumerate(sorted(wanted))}
+    out = [x for x in links if x[0] not in asked]
+    for book, entries in taken.items():
+        seen = set()
+        for m, no in entries:
+            m = m if isinstance(m, int) else names.get(m, new.get(m))
+            if m not in seen:
+                seen.add(m)
+                out.append((book, m, no))
+    return sorted(out), sorted((i, n) for n, i in new.items())
+
+
+def test_links_of_changed_books(spark):
+    dim = [(1, "Ann Lee"), (2, "Bob"), (3, "Cid"), (7, "bob")]
+    links = [(1, 1, 5), (1, 2, 6), (2, 3, 1), (3, 1, 1), (5, 2, 2)]
+    asked = {1: [(2, None, 1), (2, "x", 2), (0, "New Name", 3), (None, " new name ", 4), (0, "Bob", 5), (0, "BOB", 6)], 2: [], 3: [(99, None, 1), (99, "Zed", 2), (98, "Zed", 3), (0, "  ", 4), (3, "anything", 5)], 4: [(0, "bob", 1), (7, None, 2), (0, "Abe", 3)]}
+    frame = spark.createDataFrame([*asked.items(), (5, None)], "book_id long, entries array<struct<id: long, name: string, ser_no: int>>")
+    got, new = changes.set_links(spark.createDataFrame(links, "book_id long, ser_id long, ser_no int"), frame, spark.createDataFrame(dim, "id long, name string"), "ser_id", ["ser_no"])
+    want, created = brute_links(links, asked, dim)
+    assert sorted(map(tuple, got.collect())) == want and sorted(map(tuple, new.collect())) == created
+    assert created == [(8, "Abe"), (9, "New Name"), (10, "Zed")]

@@ -43,3 +43,8 @@ def test_fb2_blocks_of_whole_and_truncated_bodies(spark):
     cut = "<body><title><p>T</p></title><p>one</p><p>two <emph"
     rows = documents.fb2_blocks(spark.createDataFrame([(1, whole), (2, cut)], "id long, text string")).orderBy("id", "seq").collect()
     assert [(r.kind, r.text) for r in rows] == [("p", "a"), ("tr", "x y"), ("text-author", "who"), ("p", "b"), ("header", "T"), ("p", "one"), ("p", "two")]
+
+
+def test_event_types(spark):
+    rows = spark.createDataFrame([("scan_error",), ("fix_scan_completed",), ("genre_title_gen_started",), ("other",), (None,)], "t string")
+    assert [tuple(r) for r in rows.select(R.event_job(F.col("t")), R.event_ends(F.col("t"))).collect()] == [("scan", False), ("fix_scan", True), ("genre_title_gen", False), (None, False), (None, None)]

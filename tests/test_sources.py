@@ -113,3 +113,13 @@ def test_json(spark, tmp_path):
 def test_safe_paths(spark):
     df = spark.createDataFrame([("a/b.zip",), ("../x",), ("/etc",), ("a/../b",), ("C:\\x",), ("a..b",)], "p string")
     assert [r.p for r in df.where(archives.safe_relative(df["p"])).collect()] == ["a/b.zip", "a..b"]
+
+
+def test_requests_have_a_largest_size(spark, tmp_path, monkeypatch):
+    from bookloom.sources import lists
+
+    (tmp_path / "r.json").write_text('{"name": "n", "items": [{"title": "t", "author": "a"}]}')
+    assert lists.read_json_items(spark, str(tmp_path / "r.json")).count() == 1
+    monkeypatch.setattr(lists, "MAX_REQUEST", 20)
+    with pytest.raises(ValueError, match="20 bytes"):
+        lists.read_json_items(spark, str(tmp_path / "r.json"))

@@ -58,3 +58,9 @@ def test_small_functions(spark):
     assert one(spark, *T.author_title(F.col("s")), s="Толстой: Война - и мир") == ("Толстой", "Война - и мир")
     assert one(spark, *T.author_title(F.col("s")), s="no separator") == ("", "no separator")
     assert one(spark, *T.author_title(F.col("s")), s="a-b: ") == ("a", "b:")
+
+
+def test_download_names(spark):
+    rows = [("Война и мир!", "vojna_i_mir_"), ("Щука № 2", "shhuka_2"), ("C++ — book", "c_book"), ("", "")]
+    got = spark.createDataFrame([(a,) for a, _ in rows], "t string").select(T.download_name(F.col("t"))).collect()
+    assert [r[0] for r in got] == [b for _, b in rows]
