@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from bookloom.functions import records as R
 from bookloom.functions import text as T
+from bookloom.functions.storage import new_path
 from bookloom.operators import changes, dedup, documents, evaluate, lists, resolve, search, state
+from bookloom.operators.title_index import TitleIndex
 from bookloom.plans import oracle as O
 from bookloom.plans.catalog import star_catalog
 from bookloom.plans.oracle import CATALOG
+from bookloom.sources.batches import BatchStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -51,6 +54,18 @@ def _search(name: str, needle: str, where: str = _SEEN, limit: int = 100, offset
 
 _search("search_books_ranked_page", "red widget")
 _search("search_books_exact_prefix_substring", "widget")
+
+
+@query(O.search_sql("red widget", _SEEN, 100, 0))
+def search_books_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranked page over an index of trigrams, in which one of five books first had another title."""
+    catalog, index = star_catalog(spark, sf_dir), TitleIndex(BatchStore(spark, new_path(spark, "titles")))
+    again = F.col("id") % 5 == 0
+    index.upsert(0, catalog.book.withColumn("norm_title", F.when(again, F.concat(F.lit("red "), "norm_title")).otherwise(F.col("norm_title"))))
+    index.upsert(1, catalog.book.where(again))
+    return index.search(catalog, search.BookSearch(query="red widget", limit=100))
+
+
 _search("search_books_word_coverage", "widget re")
 _search("search_books_typo", "smal wigdet", limit=50)
 _search("search_books_short_needle", "re", limit=20, offset=40)

@@ -75,10 +75,11 @@ class BatchStore:
             fs, where = self._fs(folder)
             fs.delete(where, True)
 
-    def commit(self, batch: int, tables: dict[str, DataFrame] | Callable[[], dict[str, DataFrame]]) -> bool:
+    def commit(self, batch: int, tables: dict[str, DataFrame] | Callable[[], dict[str, DataFrame]], by: dict[str, list[str]] | None = None) -> bool:
         """Write the tables as that batch; False, and nothing is written or worked out, where the batch is there already.
 
-        tables may be a function, so that what prepares them runs only if it is needed. A failure takes the attempt's
+        tables may be a function, so that what prepares them runs only if it is needed; by names the columns by which a
+        table's files lie in folders of their own. A failure takes the attempt's
         folders away and is raised; so does a manifest that another writer has put there in the meantime.
         """
         if self.committed(batch):
@@ -88,7 +89,8 @@ class BatchStore:
         made = tables() if callable(tables) else tables
         try:
             with ThreadPoolExecutor(self.at_once) as pool:
-                for done in [pool.submit(lambda n, df: df.write.parquet(folder(n)), *x) for x in made.items()]:
+                write = lambda n, df: (df.write.partitionBy(*by[n]) if n in (by or {}) else df.write).parquet(folder(n))
+                for done in [pool.submit(write, *x) for x in made.items()]:
                     done.result()
             seen = {r["table"]: r.asDict() for r in self.parts(f"data/*/batch={batch}/attempt={attempt}").collect()}  # a row for each table
             empty = {"parts": 0, "bytes": 0, "digest": 0}
