@@ -12,7 +12,9 @@ The exact signals, order and totals of the search are then worked out over these
 match is cut off early. A needle too short for such trigrams is searched over the index's titles.
 
 Upserts are batches (BatchStore): a batch has the postings of its books and the ids that it replaces, and postings of
-earlier batches with such an id are stale. A batch without books removes its ids.
+earlier batches with such an id are stale. A batch without books removes its ids. An index object keeps the list of
+batches that it last saw (a row a batch) until refresh() or its own upsert; an index of very many batches is built anew
+in another folder.
 """
 
 from __future__ import annotations
@@ -62,6 +64,21 @@ def _padded(word: str, before: bool, after: bool) -> list[str]:
 class TitleIndex:
     def __init__(self, store: BatchStore):
         self.store, self.spark = store, store.spark
+        self.batches: list | None = None
+
+    def refresh(self) -> None:
+        """Take in what others have put into the index."""
+        self.batches = None
+
+    def _read(self, table: str, schema: str) -> DataFrame:
+        """The table over the batches that are known, with its batch; only their folders are looked at."""
+        if self.batches is None:
+            self.batches = self.store.whole().collect()
+        keyed = f"{schema}, batch long, attempt string"
+        if not self.batches:
+            return self.spark.createDataFrame([], keyed)
+        base = f"{self.store.path}/data/{table}"
+        return self.spark.read.schema(keyed).option("basePath", base).parquet(*[f"{base}/batch={b['batch']}/attempt={b['attempt']}" for b in self.batches])
 
     def upsert(self, batch: int, books: DataFrame, gone: DataFrame | None = None) -> bool:
         """Put books (TITLE's columns, or title in place of norm_title) in as that batch, and take the ids of gone out."""
@@ -78,25 +95,29 @@ class TitleIndex:
                 "replaced": (ids if batch else ids.where(F.lit(False))).distinct(),
             }
 
-        return self.store.commit(batch, tables, by={"posting": ["bucket"]})
+        done = self.store.commit(batch, tables, by={"posting": ["bucket"]})
+        self.refresh()
+        return done
 
-    def _live(self, table: str, schema: str, whole: DataFrame) -> DataFrame:
-        """Rows of whole batches that no later batch replaces."""
-        rows = self.store.read(table, schema, taken=whole)
-        later = self.store.read("replaced", "id long", taken=whole).groupBy(F.col("id").alias("_id")).agg(F.max("batch").alias("_batch"))
+    def _live(self, table: str, schema: str) -> DataFrame:
+        """Rows that no later batch replaces."""
+        rows = self._read(table, schema)
+        if len(self.batches) < 2:
+            return rows
+        later = self._read("replaced", "id long").groupBy(F.col("id").alias("_id")).agg(F.max("batch").alias("_batch"))
         return rows.join(later, (F.col("id") == F.col("_id")) & (F.col("batch") < F.col("_batch")), "left_anti")
 
-    def titles(self, whole: DataFrame | None = None) -> DataFrame:
-        return self._live("title", TITLE, self.store.whole() if whole is None else whole).select(*_FIELDS)
+    def titles(self) -> DataFrame:
+        return self._live("title", TITLE).select(*_FIELDS)
 
-    def chosen_grams(self, needle: str, whole: DataFrame) -> list[str] | None:
+    def chosen_grams(self, needle: str) -> list[str] | None:
         """Trigrams whose postings hold every book that the needle can admit; None if there are no such trigrams."""
         grams = needle_trigrams(needle)
         lanes = sure_grams(needle)
         if not grams or not all(lanes):
             return None
         every = list(dict.fromkeys([*grams, *lanes[0], *lanes[1]]))
-        found = self.store.read("gram", "gram string, n long", taken=whole).where(F.col("gram").isin(every)).groupBy("gram").agg(F.sum("n").alias("n")).collect()
+        found = self._read("gram", "gram string, n long").where(F.col("gram").isin(every)).groupBy("gram").agg(F.sum("n").alias("n")).collect()
         n = {g: 0 for g in every} | {r["gram"]: r["n"] for r in found}
         rarest = lambda gs: sorted(gs, key=lambda g: (n[g], g))
         spare = len(grams) - math.ceil(LEAST_SHARE * len(grams))
@@ -104,11 +125,10 @@ class TitleIndex:
 
     def candidates(self, needle: str) -> DataFrame:
         """The books (TITLE) among which all are that a needle in normal form can admit, each once."""
-        whole = self.store.whole()
-        grams = self.chosen_grams(needle, whole)
+        grams = self.chosen_grams(needle)
         if grams is None:
-            return self.titles(whole)
-        posted = self._live("posting", f"gram string, {TITLE}, bucket int", whole)
+            return self.titles()
+        posted = self._live("posting", f"gram string, {TITLE}, bucket int")
         return posted.where(F.col("bucket").isin(sorted({bucket_of(g) for g in grams})) & F.col("gram").isin(grams)).select(*_FIELDS).dropDuplicates(["id"])
 
     def search(self, catalog: Catalog, r: BookSearch) -> DataFrame:
