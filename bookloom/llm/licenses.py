@@ -87,9 +87,13 @@ _RANK = {name: _CLASSES.index(k) for k, names in TERMS.items() for name in names
 _UNKNOWN, _STRONG, _WEAK = (_CLASSES.index(k) for k in ("unknown", "strong copyleft", "weak copyleft"))
 _LINKING = frozenset(LINKING.split())
 _WORD_BYTES = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in LOWER)
-_EXPRESSION = re.compile(rb"[ \t]*([A-Za-z0-9.+\-:() \t]+)")
+_EXPRESSION = re.compile(rb"[ \t]*([A-Za-z0-9.+\-:()/ \t]+)")
 _ADDRESS = re.compile(rb"[A-Za-z0-9.+\-]+(?:/[0-9][A-Za-z0-9.]*)?")
-_TOKEN = re.compile(r"[()]|[^()\s]+")
+_TOKEN = re.compile(r"[()/]|[^()/\s]+")
+#: What an id that is not known looks like: a word with a digit or a hyphen in it, or a reference.
+_ID_FORM = re.compile(r"(?:(?:documentref-[a-z0-9.-]+:)?licenseref-[a-z0-9.-]+|(?=[a-z.+]*[0-9-])[a-z0-9][a-z0-9.+-]*)$")
+#: Words that follow `or` in prose and are no ids.
+_PROSE = frozenset(["later", "newer", "above", "greater", "higher", "any", "other", "license", "licence"])
 _OPERATORS = {"or": 1, "and": 2, "with": 3}
 RESULT = (
     "n_words long, places array<struct<label:string,base:boolean,word:long>>, "
@@ -109,11 +113,12 @@ def parse_expression(text: str) -> tuple[str, list[str]] | None:
     return found[1:] if found and found[0] == text.strip() else None
 
 
-def longest_expression(text: str, known_only: bool = False) -> tuple[str, str, list[str]] | None:
+def longest_expression(text: str, known_only: bool = False, in_prose: bool = False) -> tuple[str, str, list[str]] | None:
     """The longest run of tokens from the start that parses: text, postfix form, licence ids.
 
-    One shunting-yard pass up to the first token that cannot follow, or that holds a tag and so begins the next
-    expression, or (known_only) is no known id; it goes back to the last token at which the operand was complete and no
+    A slash counts as `or`. One shunting-yard pass up to the first token that cannot follow, or that holds a tag and so
+    begins the next expression, or is no id: behind a plain tag (known_only) only known ids are, behind an exact one
+    (in_prose) also what has the form of an id, and any word that stands alone or between operators. It goes back to the last token at which the operand was complete and no
     bracket was open. There the stack has operators of rising rank only, three at most.
     """
     out: list[str] = []
@@ -122,7 +127,7 @@ def longest_expression(text: str, known_only: bool = False) -> tuple[str, str, l
     operand = True  # whether an operand may come next
     depth, best = 0, None
     for m in _TOKEN.finditer(text):
-        low = m[0].lower()
+        low = "or" if m[0] == "/" else m[0].lower()
         if low in _OPERATORS:
             if operand:
                 break
@@ -146,8 +151,13 @@ def longest_expression(text: str, known_only: bool = False) -> tuple[str, str, l
             if known_only:  # in prose a full stop ends the sentence
                 low = low.rstrip(".")
             excepts = stack and stack[-1] == "with"
-            if not operand or any(tag in low for tag in EXACT_TAGS) or (known_only and not excepts and rank_of(low) == _UNKNOWN):
+            if not operand or any(tag in low for tag in EXACT_TAGS) or (in_prose and low in _PROSE):
                 break
+            if (known_only or in_prose) and not excepts and rank_of(low) == _UNKNOWN:
+                after = _TOKEN.search(text, m.end())
+                prose = ":" in low or (after is not None and after[0] not in ")/" and after[0].lower() not in _OPERATORS)
+                if known_only or (prose and not _ID_FORM.match(low)):
+                    break
             if not excepts:
                 ids.append(low)
             out.append(low)
@@ -223,7 +233,7 @@ def read_tag(raw: bytes, kind: str, tag: str, end: int, stop: int) -> dict | Non
         found = (name, name, [name]) if rank_of(name) != _UNKNOWN else None
     else:
         line = _EXPRESSION.match(raw, end, stop)
-        found = longest_expression(line[1].decode("latin-1"), kind == "plain") if line else None
+        found = longest_expression(line[1].decode("latin-1"), kind == "plain", True) if line else None
     if not found:
         return None
     terms, binding, alternatives, known = evaluate(found[1])

@@ -194,3 +194,16 @@ def test_very_long_text(spark):
 def test_clashing_columns(spark):
     df = spark.createDataFrame([(1, "cc by", "x", 5)], "doc_id long, text string, places string, labels int")
     assert L.scan_licenses(df).columns == ["doc_id", "n_words", "places", "expressions"]
+
+
+@pytest.mark.parametrize(
+    "behind, parsed",
+    [
+        ("MIT or later", "mit"), ("GPL-2.0 or any later version", "gpl-2.0"), ("MIT/Apache-2.0", "mit apache-2.0 or"), ("(MIT / X11) AND Zlib", "mit x11 or zlib and"), ("MIT // see below", "mit"),
+        ("not a license", None), ("see the file", None), ("Foo", "foo"), ("Foo OR MIT", "foo mit or"), ("LicenseRef-Mine text", "licenseref-mine"), ("DocumentRef-x:LicenseRef-y", "documentref-x:licenseref-y"),
+        ("https://example.org/x", None), ("Acme-1.0 applies", "acme-1.0"), ("MIT license", "mit"), ("MIT AND", "mit"), ("GPL-2.0 WITH Classpath-exception-2.0 or later", "gpl-2.0 classpath-exception-2.0 with"),
+    ],
+)
+def test_prose_behind_an_exact_tag_ends_the_expression(behind, parsed):
+    found = L.scan_text(f"SPDX-License-Identifier: {behind}\n", L.build_automaton(), L.tag_automaton())[2]
+    assert [e["parsed"] for e in found] == ([parsed] if parsed else [])
