@@ -222,7 +222,10 @@ def fit(docs: DataFrame) -> Network | None:
 
 
 def predict(docs: DataFrame, net: Network | None, keep: list[str], text_col: str = "text", with_spans: bool = False) -> DataFrame:
-    """keep, lang_pred, score, and with_spans also spans array<struct<start, stop, lang>> over the text's UTF-8 bytes."""
+    """keep, lang_pred, score, and with_spans also spans array<struct<start, stop, lang>> over the text's UTF-8 bytes.
+
+    Of languages with equal pooled probabilities the first in order of name wins.
+    """
     small_batches(docs.sparkSession)
     text = F.col(text_col).cast("string")
     readable = F.when(text.rlike(r"\p{L}"), text) if net else F.lit(None).cast("string")

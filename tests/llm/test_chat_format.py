@@ -29,3 +29,19 @@ def test_query(spark):
     said = "</s>[INST] ok [/INST]"
     assert got[-7].loss_chars == len(said) and got[-7].loss_sha256 == hashlib.sha256(said.encode()).hexdigest()
     assert got[-7].turns_sha256 == hashlib.sha256(f"user\n{said}\nassistant\n{said}\n".encode()).hexdigest()
+
+
+def test_very_long_texts_and_conversations(spark):
+    long = "</s> many words <| of a text " * 100_000  # 3 MB
+    rows = [(1, 0, "user", long, 0), (1, 1, "assistant", long + "!", 0)] + [(2, i, "assistant" if i % 2 else "user", f"turn {i} %", 0) for i in range(400)]
+    got = {r.conv_id: r for r in C.read_back(C.prefix_target_examples(spark.createDataFrame(rows, SCHEMA))).collect()}
+    assert [t.text for t in got[1].turns] == [long, long + "!"] and got[1].losses == [long + "!"]
+    assert [t.text for t in got[2].turns] == [f"turn {i} %" for i in range(400)] and got[2].losses == [f"turn {i} %" for i in range(1, 400, 2)]
+
+
+def test_clashing_names(spark):
+    more = ["n_turns", "loss_start", "loss_end", "turns", "losses", "said", "at", "_text", "Turn_"]
+    rows = [(1, 0, "user", "u", *"x" * len(more)), (1, 1, "assistant", "a", *"x" * len(more))]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, " + ", ".join(f"`{c}` string" for c in more))
+    (r,) = C.read_back(C.prefix_target_examples(df)).collect()
+    assert [(t.role, t.text) for t in r.turns] == [("user", "u"), ("assistant", "a")] and r.losses == ["a"]

@@ -56,3 +56,16 @@ def test_windows_cover_the_text():
     texts = [b"", b"a", b"b" * L.WINDOW, b"c" * (L.WINDOW + 1)]
     windows, many, own = L.cut_windows(texts)
     assert many.tolist() == [0, 1, 1, 2] and own.tolist() == [1, L.WINDOW, L.WINDOW, 1] and len(windows) == 4
+
+
+def test_equal_probabilities_give_the_first_language(spark):
+    import numpy as np
+
+    from bookloom.llm import lang_id as M
+
+    net = M.Network.new(["de", "en", "fr"], 4, np.random.default_rng(1))
+    for w in net.weights():
+        w[...] = 0
+    df = spark.createDataFrame([(1, "some text", "x"), (2, None, "y"), (3, "12 3", "z")], "doc_id long, text string, lang_pred_ string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in M.predict(df, net, ["doc_id"]).collect()}
+    assert got[1][0] == "de" and abs(got[1][1] - 1 / 3) < 1e-6 and got[2] == got[3] == ("und", 0.0)

@@ -56,3 +56,13 @@ def test_very_long_page(spark, tmp_path):
     W.write_warc(spark.createDataFrame(rows, SCHEMA).repartition(2), out)
     back = W.read_warc(spark, out).collect()
     assert sorted((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in back) == brute(rows)
+
+
+def test_clashing_names(spark, tmp_path):
+    more = ["payload", "record_type", "refers_to", "file", "shard", "key", "size", "data", "first", "_html", "payload_digest"]
+    rows = [(i, f"u{i}", f"<p>{i % 3}</p>" * 40, *"x" * len(more)) for i in range(9)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, " + ", ".join(f"`{c}` string" for c in more))
+    out = f"file://{tmp_path}/c"
+    W.write_warc(df, out)
+    back = W.read_warc(spark, out).collect()
+    assert sorted((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in back) == brute([(*r[:3], "d") for r in rows])
