@@ -210,8 +210,9 @@ def suggest(catalog: Catalog, query: str, lang: str = "", limit: int = SUGGEST_L
     found = found.where(strong | (F.col("word_score") >= WORD_FLOOR) | (F.col("trigram_score") >= SUGGEST_FLOOR))
     found = found.join(books.select("id", "title", "lang"), "id")
     order = [F.desc("exact"), F.desc("prefix"), F.asc_nulls_last("position"), F.desc("word_score"), F.desc("trigram_score"), F.asc("id")]
-    same = Window.partitionBy("norm_title", "lang")
-    first = found.withColumn("count", F.count("*").over(same)).withColumn("_nth", F.row_number().over(same.orderBy(*order))).where("_nth = 1")
+    # books of one title have the same signals, so the first of them is that with the least id
+    least = F.min(F.struct("id", "title", "exact", "prefix", "position", "word_score", "trigram_score"))
+    first = found.groupBy("norm_title", "lang").agg(F.count("*").alias("count"), least.alias("first")).select("count", "first.*")
     shelf = page_of(first, order, titles, 0).select(F.lit("title").alias("kind"), "id", F.col("title").alias("value"), "count", F.col("pos").cast("long").alias("pos"))
     name, own = F.col("norm_name"), strings(needle_trigrams(needle))
     people = catalog.named().where(asked & (F.contains(name, F.lit(needle)) | author_match(name, needle)))
