@@ -150,17 +150,23 @@ def import_finished(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH u AS (SELECT c_custkey AS id FROM customer WHERE c_custkey <> 7), c AS (SELECT o_orderkey AS id FROM orders WHERE o_custkey <> 7 OR o_orderkey % 5 = 0),
-b AS (SELECT l_orderkey, l_linenumber FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_custkey <> 7 OR o_orderkey % 5 = 0)
-SELECT 'user' AS name, count(*)::BIGINT AS n, sum(id)::BIGINT AS ids FROM u UNION ALL SELECT 'collection', count(*), sum(id) FROM c UNION ALL SELECT 'collection_book', count(*), sum(l_orderkey * 10 + l_linenumber) FROM b""")
+b AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_suppkey FROM lineitem WHERE l_orderkey IN (SELECT id FROM c)), v AS (SELECT id FROM b WHERE l_suppkey <> 7), f AS (SELECT o_orderkey AS id FROM orders WHERE o_custkey <> 7)
+SELECT 'user' AS name, count(*)::BIGINT AS n, sum(id)::BIGINT AS ids FROM u UNION ALL SELECT 'collection', count(*), sum(id)::BIGINT FROM c UNION ALL SELECT 'collection_book', count(*), sum(id)::BIGINT FROM b
+UNION ALL SELECT 'vote', count(*), sum(id)::BIGINT FROM v UNION ALL SELECT 'favorite', count(*), sum(id)::BIGINT FROM f""")
 def user_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, item = _read(spark, sf_dir, "orders"), _read(spark, sf_dir, "lineitem")
     collection = orders.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 5 != 0, F.col("o_custkey")).alias("user_id"))
-    book = item.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_orderkey").alias("book_collection_id"))
-    none = spark.createDataFrame([], "id long, user_id long, collection_id long")
-    tables = {"collection": collection, "collection_book": book, "vote": none, "favorite": none, "user": _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))}
+    item_id = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    tables = {
+        "collection": collection,
+        "collection_book": item.select(item_id.alias("id"), F.col("l_orderkey").alias("book_collection_id")),
+        "vote": item.select(item_id.alias("id"), F.col("l_suppkey").alias("user_id"), F.col("l_orderkey").alias("collection_id")),
+        "favorite": orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("user_id")),
+        "user": _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")),
+    }
     left = changes.delete_user(tables, 7)
     count = lambda n: left[n].agg(F.lit(n).alias("name"), F.count("*").alias("n"), F.sum("id").alias("ids"))
-    return count("user").unionByName(count("collection")).unionByName(count("collection_book"))
+    return count("user").unionByName(count("collection")).unionByName(count("collection_book")).unionByName(count("vote")).unionByName(count("favorite"))
 
 
 @query("SELECT o_orderkey AS id, CASE WHEN o_custkey % 3 = 0 THEN 1 ELSE o_custkey END AS user_id FROM orders")
@@ -169,12 +175,20 @@ def orphans_reattached(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.reattach(rows, rows.where("user_id % 3 <> 0").select(F.col("user_id").alias("id")), "user_id", 1)
 
 
-@query("""SELECT c_custkey AS item_id, CASE WHEN c_custkey % 2 = 0 AND c_custkey % 3 = 0 THEN '{"note":"n' || c_custkey || '","year":1999}' WHEN c_custkey % 2 = 0 THEN '{"note":"n' || c_custkey || '"}' WHEN c_custkey % 3 = 0 THEN '{"year":1999}' END AS extra FROM customer""")
+@query("""WITH c AS (
+  SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN '"note":"n' || c_custkey || '"' END AS own, CASE WHEN c_custkey % 3 = 0 THEN '"year":1999' END AS year,
+    CASE WHEN c_custkey % 5 < 3 AND c_custkey % 13 > 0 THEN '"candidates":[' || array_to_string([
+      '{"book_id":' || (c_custkey + i) || ',"score":' || ['0.0', '0.25', '0.5', '0.75'][i % 4 + 1] || '}' for i in range(1, least(c_custkey % 13, 10) + 1)], ',') || ']' END AS found FROM customer
+) SELECT k AS item_id, CASE WHEN own IS NOT NULL OR year IS NOT NULL OR found IS NOT NULL THEN '{' || concat_ws(',', own, year, found) || '}' END AS extra FROM c""")
 def extra_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
-    extra = F.when(k % 2 == 0, F.create_map(F.lit("note"), F.concat(F.lit("n"), k.cast("string")), F.lit("year"), F.when(k % 3 == 0, "old"))).otherwise(F.create_map().cast("map<string,string>"))
-    items = _read(spark, sf_dir, "customer").select(k.alias("item_id"), F.when(k % 3 == 0, 1999).otherwise(0).alias("year"), F.map_filter(extra, lambda _, v: v.isNotNull()).alias("extra"))
-    return resolve.extra_payload(spark.createDataFrame([], "item_id long, candidates array<struct<book_id:long,score:float>>"), items)
+    # a year or candidates of the item's own give way to those of the match
+    extra = F.create_map(F.lit("note"), F.when(k % 2 == 0, F.concat(F.lit("n"), k.cast("string"))), F.lit("year"), F.when((k % 2 == 0) & (k % 3 == 0), "old"), F.lit("candidates"), F.when((k % 5 < 3) & (k % 13 > 0), "none"))
+    customer = _read(spark, sf_dir, "customer")
+    items = customer.select(k.alias("item_id"), F.when(k % 3 == 0, 1999).otherwise(0).alias("year"), F.map_filter(extra, lambda _, v: v.isNotNull()).alias("extra"))
+    one = lambda i: F.struct((k + i).alias("book_id"), ((i % 4) / 4).cast("float").alias("score"))
+    found = F.when(k % 13 > 0, F.transform(F.sequence(F.lit(1).cast("long"), k % 13), one))
+    return resolve.extra_payload(customer.where("c_custkey % 5 < 3").select(k.alias("item_id"), found.alias("candidates")), items)
 
 
 # --- scanning again -------------------------------------------------------------------------------------------------
@@ -246,20 +260,32 @@ def chunk_pack_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    r"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '<a xmlns:xlink="x">' ELSE '<a xmlns:l="x" xmlns:xlink="x">' END || '<b l:href="#n"/>' || chr((1 + doc_id % 8)::INTEGER) || ' & ' || '< ' || doc_id || ' &amp; <?php' AS t FROM documents)
-SELECT doc_id, replace(replace(replace(replace(regexp_replace(t, '[\x00-\x08]', ' ', 'g'), '< ', '&lt; '), '<?php', '&lt;?php'), ' & ', ' &amp; '), CASE WHEN doc_id % 2 = 0 THEN ' l:href="' ELSE '?' END, CASE WHEN doc_id % 2 = 0 THEN ' xlink:href="' ELSE '?' END) AS fixed FROM d"""
+    r"""WITH t AS (SELECT doc_id, doc_id % 3 AS k, translate(coalesce(text, ''), '<>&', '') AS t FROM documents),
+d AS (SELECT doc_id, k, CASE WHEN doc_id % 2 = 0 THEN '<a xmlns:xlink="x"><b xlink:href="#n"/>' ELSE '<a xmlns:l="x" xmlns:xlink="x"><b l:href="#n"/>' END || chr((1 + doc_id % 8)::INTEGER) || replace(t, ' ', CASE k WHEN 0 THEN ' &amp; ' WHEN 1 THEN ' &lt; ' ELSE ' &lt;? &quot; ' END) || '</a>' AS t FROM t)
+SELECT doc_id, md5(regexp_replace(t, '[\x00-\x08\x0B\x0C\x0E-\x1F]', ' ', 'g')) AS fixed_md5 FROM d"""
 )
 def repaired_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts with a stray mark at every blank, control characters and links by both prefixes."""
     k = F.col("doc_id")
-    head = F.when(k % 2 == 0, '<a xmlns:xlink="x">').otherwise('<a xmlns:l="x" xmlns:xlink="x">')
-    raw = F.concat(head, F.lit('<b l:href="#n"/>'), F.char(1 + k % 8), F.lit(" & < "), k.cast("string"), F.lit(" &amp; <?php"))
-    return _read(spark, sf_dir, "documents").select("doc_id", ingest.repair_markup(raw).alias("fixed"))
+    head = F.when(k % 2 == 0, '<a xmlns:xlink="x"><b l:href="#n"/>').otherwise('<a xmlns:l="x" xmlns:xlink="x"><b l:href="#n"/>')
+    plain = F.translate(F.coalesce("text", F.lit("")), "<>&", "")
+    body = F.when(k % 3 == 0, F.replace(plain, F.lit(" "), F.lit(" & "))).when(k % 3 == 1, F.replace(plain, F.lit(" "), F.lit(" < "))).otherwise(F.replace(plain, F.lit(" "), F.lit(" <? &quot; ")))
+    raw = F.concat(head, F.char(1 + k % 8), body, F.lit("</a>"))
+    return _read(spark, sf_dir, "documents").select("doc_id", F.md5(ingest.repair_markup(raw)).alias("fixed_md5"))
+
+
+_TABLE = "MAP {" + ", ".join(f"'{tag}': '{code}'" for tag, code in documents.LANGUAGES.items()) + "}"
 
 
-@query("SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'sv' WHEN 1 THEN 'nb' WHEN 2 THEN 'ar' WHEN 3 THEN 'zh' WHEN 4 THEN 'sl' WHEN 5 THEN 'xy' WHEN 6 THEN 'unknown' ELSE '' END AS code FROM documents")
+@query(rf"""WITH w AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_extract(coalesce(text, ''), '[A-Za-z]+') AS word, lang FROM documents),
+t AS (SELECT doc_id, lower(trim(CASE doc_id % 4 WHEN 0 THEN ' ' || upper(lang) || ' ' WHEN 1 THEN substring(word, 1, (n % 5)::INT) WHEN 2 THEN word ELSE lang || substring(word, 1, 1) END)) AS tag FROM w)
+SELECT doc_id, CASE WHEN tag = '' THEN '' ELSE coalesce(element_at({_TABLE}, tag)[1], CASE WHEN length(tag) BETWEEN 2 AND 3 THEN substring(tag, 1, 2) ELSE 'unknown' END) END AS code FROM t""")
 def language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tag = F.element_at(F.array(*map(F.lit, ["swe", "Norwegian", " ARA ", "zho", "slovenian", "xyz", "klingon", ""])), (F.col("doc_id") % 8 + 1).cast("int"))
-    return _read(spark, sf_dir, "documents").select("doc_id", documents.standard_language(tag).alias("code"))
+    """Tags out of languages and words of the texts, of any case and length."""
+    k, n, word = F.col("doc_id"), F.char_length("text"), F.regexp_extract("text", "[A-Za-z]+", 0)
+    tag = F.when(k % 4 == 0, F.concat(F.lit(" "), F.upper("lang"), F.lit(" "))).when(k % 4 == 1, F.substring(word, F.lit(1), n % 5)).when(k % 4 == 2, word).otherwise(F.concat("lang", F.substring(word, 1, 1)))
+    docs = _read(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))
+    return docs.select("doc_id", documents.standard_language(tag).alias("code"))
 
 
 @query("SELECT doc_id, text AS decoded, CAST(NULL AS VARCHAR) AS error, md5(text) AS md5 FROM documents WHERE doc_id % 3 <> 0 UNION ALL SELECT doc_id, NULL, 'undeclared charset', md5('\\xE9abc'::BLOB) FROM documents WHERE doc_id % 3 = 0")
