@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bookloom.llm.common import LOWER, small_batches, written
+from bookloom.llm.common import LOWER, remove, small_batches, written
 
 LEAST_DOCS, SMOOTH, SCALE, TOP_TERMS = 30, 5, 1_000_000_000, 50
 #: Keys over which the rows of a language are spread where they meet its sources.
@@ -97,9 +97,11 @@ class Index:
     """The kept terms of every language as postings, and the groups. All tables are written: they are read repeatedly."""
 
     def __init__(self, docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least_docs: int = LEAST_DOCS):
-        counts = written(term_counts(docs, text_col, lang_col, source_col), "counts")
+        spent: list[str] = []
+        counts = written(term_counts(docs, text_col, lang_col, source_col), "counts", spent)
         kept = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n_lang")).where(F.col("docs") >= least_docs).drop("docs")
         postings = written(counts.join(kept, ["lang", "term"]).select("lang", "source", "term", "n", "n_lang"), "postings")
+        remove(docs.sparkSession, spent)
         sources = docs.select(_text(lang_col).alias("lang"), _text(source_col).alias("source")).distinct()
         langs = postings.groupBy("lang", "term").agg(F.first("n_lang").alias("n")).groupBy("lang").agg(F.count("*").alias("terms"), F.sum("n").alias("total_lang"))
         totals = postings.groupBy("lang", "source").agg(F.sum("n").alias("total"))
