@@ -9,6 +9,9 @@ next to the value, which half they claim and its hash; only words that agree in
 of their letters is verified by the edit distance. A pair whose first k letters agree counts by its first half only,
 every other by its second, so each pair counts once and pairs are summed up before they are exchanged.
 
+Joins of words are merge joins by hint: a word gives a score of rows of keys, which Spark, going by the size of the
+written words, takes for a table small enough to broadcast.
+
 Forms are followed to the last by pointer jumping: n at least doubles with each form, so chains are short.
 
 Defined cases: null texts and null words have no words; words of fewer than LEAST_CHARS code points are no words; a
@@ -111,7 +114,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
     """word, n, near, near_n for both directions of every pair of words one letter apart. words has word, n, each word once and none empty."""
     keys = words.select("word", F.col("n").cast("long").alias("n")).mapInArrow(anagram_keys, _KEYS)
     other = keys.select("value", "half", F.col("whole").alias("near_whole"), F.col("word").alias("near"), F.col("n").alias("near_n"))
-    met = keys.join(other, ["value", "half"]).where(~(F.col("whole") & F.col("near_whole")) & (F.col("word") != F.col("near")))
+    met = keys.join(other.hint("merge"), ["value", "half"]).where(~(F.col("whole") & F.col("near_whole")) & (F.col("word") != F.col("near")))
     k = F.expr("(char_length(word) - if(whole, 0, 1)) div 2").cast("int")
     same_head = F.substring("word", F.lit(1), k) == F.substring("near", F.lit(1), k)
     return met.where((same_head != F.col("second")) & (F.levenshtein("word", "near", 1) == 1)).select("word", "n", "near", "near_n")
@@ -121,7 +124,7 @@ def forms(words: DataFrame, times: int = FORM_TIMES) -> DataFrame:
     """word, n, n_near, form, form_n: each word's near words counted, and the most frequent one where that is frequent enough."""
     best = F.min(F.struct((-F.col("near_n")).alias("less"), F.col("near").alias("form")))
     found = near_pairs(words).groupBy("word").agg(F.count("*").alias("n_near"), best.alias("best"))
-    joined = words.join(found, "word", "left")
+    joined = words.join(found.hint("merge"), "word", "left")
     holds = -F.col("best.less") >= times * F.col("n")
     return joined.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(holds, F.col("best.form")).alias("form"), F.when(holds, -F.col("best.less")).alias("form_n"))
 
@@ -133,12 +136,12 @@ def with_roots(formed: DataFrame) -> DataFrame:
     while True:
         on = hops.select(F.col("word").alias("root"), F.col("root").alias("next"))
         new: list[str] = []
-        moved = written(hops.join(on, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots", new)
+        moved = written(hops.join(on.hint("merge"), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots", new)
         remove(spark, old)
         old, hops = new, moved.select("word", "root")
         if moved.where("moved").isEmpty():
             break
-    return formed.join(hops, "word", "left").withColumn("root", F.coalesce("root", "word"))
+    return formed.join(hops.hint("merge"), "word", "left").withColumn("root", F.coalesce("root", "word"))
 
 
 def spelling_groups(words: DataFrame) -> DataFrame:

@@ -80,6 +80,15 @@ def test_pairs_of_any_words(spark, letters, sizes):
     assert all(p.n == words[p.word] and p.near_n == words[p.near] for p in pairs)
 
 
+def test_keys_are_never_broadcast(spark, tmp_path):
+    words = [("".join(random.Random(i).choices("abcdefgh", k=9)), 3) for i in range(2000)]
+    spark.createDataFrame(words, "word string, n long").write.parquet(str(tmp_path / "words"))
+    small = spark.read.parquet(str(tmp_path / "words"))  # well below the limit for broadcasts; its keys may not be
+    for df in (S.near_pairs(small), S.forms(small)):
+        df.collect()
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_ties_and_chains(spark):
     words = {"maker": 4, "baker": 40, "faker": 40, "bakers": 100, "other": 1, "mothers": 3, "mother": 6, "moth": 12}
     got = {r.word: (r.form, r.root, r.n_near) for r in S.spelling_groups(spark.createDataFrame([*words.items(), (None, 5), ("", 5)], "word string, n long")).collect()}
