@@ -10,6 +10,21 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes that an Arrow batch of texts takes at most.
+ARROW_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches hold ARROW_BYTES at most, so that Python workers need the same memory however long the texts are.
+
+    A session that has a smaller size keeps it.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    if now is None or not now.isdigit() or int(now) > ARROW_BYTES:
+        spark.conf.set(key, str(ARROW_BYTES))
+
+
 @lru_cache(maxsize=8)
 def _own_dir(application: str) -> str:
     return "file://" + tempfile.mkdtemp(prefix="bookloom-")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bookloom.functions import text as T
+from bookloom.functions.storage import small_batches
 
 #: How many damaged bytes a text may have, code pages by label, and the name for books without an author.
 MAX_DAMAGED = 64
@@ -53,6 +54,7 @@ def decode_text(data: bytes | None) -> tuple[str | None, str | None]:
 
 def decoded(entries: DataFrame, content: str = "content") -> DataFrame:
     """entries with text and error (that of the source stays if there is one) in place of the content."""
+    small_batches(entries.sparkSession)
 
     @F.pandas_udf("struct<text:string,error:string>")
     def decode(c: pd.Series) -> pd.DataFrame:
