@@ -3,14 +3,16 @@ import pytest
 from pyspark.sql import functions as F
 
 from bookloom.functions.storage import ARROW_BYTES
-from bookloom.operators import ingest
+from bookloom.operators import ingest, language
 
 KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
-BOOK = "archive string, entry string, content binary, path string, data binary"
+TEXT, BOOK = "doc_id long, text string, lang string", "archive string, entry string, content binary, path string, data binary"
 
 
 @pytest.mark.parametrize("name, schema, call", [
     ("decoded", BOOK, ingest.decoded),
+    ("gram_counts", TEXT, language.gram_counts),
+    ("predict", TEXT, lambda df: language.predict(df, language.Model((), [], []))),
 ])
 def test_python_workers_get_small_batches(spark, name, schema, call):
     @F.pandas_udf("long")
