@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from bookloom.functions.joins import spread_join
 from bookloom.functions.records import cover_path
-from bookloom.functions.storage import file_system, written
+from bookloom.functions.storage import file_system, small_batches, written
 from bookloom.operators.changes import new_members
 from bookloom.operators.ingest import decoded, parse_metadata, repair_markup
 from bookloom.operators.ranges import running_sum
@@ -120,6 +120,7 @@ def write_covers(covers: DataFrame, base: str) -> DataFrame:
 
     Paths that would leave base are not written: bytes is null. Of several rows with one path the longest data counts.
     """
+    small_batches(covers.sparkSession)
     schema = pa.schema([("path", pa.string()), ("bytes", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

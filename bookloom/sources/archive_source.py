@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, In, InputPartition, IsNotNull, StringContains, StringEndsWith, StringStartsWith
 
-from bookloom.functions.storage import file_system
+from bookloom.functions.storage import file_system, small_batches
 from bookloom.sources.archives import ENTRIES, MAX_BYTES
 
 #: Bytes of archives that a task reads, about, and bytes of content in an Arrow batch.
@@ -315,6 +315,7 @@ def write_archives(books: DataFrame, path: str) -> DataFrame:
     An archive is one task's: its entries come in order of name and are packed one by one. It is written under a
     temporary name and then renamed, so tries that failed leave no archive behind.
     """
+    small_batches(books.sparkSession)
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, folder = file_system(path)

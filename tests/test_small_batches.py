@@ -3,7 +3,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from bookloom.functions.storage import ARROW_BYTES
-from bookloom.operators import ingest, language
+from bookloom.operators import book_ingest, ingest, language
+from bookloom.sources.archive_source import write_archives
 
 KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 TEXT, BOOK = "doc_id long, text string, lang string", "archive string, entry string, content binary, path string, data binary"
@@ -13,6 +14,8 @@ TEXT, BOOK = "doc_id long, text string, lang string", "archive string, entry str
     ("decoded", BOOK, ingest.decoded),
     ("gram_counts", TEXT, language.gram_counts),
     ("predict", TEXT, lambda df: language.predict(df, language.Model((), [], []))),
+    ("write_archives", BOOK, lambda df: write_archives(df, "/nowhere")),
+    ("write_covers", BOOK, lambda df: book_ingest.write_covers(df, "/nowhere")),
 ])
 def test_python_workers_get_small_batches(spark, name, schema, call):
     @F.pandas_udf("long")
